@@ -1,0 +1 @@
+"""Empty on purpose: every source of this engine is a bounded table or file set."""
