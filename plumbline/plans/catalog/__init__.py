@@ -1,6 +1,6 @@
 """Every registered query; importing the modules fills the registry."""
 
 from ..registry import ORACLES, QUERIES
-from . import sources_scalars
+from . import audit, sources_scalars
 
-__all__ = ["ORACLES", "QUERIES", "sources_scalars"]
+__all__ = ["ORACLES", "QUERIES", "audit", "sources_scalars"]

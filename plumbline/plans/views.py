@@ -117,10 +117,15 @@ sig0 AS (SELECT user_id AS recording_id, event_type AS coef, value,
 sig AS (SELECT recording_id, coef, pos, (value - m) / 500.0::DOUBLE AS x, value FROM sig0)"""
 
 
+def micros(ts: str) -> Column:
+    """Microseconds since 1970 of a zoned or zone-free timestamp column."""
+    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01', CAST({ts} AS TIMESTAMP_NTZ))")
+
+
 def signals(spark: SparkSession, sf: str) -> DataFrame:
     ev = table(spark, sf, "events").select(
         F.col("user_id").alias("recording_id"), F.col("event_type").alias("coef"),
-        "value", F.unix_micros("ts").alias("t"), "event_id",
+        "value", micros("ts").alias("t"), "event_id",
     )
     pos = dense_position(ev, ["recording_id"], ["t", "event_id"], "pos")
     mean = ev.groupBy("recording_id").agg(F.avg("value").alias("m"))
@@ -130,18 +135,18 @@ def signals(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-#: Embeddings as frame tables: 8 coefficients by 8 frames per vector.
+#: Embeddings as frame tables: 4 coefficients by 16 frames per vector.
 FRAMES = """
-frames AS (SELECT vec_id AS recording_id, ((i - 1) // 8)::INTEGER AS coef,
-             ((i - 1) % 8)::BIGINT AS frame, embedding[i]::DOUBLE AS value
+frames AS (SELECT vec_id AS recording_id, ((i - 1) // 16)::INTEGER AS coef,
+             ((i - 1) % 16)::BIGINT AS frame, embedding[i]::DOUBLE AS value
            FROM embeddings, (SELECT unnest(range(1, 65)) AS i))"""
 
 
 def frames(spark: SparkSession, sf: str) -> DataFrame:
     emb = table(spark, sf, "embeddings")
     return emb.select(F.col("vec_id").alias("recording_id"), F.posexplode("embedding")).select(
-        "recording_id", F.floor(F.col("pos") / 8).cast("int").alias("coef"),
-        (F.col("pos") % 8).cast("bigint").alias("frame"),
+        "recording_id", F.floor(F.col("pos") / 16).cast("int").alias("coef"),
+        (F.col("pos") % 16).cast("bigint").alias("frame"),
         F.col("col").cast("double").alias("value"),
     )
 

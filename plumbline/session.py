@@ -51,7 +51,7 @@ def leaf_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate summed over the leaves of the plan."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
     return sum(
-        int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size())
+        int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())
     )
 
 
