@@ -11,6 +11,10 @@ from pyspark.sql import Window as W
 from ..session import is_small
 from .ordering import running_totals, window, with_ranges
 
+#: Means are rounded to this many places before they are ranked: the order in which
+#: Spark adds numbers may change the last bit, and that must not break a tie.
+PLACES = 9
+
 
 def auroc(
     df: DataFrame,
@@ -65,7 +69,7 @@ def to_participants(
     """One row per participant; conflicting labels stop the query."""
     message = F.concat(F.lit("participant with more than one label: "), F.col(subject).cast("string"))
     agg = df.groupBy(*keys, subject).agg(
-        F.min(label).alias("_lo"), F.max(label).alias("_hi"), F.avg(score).alias("score")
+        F.min(label).alias("_lo"), F.max(label).alias("_hi"), F.round(F.avg(score), PLACES).alias("score")
     )
     return agg.select(
         *keys, subject,
@@ -84,7 +88,7 @@ def univariate_screen(df: DataFrame, keys: Sequence[str], features: Sequence[str
 def best_control(df: DataFrame, corpus: str, features: Sequence[str]) -> DataFrame:
     """Best single feature per corpus at participant grain, never below 0.5."""
     per_subject = df.groupBy(corpus, "subject_id").agg(
-        F.max("label").alias("label"), *[F.avg(f).alias(f) for f in features]
+        F.max("label").alias("label"), *[F.round(F.avg(f), PLACES).alias(f) for f in features]
     )
     screen = univariate_screen(per_subject, [corpus], features)
     return screen.groupBy(corpus).agg(

@@ -152,10 +152,10 @@ def average_rank(df: DataFrame, keys: Sequence[str], value: str, fanout: float =
     )
 
 
-def dense_rank(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
+def dense_rank(df: DataFrame, keys: Sequence[str], value: str, name: str, bounded: bool = False) -> DataFrame:
     """``keys, value, name`` - dense rank of the distinct values of each key."""
     distinct = df.select(*keys, value).distinct()
-    cum = running_totals(distinct, keys, value, {"_n": F.count(F.lit(1))})
+    cum = running_totals(distinct, keys, value, {"_n": F.count(F.lit(1))}, bounded=bounded)
     return cum.select(*keys, value, F.col("cum__n").cast("bigint").alias(name))
 
 

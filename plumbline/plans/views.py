@@ -74,8 +74,8 @@ def recordings(spark: SparkSession, sf: str) -> DataFrame:
 
 FEAT = """
 feat AS (
-  SELECT l_orderkey AS recording_id, sum(l_quantity) AS f_qty, avg(l_discount) AS f_discount,
-    avg(l_tax) AS f_tax, count(*)::DOUBLE AS f_lines, sum(l_extendedprice) AS f_price
+  SELECT l_orderkey AS recording_id, sum(l_quantity) AS f_qty, round(avg(l_discount), 12) AS f_discount,
+    round(avg(l_tax), 12) AS f_tax, count(*)::DOUBLE AS f_lines, round(sum(l_extendedprice), 9) AS f_price
   FROM lineitem GROUP BY l_orderkey
 )"""
 
@@ -84,10 +84,11 @@ def line_features(spark: SparkSession, sf: str) -> DataFrame:
     li = table(spark, sf, "lineitem")
     return li.groupBy(F.col("l_orderkey").alias("recording_id")).agg(
         F.sum("l_quantity").alias("f_qty"),
-        F.avg("l_discount").alias("f_discount"),
-        F.avg("l_tax").alias("f_tax"),
+        # rounded, so that the order of summation cannot split tied values
+        F.round(F.avg("l_discount"), 12).alias("f_discount"),
+        F.round(F.avg("l_tax"), 12).alias("f_tax"),
         F.count(F.lit(1)).cast("double").alias("f_lines"),
-        F.sum("l_extendedprice").alias("f_price"),
+        F.round(F.sum("l_extendedprice"), 9).alias("f_price"),
     )
 
 
