@@ -1,6 +1,6 @@
 """Every registered query; importing the modules fills the registry."""
 
 from ..registry import ORACLES, QUERIES
-from . import audit, experiments, signals, sources_scalars
+from . import audit, experiments, models, signals, sources_scalars
 
-__all__ = ["ORACLES", "QUERIES", "audit", "experiments", "signals", "sources_scalars"]
+__all__ = ["ORACLES", "QUERIES", "audit", "experiments", "models", "signals", "sources_scalars"]
