@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Name patterns, task codes, constants and the columns to redact.
@@ -29,8 +29,8 @@ IDENTIFYING_HARMONISED = ["path", "folder_path"]
 
 def code_signature(code: Column) -> Column:
     """Lower-case letters of a scrambled code, sorted."""
-    letters = F.filter(F.split(F.lower(code), ""), lambda c: c.rlike("^[a-z]$"))
-    return F.array_join(F.array_sort(letters), "")
+    letters = F.regexp_replace(F.lower(code), "[^a-z]", "")
+    return F.array_join(F.array_sort(F.split(letters, "")), "")
 
 
 def person_key(signature: Column, year: Column, sex: Column) -> Column:
@@ -65,40 +65,36 @@ def task_label(code: Column) -> Column:
     return F.coalesce(F.try_element_at(F.create_map(*pairs), F.upper(code)), F.lower(code))
 
 
-def first_corpus_fields(name: Column) -> dict[str, Column]:
-    """Fields of the six-part name; all NULL when the name does not match."""
-    ok = name.rlike(FIRST_PATTERN)
-
-    def part(i: int) -> Column:
-        return F.when(ok, F.regexp_extract(name, FIRST_PATTERN, i))
-
-    return {
-        "matched": ok,
-        "task_base": F.upper(part(1)),
-        "task_rep": part(2).try_cast("int"),
-        "code": part(3),
-        "birth_year_raw": part(4).try_cast("int"),
-        "sex": F.upper(part(5)),
-        "session_stamp": part(6),
-    }
-
-
-def second_corpus_fields(name: Column) -> dict[str, Column]:
-    ok = name.rlike(SECOND_PATTERN)
-
-    def part(i: int) -> Column:
-        return F.when(ok, F.regexp_extract(name, SECOND_PATTERN, i))
-
-    group = F.upper(part(2))
-    return {
-        "matched": ok,
-        "subject_id": F.when(ok, F.format_string("KCL_ID%02d", part(1).try_cast("bigint"))),
-        "group": group,
-        "label": (group == "PD").cast("int"),
-        "severity_hy": part(3).try_cast("double"),
-        "severity_u2": part(4).try_cast("double"),
-        "severity_u3": part(5).try_cast("double"),
-    }
+def _match(df: DataFrame, name: str, pattern: str, groups: int) -> DataFrame:
+    """Add ``matched`` and ``_parts``: one match that lists all groups."""
+    listed = "\n".join(f"${i + 1}" for i in range(groups))
+    col = F.col(name)
+    ok = col.rlike(pattern)
+    return df.withColumn("matched", ok).withColumn(
+        "_parts", F.when(F.col("matched"), F.split(F.regexp_replace(col, pattern, listed), "\n"))
+    )
+
+
+def decode_first(df: DataFrame, name: str) -> DataFrame:
+    """Fields of the six-part name; all NULL and ``matched`` false when it does not match."""
+    part = F.col("_parts")
+    return _match(df, name, FIRST_PATTERN, 6).select(
+        *df.columns, "matched", F.upper(part[0]).alias("task_base"), part[1].try_cast("int").alias("task_rep"),
+        part[2].alias("code"), part[3].try_cast("int").alias("birth_year_raw"), F.upper(part[4]).alias("sex"),
+        part[5].alias("session_stamp"),
+    )
+
+
+def decode_second(df: DataFrame, name: str) -> DataFrame:
+    part = F.col("_parts")
+    group = F.upper(part[1])
+    return _match(df, name, SECOND_PATTERN, 5).select(
+        *df.columns, "matched",
+        F.when(F.col("matched"), F.format_string("KCL_ID%02d", part[0].try_cast("bigint"))).alias("subject_id"),
+        group.alias("group"), (group == "PD").cast("int").alias("label"),
+        part[2].try_cast("double").alias("severity_hy"), part[3].try_cast("double").alias("severity_u2"),
+        part[4].try_cast("double").alias("severity_u3"),
+    )
 
 
 def parent_parts(path: Column) -> Column:

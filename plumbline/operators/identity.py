@@ -14,7 +14,7 @@ from .ordering import dense_position, dense_rank
 
 def parse_names(files: DataFrame, name: str = "name") -> tuple[DataFrame, DataFrame]:
     """``(parsed, rejected)`` from one parse of a name column."""
-    flagged = files.select("*", *[c.alias(k) for k, c in N.first_corpus_fields(F.col(name)).items()])
+    flagged = N.decode_first(files, name)
     parsed = (
         flagged.where("matched").drop("matched")
         .withColumn("code_signature", N.code_signature(F.col("code")))

@@ -26,7 +26,8 @@ from ..session import is_small
 from .metrics import add_lower_ranges, auroc
 from .ordering import dense_position, with_ranges
 
-DRAW_BLOCKS = 8
+#: A small input is copied once per this many draws to spread the draws over tasks.
+DRAWS_PER_BLOCK = 64
 MATRIX_CELLS = 2_000_000
 
 
@@ -71,7 +72,7 @@ def poisson_draws(part: DataFrame, keys: Sequence[str], unit: str, n_boot: int,
     small = is_small(rows)
     # A small input is one range per key; the draws are spread instead.
     rows = rows.withColumn("_range", F.lit(0)) if small else with_ranges(rows, ["score"])
-    blocks = min(DRAW_BLOCKS, n_boot) if small else 1
+    blocks = -(-n_boot // DRAWS_PER_BLOCK) if small else 1
     rows = rows.withColumn("_block", F.explode(F.array(*[F.lit(b) for b in range(blocks)])))
     types = {f.name: f.dataType for f in rows.schema.fields}
     schema = T.StructType(

@@ -25,68 +25,84 @@ def moments(df: DataFrame, keys: Sequence[str], features: Sequence[str]) -> Data
     return df.groupBy(*keys).agg(*aggs)
 
 
-def merge(parts: DataFrame, keys: Sequence[str], features: Sequence[str], n_keys: int) -> DataFrame:
-    """Moments of the union of disjoint parts, from the parts' moments.
+def class_moments(df: DataFrame, keys: Sequence[str], features: Sequence[str], label: str = "label") -> DataFrame:
+    """Moments of both classes in one row: ``n<y>, m<y>_<f>, q<y>_<f>``; an empty class is 0."""
+    aggs = []
+    for y in (0, 1):
+        here = F.col(label) == y
+        n = F.count_if(here).cast("double")
+        aggs.append(n.alias(f"n{y}"))
+        for f in features:
+            x = F.when(here, F.col(f))
+            aggs += [
+                F.coalesce(F.avg(x), F.lit(0.0)).alias(f"m{y}_{f}"),
+                F.coalesce(F.var_pop(x) * n, F.lit(0.0)).alias(f"q{y}_{f}"),
+            ]
+    return df.groupBy(*keys).agg(*aggs)
+
+
+def merge(parts: DataFrame, keys: Sequence[str], features: Sequence[str], label: str, n_keys: int) -> DataFrame:
+    """Class moments of the union of disjoint parts ``label, n, m_<f>, q_<f>``.
 
     Two levels: the merged mean first, then deviations around it. ``n_keys`` is the
     number of distinct keys by design and decides how the means travel back.
     """
-    n = F.col("n")
-    means = parts.groupBy(*keys).agg(
-        F.sum(n).alias("_N"), *[(F.sum(n * F.col(f"m_{f}")) / F.sum(n)).alias(f"_M_{f}") for f in features]
-    )
+    def w(y):
+        return F.when(F.col(label) == y, F.col("n")).otherwise(0.0)
+
+    means = parts.groupBy(*keys).agg(*[
+        F.coalesce(F.try_divide(F.sum(w(y) * F.col(f"m_{f}")), F.sum(w(y))), F.lit(0.0)).alias(f"_M{y}_{f}")
+        for y in (0, 1) for f in features
+    ])
     joined = attach(parts, means, keys, n_keys, len(features))
-    return joined.groupBy(*keys).agg(
-        F.max("_N").alias("n"),
-        *[F.max(f"_M_{f}").alias(f"m_{f}") for f in features],
-        *[
-            F.sum(F.col(f"q_{f}") + n * (F.col(f"m_{f}") - F.col(f"_M_{f}")) * (F.col(f"m_{f}") - F.col(f"_M_{f}"))).alias(f"q_{f}")
-            for f in features
-        ],
-    )
+    aggs = []
+    for y in (0, 1):
+        aggs.append(F.sum(w(y)).alias(f"n{y}"))
+        for f in features:
+            gap = F.col(f"m_{f}") - F.col(f"_M{y}_{f}")
+            spread = F.when(F.col(label) == y, F.col(f"q_{f}") + F.col("n") * gap * gap).otherwise(0.0)
+            aggs += [F.max(f"_M{y}_{f}").alias(f"m{y}_{f}"), F.sum(spread).alias(f"q{y}_{f}")]
+    return joined.groupBy(*keys).agg(*aggs)
 
 
-def held_out_models(per_fold: DataFrame, keys: Sequence[str], features: Sequence[str], label: str = "label") -> DataFrame:
+def held_out_models(per_fold: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
     """One model per ``(keys, fold)``, trained on the other folds.
 
-    ``per_fold`` holds moments per ``(keys, fold, label)``; a key has one row per
-    fold and class, so the windows below are over a handful of rows.
+    ``per_fold`` holds class moments per ``(keys, fold)``: the windows below are over
+    the handful of folds of a key.
     """
-    keys = list(keys)
-    # every fold needs both classes listed, also when its own test rows lack one
-    folds = per_fold.select(*keys, "fold").distinct()
-    classes = folds.withColumn(label, F.explode(F.array(F.lit(0), F.lit(1))))
-    full = classes.join(per_fold, [*keys, "fold", label], "left").na.fill(0.0)
-    w = W.partitionBy(*keys, label)
-    n = F.col("n")
-    total = full.withColumn("_N", F.sum(n).over(w))
-    for f in features:
-        total = total.withColumn(f"_M_{f}", F.try_divide(F.sum(n * F.col(f"m_{f}")).over(w), F.col("_N")))
-    for f in features:
-        gap = F.col(f"m_{f}") - F.col(f"_M_{f}")
-        total = total.withColumn(f"_Q_{f}", F.sum(F.col(f"q_{f}") + n * gap * gap).over(w))
-    rest = F.col("_N") - n
-    cols = [rest.alias("n")]
-    for f in features:
-        mean = F.try_divide(F.col("_N") * F.col(f"_M_{f}") - n * F.col(f"m_{f}"), rest)
-        gap = F.col(f"m_{f}") - mean
-        left = F.col(f"_Q_{f}") - F.col(f"q_{f}") - gap * gap * n * F.try_divide(rest, F.col("_N"))
-        cols += [mean.alias(f"m_{f}"), F.greatest(left, F.lit(0.0)).alias(f"q_{f}")]
-    return to_models(total.select(*keys, "fold", label, *cols), [*keys, "fold"], features, label)
-
-
-def to_models(stats: DataFrame, keys: Sequence[str], features: Sequence[str], label: str = "label") -> DataFrame:
-    """Moments per class to one wide row per model: ``_prior, _<f>_{m,v}{0,1}``."""
-    one = lambda c, y: F.max(F.when((F.col(label) == y) & (F.col("n") > 0), c))
-    n = F.col("n")
-    aggs = [(F.log(one(n, 1)) - F.log(one(n, 0))).alias("_prior")]
+    w = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
+    pairs = [(y, f) for y in (0, 1) for f in features]
+    total = per_fold.select("*", *[F.sum(f"n{y}").over(w).alias(f"_N{y}") for y in (0, 1)])
+    total = total.select("*", *[
+        F.coalesce(F.try_divide(F.sum(F.col(f"n{y}") * F.col(f"m{y}_{f}")).over(w), F.col(f"_N{y}")), F.lit(0.0)).alias(f"_M{y}_{f}")
+        for y, f in pairs
+    ])
+
+    def spread(y, f):
+        gap = F.col(f"m{y}_{f}") - F.col(f"_M{y}_{f}")
+        return F.col(f"q{y}_{f}") + F.col(f"n{y}") * gap * gap
+
+    total = total.select("*", *[F.sum(spread(y, f)).over(w).alias(f"_Q{y}_{f}") for y, f in pairs])
+    cols = [(F.col(f"_N{y}") - F.col(f"n{y}")).alias(f"n{y}") for y in (0, 1)]
+    for y, f in pairs:
+        n, big = F.col(f"n{y}"), F.col(f"_N{y}")
+        mean = F.try_divide(big * F.col(f"_M{y}_{f}") - n * F.col(f"m{y}_{f}"), big - n)
+        gap = F.col(f"m{y}_{f}") - mean
+        left = F.col(f"_Q{y}_{f}") - F.col(f"q{y}_{f}") - gap * gap * n * F.try_divide(big - n, big)
+        cols += [mean.alias(f"m{y}_{f}"), F.greatest(left, F.lit(0.0)).alias(f"q{y}_{f}")]
+    return to_models(total.select(*keys, "fold", *cols), [*keys, "fold"], features)
+
+
+def to_models(stats: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
+    """Class moments to model parameters ``_prior, _<f>_{m,v,l}{0,1}``; ``l`` is log variance."""
+    both = (F.col("n0") > 0) & (F.col("n1") > 0)
+    cols = [F.when(both, F.log("n1") - F.log("n0")).alias("_prior")]
     for f in features:
         for y in (0, 1):
-            aggs += [
-                one(F.col(f"m_{f}"), y).alias(f"_{f}_m{y}"),
-                one(F.try_divide(F.col(f"q_{f}"), n) + F.lit(FLOOR), y).alias(f"_{f}_v{y}"),
-            ]
-    return stats.groupBy(*keys).agg(*aggs)
+            var = F.try_divide(F.col(f"q{y}_{f}"), F.col(f"n{y}")) + F.lit(FLOOR)
+            cols += [F.col(f"m{y}_{f}").alias(f"_{f}_m{y}"), var.alias(f"_{f}_v{y}"), F.log(var).alias(f"_{f}_l{y}")]
+    return stats.select(*keys, *cols)
 
 
 def log_odds(features: Sequence[str]) -> Column:
@@ -96,7 +112,7 @@ def log_odds(features: Sequence[str]) -> Column:
         x = F.col(f)
         for y, sign in ((1, -1.0), (0, 1.0)):
             m, v = F.col(f"_{f}_m{y}"), F.col(f"_{f}_v{y}")
-            total = total + F.lit(sign) * (F.log(v) + (x - m) * (x - m) / v) / 2
+            total = total + F.lit(sign) * (F.col(f"_{f}_l{y}") + (x - m) * (x - m) / v) / 2
     return total
 
 
@@ -112,7 +128,7 @@ def summed_log_odds(features: Sequence[str]) -> Column:
         for y, sign in ((1, -1.0), (0, 1.0)):
             m, v = F.col(f"_{f}_m{y}"), F.col(f"_{f}_v{y}")
             gap = F.col(f"m_{f}") - m
-            total = total + F.lit(sign) * (n * F.log(v) + (F.col(f"q_{f}") + n * gap * gap) / v) / 2
+            total = total + F.lit(sign) * (n * F.col(f"_{f}_l{y}") + (F.col(f"q_{f}") + n * gap * gap) / v) / 2
     return total
 
 
@@ -122,5 +138,5 @@ def attach(rows: DataFrame, models: DataFrame, keys: Sequence[str], n_models: in
     ``n_models`` is cells times arms times repeats times folds, known before any
     data is read.
     """
-    size = n_models * (1 + 4 * n_features) * 16
+    size = n_models * (1 + 6 * n_features) * 16
     return rows.join(F.broadcast(models) if size <= 32 * 1024 * 1024 else models, list(keys))

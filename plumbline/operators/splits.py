@@ -35,50 +35,80 @@ def grouping_column(df: DataFrame, arm: str) -> str | None:
     return column
 
 
-def _repeats(n: int):
-    return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-
 def _deal(units: DataFrame, cell: Sequence[str], k: int, n_repeats: int, seed: int) -> DataFrame:
-    """Units ``cell, arm, _unit, label`` to ``cell, arm, _unit, repeat, fold``."""
-    rows = units.withColumn("_h", D.text_key(F.col("_unit"))).withColumn("repeat", _repeats(n_repeats))
+    """Units ``cell, arm, _unit, label`` to ``cell, arm, _unit, _folds`` (one per repeat)."""
+    rows = units.withColumn("_h", D.text_key(F.col("_unit"))).withColumn(
+        "repeat", F.explode(F.sequence(F.lit(0), F.lit(n_repeats - 1)))
+    )
     rows = rows.withColumn("_u", D.draw(seed, F.col("repeat"), F.col("_h")))
     placed = dense_position(
         rows, [*cell, "arm", "repeat", "label"], ["_u", "_unit"], "_i", hashed=True, fanout=n_repeats
     )
-    return placed.withColumn("fold", F.pmod(F.col("_i") - 1, F.lit(k)).cast("bigint")).drop("_i", "_u", "_h")
+    fold = F.pmod(F.col("_i") - 1, F.lit(k)).cast("bigint")
+    at = [F.max(F.when(F.col("repeat") == r, fold)) for r in range(n_repeats)]
+    return placed.groupBy(*cell, "arm", "_unit").agg(F.array(*at).alias("_folds"))
 
 
-def assign_folds(
+def pack_folds(
     df: DataFrame, arms: Sequence[str], k: int = 5, n_repeats: int = 5, seed: int = 42, cell: Sequence[str] = ()
 ) -> DataFrame:
-    """All rows of ``df`` once per arm and repeat with their test ``fold``.
+    """``df`` plus ``_folds``: an array of ``(arm, repeat, fold)``, one row per recording.
 
-    ``df`` has ``recording_id, subject_id, label`` and the grouping columns.
+    Folds are dealt on slim rows (keys and label); features travel once, in the last
+    join. ``recording_id`` must be unique within a cell.
     """
-    cell, parts, grouped = list(cell), [], []
-    for arm in arms:
-        column = grouping_column(df, arm)
-        if column is None:
-            units = df.withColumn("arm", F.lit(arm)).withColumn("_unit", F.col("recording_id").cast("string"))
-            parts.append(_deal(units, cell, k, n_repeats, seed).drop("_unit"))
-        elif column == "corpus":
-            corpora = dense_rank(df, cell, "corpus", "_fold", bounded=True)
-            rows = df.join(corpora, [*cell, "corpus"])
-            parts.append(
-                rows.withColumn("arm", F.lit(arm)).withColumn("repeat", _repeats(n_repeats))
-                .withColumn("fold", F.col("_fold") - 1).drop("_fold")
-            )
-        else:
-            grouped.append((arm, column))
+    cell = list(cell)
+    columns = {arm: grouping_column(df, arm) for arm in arms}
+    slim = df.select(*dict.fromkeys([*cell, "recording_id", "label", *[c for c in columns.values() if c]]))
+    per_arm = []
+    for arm in [a for a, c in columns.items() if c is None]:
+        units = slim.select(*cell, "label", F.lit(arm).alias("arm"), F.col("recording_id").cast("string").alias("_unit"))
+        dealt = _deal(units, cell, k, n_repeats, seed)
+        kind = dict(df.dtypes)["recording_id"]
+        per_arm.append(dealt.select(*cell, F.col("_unit").cast(kind).alias("recording_id"), "arm", "_folds"))
+    grouped = [(a, c) for a, c in columns.items() if c not in (None, "corpus")]
     if grouped:
-        # Each row carries its unit once per grouped arm; one plan deals all arms.
         pairs = F.array(*[F.struct(F.lit(a).alias("arm"), F.col(c).cast("string").alias("_unit")) for a, c in grouped])
-        rows = df.withColumn("_pair", F.explode(pairs)).select("*", "_pair.*").drop("_pair")
+        rows = slim.select(*cell, "recording_id", "label", F.inline(pairs))
         units = rows.groupBy(*cell, "arm", "_unit").agg(F.max("label").alias("label"))
-        folds = _deal(units, cell, k, n_repeats, seed).drop("label")
-        parts.append(rows.join(folds, [*cell, "arm", "_unit"]).drop("_unit"))
-    return reduce(DataFrame.unionByName, parts)
+        dealt = _deal(units, cell, k, n_repeats, seed)
+        per_arm.append(rows.join(dealt, [*cell, "arm", "_unit"]).select(*cell, "recording_id", "arm", "_folds"))
+    out, listed = df, []
+    if per_arm:
+        dealt_arms = [a for a, c in columns.items() if c != "corpus"]
+        wide = reduce(DataFrame.unionByName, per_arm).groupBy(*cell, "recording_id").agg(
+            *[F.max(F.when(F.col("arm") == a, F.col("_folds"))).alias(f"_f_{a}") for a in dealt_arms]
+        )
+        out = out.join(wide, [*cell, "recording_id"])
+        listed += [(a, F.col(f"_f_{a}")) for a in dealt_arms]
+    for arm in [a for a, c in columns.items() if c == "corpus"]:
+        corpora = dense_rank(slim, cell, "corpus", "_f_corpus", bounded=True)
+        out = out.join(corpora, [*cell, "corpus"])
+        listed.append((arm, F.array_repeat(F.col("_f_corpus") - 1, n_repeats)))
+    entries = [_entries(arm, folds) for arm, folds in listed]
+    return out.select(*df.columns, F.concat(*entries).alias("_folds"))
+
+
+def _entries(arm: str, folds):
+    return F.transform(
+        folds, lambda f, r: F.struct(F.lit(arm).alias("arm"), r.cast("int").alias("repeat"), f.alias("fold"))
+    )
+
+
+def unpack_folds(packed: DataFrame, *columns: str) -> DataFrame:
+    """Long form: the row once per arm and repeat. A generator, no shuffle."""
+    keep = columns or [c for c in packed.columns if c != "_folds"]
+    return packed.select(*keep, F.inline("_folds"))
+
+
+def assign_folds(
+    df: DataFrame, arms: Sequence[str], k: int = 5, n_repeats: int = 5, seed: int = 42, cell: Sequence[str] = ()
+) -> DataFrame:
+    """All rows of ``df`` once per arm and repeat with their test ``fold``.
+
+    ``df`` has ``recording_id, label`` and the grouping columns of the arms.
+    """
+    return unpack_folds(pack_folds(df, arms, k, n_repeats, seed, cell))
 
 
 def leakage_report(folds: DataFrame, cell: Sequence[str] = (), subject: str = "subject_id") -> DataFrame:

@@ -77,9 +77,7 @@ parsed2 AS (
 
 
 def parsed(spark, sf):
-    src = names(spark, sf)
-    ok = src.select("*", *[c.alias(k) for k, c in N.first_corpus_fields(F.col("name")).items()]).where("matched")
-    return ok.drop("matched").withColumn("code_signature", N.code_signature(F.col("code"))).withColumn(
+    return N.decode_first(names(spark, sf), "name").where("matched").drop("matched").withColumn("code_signature", N.code_signature(F.col("code"))).withColumn(
         "session_date", N.session_date(F.col("session_stamp"))
     )
 
@@ -200,8 +198,7 @@ def s07(spark, sf):
 @query("s08_reject_channel", f"""
 WITH {NAMES} SELECT recording_id, name, regexp_matches(name, '{N.FIRST_PATTERN}') AS parsed FROM names""")
 def s08(spark, sf):
-    src = names(spark, sf)
-    flagged = src.withColumn("parsed", N.first_corpus_fields(F.col("name"))["matched"])
+    flagged = N.decode_first(names(spark, sf), "name").withColumnRenamed("matched", "parsed")
     good, bad = flagged.where("parsed"), flagged.where("NOT parsed")
     return good.unionByName(bad).select("recording_id", "name", "parsed")
 
@@ -222,8 +219,7 @@ SELECT name, 'KCL_ID' || (CASE WHEN length(f.id) < 2 THEN '0' || f.id ELSE f.id
   (upper(f.g) = 'PD')::INTEGER AS label, f.hy::DOUBLE AS severity_hy, f.u2::DOUBLE AS severity_u2, f.u3::DOUBLE AS severity_u3
 FROM p""")
 def p02(spark, sf):
-    src = names2(spark, sf)
-    return src.select("name", *[c.alias(k) for k, c in N.second_corpus_fields(F.col("name")).items()]).where("matched").drop("matched")
+    return N.decode_second(names2(spark, sf).select("name"), "name").where("matched").drop("matched")
 
 
 @query("p03_code_signature", f"""

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from ..operators import resample as R
 from ..operators import scorer as S
 from ..operators.metrics import auroc, to_participants
-from ..operators.splits import assign_folds, leakage_report, training_subsets
+from ..operators.splits import assign_folds, leakage_report, pack_folds, training_subsets, unpack_folds
 from ..session import materialise
 
+KEYS = ["recording_id", "subject_id", "label", "folder_path", "corpus"]
+
 #: Number of corpora assumed when sizing leave-one-corpus-out models.
 MAX_CORPORA = 64
 
@@ -26,8 +28,7 @@ def score_out_of_fold(
 ) -> DataFrame:
     """``folds`` rows with the log odds of the model that did not see their fold."""
     keys = [*cell, "arm", "repeat"]
-    per_fold = S.moments(folds, [*keys, "fold", "label"], features)
-    models = S.held_out_models(per_fold, keys, features)
+    models = S.held_out_models(S.class_moments(folds, [*keys, "fold"], features), keys, features)
     scored = S.attach(folds, models, [*keys, "fold"], n_models, len(features))
     return scored.withColumn("score", S.log_odds(features))
 
@@ -51,11 +52,12 @@ def run_arms(
     cell = list(cell)
     every = sorted({f for fs in feature_sets.values() for f in fs})
     keep = [*cell, "recording_id", "subject_id", "folder_path", "corpus", "label"]
-    folds = assign_folds(df.select(*dict.fromkeys([*keep, *every])), arms, k, n_repeats, seed, cell)
-    # Every consumer below starts from the averaged scores; compute them once.
+    # Dealt once, one row per recording; every consumer unpacks it as it reads.
+    packed = materialise(pack_folds(df.select(*dict.fromkeys([*keep, *every])), arms, k, n_repeats, seed, cell))
     keys = [*cell, "arm", "repeat"]
-    per_fold = S.moments(folds, [*keys, "fold", "label"], every)
-    models = S.held_out_models(per_fold, keys, every)
+    training = unpack_folds(packed, *cell, "label", *every)
+    models = S.held_out_models(S.class_moments(training, [*keys, "fold"], every), keys, every)
+    folds = unpack_folds(packed, *cell, "recording_id", "subject_id", "label", *every)
     rows = S.attach(folds, models, [*keys, "fold"], _n_models(n_cells, arms, k, n_repeats), len(every))
     scores = rows.select(
         *keys, "recording_id", "subject_id", "label",
@@ -71,7 +73,7 @@ def run_arms(
     people = to_participants(oof, by)
     part = R.bootstrap_ci(people, by, "subject_id", n_boot, seed=seed)
     rec = R.bootstrap_ci(oof, by, "recording_id", n_boot, seed=seed)
-    leaks = leakage_report(folds, cell).groupBy(*cell, "arm").agg(
+    leaks = leakage_report(unpack_folds(packed, *cell, "subject_id"), cell).groupBy(*cell, "arm").agg(
         F.avg("n_leaked_participants").alias("leaked_per_fold")
     )
     return (
@@ -116,9 +118,10 @@ def pivot_arms(grid: DataFrame, arms: Sequence[str], value: str = "auroc_partici
 
 def optimism(df: DataFrame, arms: Sequence[str], features: Sequence[str], k: int = 5, n_repeats: int = 5, seed: int = 42) -> DataFrame:
     """``arm, repeat, fold, side, auroc``: training against held-out AUROC per fold."""
-    folds = assign_folds(df, arms, k, n_repeats, seed)
+    packed = pack_folds(df.select(*dict.fromkeys([*KEYS, *features])), arms, k, n_repeats, seed)
+    folds = unpack_folds(materialise(packed), "label", *features)
     keys = ["arm", "repeat"]
-    models = S.held_out_models(S.moments(folds, [*keys, "fold", "label"], features), keys, features)
+    models = S.held_out_models(S.class_moments(folds, [*keys, "fold"], features), keys, features)
     models = models.withColumnRenamed("fold", "model_fold")
     rows = S.attach(folds, models, keys, _n_models(1, arms, k, n_repeats), len(features))
     scored = rows.select(
@@ -140,7 +143,8 @@ def arm_summary(per_fold: DataFrame) -> DataFrame:
 
 def participant_scores(df: DataFrame, arms: Sequence[str], features: Sequence[str], k: int = 5, n_repeats: int = 5, seed: int = 42, cell: Sequence[str] = (), n_cells: int = 1) -> DataFrame:
     """``cell, arm, subject_id, label, score``: out-of-fold means per participant."""
-    folds = assign_folds(df, arms, k, n_repeats, seed, cell)
+    packed = pack_folds(df.select(*dict.fromkeys([*cell, *KEYS, *features])), arms, k, n_repeats, seed, cell)
+    folds = unpack_folds(materialise(packed))
     scored = score_out_of_fold(folds, features, cell, _n_models(n_cells, arms, k, n_repeats))
     oof = scored.groupBy(*cell, "arm", "recording_id", "subject_id", "label").agg(F.avg("score").alias("score"))
     return to_participants(oof, [*cell, "arm"])
@@ -164,7 +168,7 @@ def permutation_null(
     fold, so recordings are reduced to moments per (arm, participant, fold) before
     anything is multiplied by the number of permutations.
     """
-    folds = assign_folds(df, arms, k, 1, seed)
+    folds = assign_folds(df.select(*dict.fromkeys([*KEYS, *features])), arms, k, 1, seed)
     base = materialise(S.moments(folds, ["arm", "subject_id", "fold", "label"], features))
     people = base.select("arm", "subject_id", "label").distinct()
     subjects = people.where(F.col("arm") == arms[0]).select("subject_id", "label")
@@ -174,7 +178,7 @@ def permutation_null(
     rows = base.drop("label").join(labels, "subject_id")
     keys = ["arm", "perm"]
     n_models = len(arms) * (n_perm + 1) * k
-    per_fold = S.merge(rows, [*keys, "fold", "label_perm"], features, 2 * n_models).withColumnRenamed("label_perm", "label")
+    per_fold = S.merge(rows, [*keys, "fold"], features, "label_perm", n_models)
     models = S.held_out_models(per_fold, keys, features)
     scored = S.attach(rows, models, [*keys, "fold"], n_models, len(features))
     people = scored.groupBy(*keys, "subject_id", F.col("label_perm").alias("label")).agg(
@@ -188,14 +192,15 @@ def learning_curve(
     k: int = 5, n_repeats: int = 3, seed: int = 42,
 ) -> DataFrame:
     """``repeat, fold, fraction, n_train_participants, auroc_train, auroc_test``."""
+    df = materialise(df.select(*dict.fromkeys([*KEYS, *features])))
     folds = assign_folds(df, ["C_subject_key"], k, n_repeats, seed)
-    chosen = training_subsets(folds, fractions, seed)
+    chosen = materialise(training_subsets(folds, fractions, seed))
     keys = ["repeat", "fold", "fraction", "n_train_participants"]
     # Participants are the training unit: reduce recordings to moments first.
-    per_subject = S.moments(df, ["subject_id", "label"], features)
-    picked = chosen.join(per_subject, "subject_id")
+    picked = chosen.join(S.moments(df, ["subject_id", "label"], features), "subject_id")
     n_models = n_repeats * k * len(fractions)
-    models = S.to_models(S.merge(picked, [*keys, "label"], features, 2 * n_models), keys, features).where("_prior IS NOT NULL")
+    stats = S.merge(picked, keys, features, "label", n_models)
+    models = materialise(S.to_models(stats, keys, features).where("_prior IS NOT NULL"))
     train = chosen.join(df.select("subject_id", "label", *features), "subject_id").withColumn("side", F.lit("train"))
     sizes = models.select(*keys)
     test = folds.select("repeat", "fold", "subject_id", "label", *features).join(

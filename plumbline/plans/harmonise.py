@@ -32,8 +32,7 @@ def first_corpus(meta: DataFrame, corpus: str, language: str, positive: str, kee
 
 def second_corpus(files: DataFrame, corpus: str, language: str) -> tuple[DataFrame, DataFrame]:
     """``(rows, rejected)`` from ``path`` rows; age and sex are unpublished and stay NULL."""
-    name = F.element_at(F.split("path", "/"), -1)
-    flagged = files.select("path", *[c.alias(k) for k, c in N.second_corpus_fields(name).items()])
+    flagged = N.decode_second(files.select("path", F.element_at(F.split("path", "/"), -1).alias("name")), "name")
     tasks = {SHARED_TASK: ("ReadText", "readtext"), "spontaneous_dialogue": ("SpontaneousDialogue", "spontaneous")}
     null = F.lit(None)
     rows = _conform(flagged.where("matched").select(
