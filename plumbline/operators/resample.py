@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import draws as D
-from ..session import is_small
+from ..session import is_small, materialise
 from .metrics import add_lower_ranges, auroc
 from .ordering import dense_position, with_ranges
 
@@ -79,7 +79,10 @@ def poisson_draws(part: DataFrame, keys: Sequence[str], unit: str, n_boot: int,
         [T.StructField(k, types[k]) for k in [*keys, "_range"]]
         + [T.StructField(n, T.LongType()) for n in ("draw", "_p", "_n")] + [T.StructField("_u", T.DoubleType())]
     )
-    ranges = rows.groupBy(*keys, "_range", "_block").applyInPandas(_range_kernel(keys, n_boot, blocks, seed), schema)
+    # a fixed number of tasks: the groups are small in bytes but not in work
+    group = [*keys, "_range", "_block"]
+    rows = rows.repartition(int(part.sparkSession.conf.get("spark.sql.shuffle.partitions")), *group)
+    ranges = rows.groupBy(*group).applyInPandas(_range_kernel(keys, n_boot, blocks, seed), schema)
     if not small:
         ranges = add_lower_ranges(ranges, [*keys, "draw"])
         ranges = ranges.groupBy(*keys, "draw").agg(*[F.sum(c).alias(c) for c in ("_p", "_n", "_u")])
@@ -105,10 +108,16 @@ METHODS = {"poisson": poisson_draws, "multinomial": multinomial_draws}
 
 def bootstrap_ci(
     part: DataFrame, keys: Sequence[str], unit: str = "subject_id", n_boot: int = 2000,
-    alpha: float = 0.05, seed: int = 42, method: str = "poisson",
+    alpha: float = 0.05, seed: int = 42, method: str = "poisson", ready: bool = False,
 ) -> DataFrame:
-    """``keys, auroc, ci_lo, ci_hi, n``; draws with a single class are left out."""
+    """``keys, auroc, ci_lo, ci_hi, n``; draws with a single class are left out.
+
+    The scores are read twice, for the point and for the draws; unless ``ready``
+    (already materialised) they are computed once and kept.
+    """
     keys = list(keys)
+    if not ready:
+        part = materialise(part.select(*keys, unit, "label", "score"))
     drawn = METHODS[method](part, keys, unit, n_boot, seed).where("auroc IS NOT NULL")
     band = drawn.groupBy(*keys).agg(F.percentile("auroc", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2))).alias("_q"))
     point = auroc(part, keys).select(*keys, "auroc", (F.col("n_pos") + F.col("n_neg")).alias("n"))
@@ -129,6 +138,7 @@ def paired_delta(
     """``keys, delta, ci_lo, ci_hi, p``: both scores see the same draws."""
     keys = list(keys)
     both = part.where(F.col(score_a).isNotNull() & F.col(score_b).isNotNull())
+    both = materialise(both.select(*keys, unit, "label", score_a, score_b))
     long = both.unpivot([*keys, unit, "label"], [score_a, score_b], "_which", "score")
     drawn = METHODS[method](long, [*keys, "_which"], unit, n_boot, seed)
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import draws as D
+from ..session import materialise
 from .ordering import dense_position, dense_rank
 
 # Arm names and the column each one groups by.
@@ -36,7 +37,7 @@ def grouping_column(df: DataFrame, arm: str) -> str | None:
 
 
 def _deal(units: DataFrame, cell: Sequence[str], k: int, n_repeats: int, seed: int) -> DataFrame:
-    """Units ``cell, arm, _unit, label`` to ``cell, arm, _unit, _folds`` (one per repeat)."""
+    """Units ``cell, arm, _unit, label`` to ``cell, arm, _unit, _f<repeat>``."""
     rows = units.withColumn("_h", D.text_key(F.col("_unit"))).withColumn(
         "repeat", F.explode(F.sequence(F.lit(0), F.lit(n_repeats - 1)))
     )
@@ -45,42 +46,48 @@ def _deal(units: DataFrame, cell: Sequence[str], k: int, n_repeats: int, seed: i
         rows, [*cell, "arm", "repeat", "label"], ["_u", "_unit"], "_i", hashed=True, fanout=n_repeats
     )
     fold = F.pmod(F.col("_i") - 1, F.lit(k)).cast("bigint")
-    at = [F.max(F.when(F.col("repeat") == r, fold)) for r in range(n_repeats)]
-    return placed.groupBy(*cell, "arm", "_unit").agg(F.array(*at).alias("_folds"))
+    return placed.groupBy(*cell, "arm", "_unit").agg(
+        *[F.max(F.when(F.col("repeat") == r, fold)).alias(f"_f{r}") for r in range(n_repeats)]
+    )
 
 
 def pack_folds(
-    df: DataFrame, arms: Sequence[str], k: int = 5, n_repeats: int = 5, seed: int = 42, cell: Sequence[str] = ()
+    df: DataFrame, arms: Sequence[str], k: int = 5, n_repeats: int = 5, seed: int = 42, cell: Sequence[str] = (),
+    ready: bool = False,
 ) -> DataFrame:
     """``df`` plus ``_folds``: an array of ``(arm, repeat, fold)``, one row per recording.
 
     Folds are dealt on slim rows (keys and label); features travel once, in the last
-    join. ``recording_id`` must be unique within a cell.
+    join. ``recording_id`` must be unique within a cell. The input is read for every
+    kind of unit and again for that join, so it is computed once and kept unless
+    ``ready`` (already materialised).
     """
     cell = list(cell)
+    if not ready:
+        df = materialise(df)
     columns = {arm: grouping_column(df, arm) for arm in arms}
     slim = df.select(*dict.fromkeys([*cell, "recording_id", "label", *[c for c in columns.values() if c]]))
-    per_arm = []
+    per_arm, at = [], [f"_f{r}" for r in range(n_repeats)]
     for arm in [a for a, c in columns.items() if c is None]:
         units = slim.select(*cell, "label", F.lit(arm).alias("arm"), F.col("recording_id").cast("string").alias("_unit"))
         dealt = _deal(units, cell, k, n_repeats, seed)
         kind = dict(df.dtypes)["recording_id"]
-        per_arm.append(dealt.select(*cell, F.col("_unit").cast(kind).alias("recording_id"), "arm", "_folds"))
+        per_arm.append(dealt.select(*cell, F.col("_unit").cast(kind).alias("recording_id"), "arm", *at))
     grouped = [(a, c) for a, c in columns.items() if c not in (None, "corpus")]
     if grouped:
         pairs = F.array(*[F.struct(F.lit(a).alias("arm"), F.col(c).cast("string").alias("_unit")) for a, c in grouped])
         rows = slim.select(*cell, "recording_id", "label", F.inline(pairs))
         units = rows.groupBy(*cell, "arm", "_unit").agg(F.max("label").alias("label"))
         dealt = _deal(units, cell, k, n_repeats, seed)
-        per_arm.append(rows.join(dealt, [*cell, "arm", "_unit"]).select(*cell, "recording_id", "arm", "_folds"))
+        per_arm.append(rows.join(dealt, [*cell, "arm", "_unit"]).select(*cell, "recording_id", "arm", *at))
     out, listed = df, []
     if per_arm:
         dealt_arms = [a for a, c in columns.items() if c != "corpus"]
         wide = reduce(DataFrame.unionByName, per_arm).groupBy(*cell, "recording_id").agg(
-            *[F.max(F.when(F.col("arm") == a, F.col("_folds"))).alias(f"_f_{a}") for a in dealt_arms]
+            *[F.max(F.when(F.col("arm") == a, F.col(f))).alias(f"{f}_{a}") for a in dealt_arms for f in at]
         )
         out = out.join(wide, [*cell, "recording_id"])
-        listed += [(a, F.col(f"_f_{a}")) for a in dealt_arms]
+        listed += [(a, F.array(*[f"{f}_{a}" for f in at])) for a in dealt_arms]
     for arm in [a for a, c in columns.items() if c == "corpus"]:
         corpora = dense_rank(slim, cell, "corpus", "_f_corpus", bounded=True)
         out = out.join(corpora, [*cell, "corpus"])
@@ -102,13 +109,14 @@ def unpack_folds(packed: DataFrame, *columns: str) -> DataFrame:
 
 
 def assign_folds(
-    df: DataFrame, arms: Sequence[str], k: int = 5, n_repeats: int = 5, seed: int = 42, cell: Sequence[str] = ()
+    df: DataFrame, arms: Sequence[str], k: int = 5, n_repeats: int = 5, seed: int = 42, cell: Sequence[str] = (),
+    ready: bool = False,
 ) -> DataFrame:
     """All rows of ``df`` once per arm and repeat with their test ``fold``.
 
     ``df`` has ``recording_id, label`` and the grouping columns of the arms.
     """
-    return unpack_folds(pack_folds(df, arms, k, n_repeats, seed, cell))
+    return unpack_folds(pack_folds(df, arms, k, n_repeats, seed, cell, ready))
 
 
 def leakage_report(folds: DataFrame, cell: Sequence[str] = (), subject: str = "subject_id") -> DataFrame:

@@ -36,6 +36,11 @@ def cohort(spark, sf):
     return recordings(spark, sf).where(F.col("group").isin("case", "control"))
 
 
+def slim(spark, sf):
+    """Only what dealing folds needs."""
+    return cohort(spark, sf).select(*E.KEYS)
+
+
 def participants(spark, sf):
     return M.to_participants(cohort(spark, sf), ["corpus"], score="header")
 
@@ -57,7 +62,7 @@ def _folds(name, arm):
 
     @query(name, sql)
     def run(spark, sf):
-        return X.assign_folds(cohort(spark, sf), [arm]).select("recording_id", "arm", "repeat", "fold")
+        return X.assign_folds(slim(spark, sf), [arm]).select("recording_id", "arm", "repeat", "fold")
 
     return run
 
@@ -87,14 +92,14 @@ def x05(spark, sf):
 
 @query("x06_leakage_report", f"WITH {RC}, {SQL.folds_sql(ABCD, 5, 5, SEED, 'rc')}, {LEAK} SELECT arm, repeat::INTEGER AS repeat, fold, n_test_recordings, n_leaked_participants, n_leaked_recordings FROM leak")
 def x06(spark, sf):
-    return X.leakage_report(X.assign_folds(cohort(spark, sf), ABCD))
+    return X.leakage_report(X.assign_folds(slim(spark, sf), ABCD))
 
 
 @query("x07_leakage_rates", f"""WITH {RC}, {SQL.folds_sql(ABC, 5, 5, SEED, 'rc')}, {LEAK}
 SELECT arm, count(*) AS folds, count(*) FILTER (n_leaked_participants > 0) AS folds_with_leakage, {s6('avg(n_leaked_participants)')} AS mean_leaked_participants,
  {s6('avg(n_leaked_recordings)')} AS mean_leaked_test_recordings, {s6('100.0 * sum(n_leaked_recordings) / sum(n_test_recordings)')} AS pct_test_recordings_leaked FROM leak GROUP BY arm""")
 def x07(spark, sf):
-    rates = X.check_contrast(X.leakage_rates(X.leakage_report(X.assign_folds(cohort(spark, sf), ABC))))
+    rates = X.check_contrast(X.leakage_rates(X.leakage_report(X.assign_folds(slim(spark, sf), ABC))))
     return rounded(rates, "mean_leaked_participants", "mean_leaked_test_recordings", "pct_test_recordings_leaked")
 
 
@@ -110,7 +115,7 @@ chosen AS (SELECT repeat, fold, fraction, least(n, greatest(4, round_even(fracti
 @query("x08_training_subsets", f"""WITH {RC}, {SQL.folds_sql(['C_subject_key'], 5, 3, SEED, 'rc')}, {SUBSETS}
 SELECT repeat::INTEGER AS repeat, fold, fraction, n_train_participants, subject_id FROM chosen""")
 def x08(spark, sf):
-    return X.training_subsets(X.assign_folds(cohort(spark, sf), ["C_subject_key"], n_repeats=3), FRACTIONS)
+    return X.training_subsets(X.assign_folds(slim(spark, sf), ["C_subject_key"], n_repeats=3), FRACTIONS)
 
 
 # -- metrics -----------------------------------------------------------------------------
@@ -468,7 +473,7 @@ def a18(spark, sf):
 @query("e07_aggregate_scorer", f"""WITH {FT}, {SQL.folds_sql(['C_subject_key'], 5, 5, SEED)}, {SQL.models_sql(LINES, AR)}, {SQL.scored_sql(LINES, AR)}
 SELECT recording_id, repeat::INTEGER AS repeat, fold, {s6('score')} AS score FROM scored""")
 def e07(spark, sf):
-    folds = X.assign_folds(feature_cohort(spark, sf), ["C_subject_key"])
+    folds = X.assign_folds(feature_cohort(spark, sf).select(*E.KEYS, *LINES), ["C_subject_key"])
     return rounded(E.score_out_of_fold(folds, LINES, [], 25).select("recording_id", "repeat", "fold", "score"), "score")
 
 

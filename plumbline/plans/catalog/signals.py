@@ -68,7 +68,12 @@ def arrays(spark, sf):
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("recording_id"), F.col("embedding").alias("samples"))
 
 
-@query("g05_spectral_shares")
+#: 64 samples sit in the middle of one centred 512-point frame; a plain DFT says the same.
+DFT = """x AS (SELECT vec_id, i - 1 + 256 AS n, embedding[i]::DOUBLE * (0.5 - 0.5 * cos(2 * pi() * (i - 1 + 256) / 512)) AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS i)),
+bins AS (SELECT vec_id, b, sqrt(pow(sum(v * cos(2 * pi() * b * n / 512)), 2) + pow(sum(v * sin(2 * pi() * b * n / 512)), 2)) AS mag FROM x, (SELECT unnest(range(257)) AS b) GROUP BY ALL)"""
+
+
+@query("g05_spectral_shares", f"""WITH {DFT} SELECT vec_id AS recording_id, {s6('sum(mag) FILTER (b < 20) / sum(mag)')} AS ch_lf_ratio, {s6('sum(mag) FILTER (b >= 200) / sum(mag)')} AS ch_hf_ratio FROM bins GROUP BY vec_id""")
 def g05(spark, sf):
     kept, _ = S.extract(arrays(spark, sf), "samples", "spectral", 16000)
     return kept.select("recording_id", r6(F.col("features")["ch_lf_ratio"]).alias("ch_lf_ratio"), r6(F.col("features")["ch_hf_ratio"]).alias("ch_hf_ratio"))
@@ -173,7 +178,7 @@ def g12(spark, sf):
     return out.select("recording_id", "pos", r6("x").alias("x"))
 
 
-@query("g13_bulk_extract")
+@query("g13_bulk_extract", """SELECT vec_id AS recording_id, CASE WHEN vec_id % 5 <> 0 THEN 2 END::INTEGER AS n_features, CASE WHEN vec_id % 5 = 0 THEN 'extractor returned no features' END AS error FROM embeddings""")
 def g13(spark, sf):
     """Every fifth signal is emptied, so that both outputs have rows."""
     src = arrays(spark, sf).withColumn("samples", F.when(F.col("recording_id") % 5 == 0, F.array().cast("array<float>")).otherwise(F.col("samples")))

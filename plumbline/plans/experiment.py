@@ -72,7 +72,7 @@ def run_arms(
     by = [*cell, "feature_set", "arm"]
     people = to_participants(oof, by)
     part = R.bootstrap_ci(people, by, "subject_id", n_boot, seed=seed)
-    rec = R.bootstrap_ci(oof, by, "recording_id", n_boot, seed=seed)
+    rec = R.bootstrap_ci(oof, by, "recording_id", n_boot, seed=seed, ready=True)
     leaks = leakage_report(unpack_folds(packed, *cell, "subject_id"), cell).groupBy(*cell, "arm").agg(
         F.avg("n_leaked_participants").alias("leaked_per_fold")
     )
@@ -147,7 +147,8 @@ def participant_scores(df: DataFrame, arms: Sequence[str], features: Sequence[st
     folds = unpack_folds(materialise(packed))
     scored = score_out_of_fold(folds, features, cell, _n_models(n_cells, arms, k, n_repeats))
     oof = scored.groupBy(*cell, "arm", "recording_id", "subject_id", "label").agg(F.avg("score").alias("score"))
-    return to_participants(oof, [*cell, "arm"])
+    # compared, resampled and scored by the callers
+    return materialise(to_participants(oof, [*cell, "arm"]))
 
 
 def leakage_effect(people: DataFrame, cell: Sequence[str], reference: str = "C_subject_key", n_boot: int = 2000, seed: int = 42) -> DataFrame:
@@ -174,7 +175,7 @@ def permutation_null(
     subjects = people.where(F.col("arm") == arms[0]).select("subject_id", "label")
     shuffled = R.permuted_labels(subjects, [], n_perm, seed)
     observed = subjects.select(F.lit(-1).alias("perm"), "subject_id", F.col("label").alias("label_perm"))
-    labels = shuffled.select("perm", "subject_id", "label_perm").unionByName(observed)
+    labels = materialise(shuffled.select("perm", "subject_id", "label_perm").unionByName(observed))
     rows = base.drop("label").join(labels, "subject_id")
     keys = ["arm", "perm"]
     n_models = len(arms) * (n_perm + 1) * k
@@ -184,7 +185,8 @@ def permutation_null(
     people = scored.groupBy(*keys, "subject_id", F.col("label_perm").alias("label")).agg(
         (F.sum(S.summed_log_odds(features)) / F.sum("n")).alias("score")
     )
-    return auroc(people, keys, fanout=n_perm + 1).select(*keys, "auroc")
+    # arms times permutations rows, read twice by the summary
+    return materialise(auroc(people, keys, fanout=n_perm + 1).select(*keys, "auroc"))
 
 
 def learning_curve(
@@ -193,7 +195,7 @@ def learning_curve(
 ) -> DataFrame:
     """``repeat, fold, fraction, n_train_participants, auroc_train, auroc_test``."""
     df = materialise(df.select(*dict.fromkeys([*KEYS, *features])))
-    folds = assign_folds(df, ["C_subject_key"], k, n_repeats, seed)
+    folds = assign_folds(df, ["C_subject_key"], k, n_repeats, seed, ready=True)
     chosen = materialise(training_subsets(folds, fractions, seed))
     keys = ["repeat", "fold", "fraction", "n_train_participants"]
     # Participants are the training unit: reduce recordings to moments first.

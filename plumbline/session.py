@@ -47,12 +47,32 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Checkpointed rows are stored plain; this many bytes hold what one byte of
+#: columnar file holds.
+ROW_BYTES_PER_FILE_BYTE = 4
+
+
+def _checkpoint_bytes(spark: SparkSession, rdd) -> int | None:
+    file = rdd.getCheckpointFile()
+    if not file.isDefined():
+        return None
+    path = spark._jvm.org.apache.hadoop.fs.Path(file.get())
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.getContentSummary(path).getLength() // ROW_BYTES_PER_FILE_BYTE
+
+
 def leaf_bytes(df: DataFrame) -> int:
-    """Catalyst's size estimate summed over the leaves of the plan."""
+    """Size summed over the leaves of the plan: Catalyst's estimate, or the files of
+    a checkpoint."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(
-        int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())
-    )
+    total = 0
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        size = None
+        if leaf.getClass().getSimpleName() == "LogicalRDD":
+            size = _checkpoint_bytes(df.sparkSession, leaf.rdd())
+        total += int(str(leaf.stats().sizeInBytes())) if size is None else size
+    return total
 
 
 def is_small(df: DataFrame, fanout: float = 1.0) -> bool:
