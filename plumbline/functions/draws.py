@@ -12,7 +12,7 @@ import math
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Largest prime below 2**32, odd multipliers below 2**31.
@@ -65,6 +65,12 @@ def text_key(col: Column) -> Column:
     return F.conv(F.substring(F.md5(col.cast("string")), 1, 8), 16, 10).cast("bigint")
 
 
+def unit_key(df: DataFrame, unit: str) -> Column:
+    """Integer key of a column: integers as they are, anything else through its text."""
+    whole = dict(df.dtypes)[unit] in ("tinyint", "smallint", "int", "bigint")
+    return F.col(unit).cast("bigint") if whole else text_key(F.col(unit))
+
+
 def poisson(seed: int, *keys: Column | int) -> Column:
     """Poisson(1) count by comparing one draw with fixed cut points."""
     u = draw(seed, *keys)

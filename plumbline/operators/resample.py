@@ -60,15 +60,10 @@ def _range_kernel(keys: list[str], n_boot: int, n_blocks: int, seed: int):
     return kernel
 
 
-def _unit_key(df: DataFrame, unit: str):
-    kind = dict(df.dtypes)[unit]
-    return F.col(unit).cast("bigint") if kind in ("int", "bigint", "smallint", "tinyint") else D.text_key(F.col(unit))
-
-
 def poisson_draws(part: DataFrame, keys: Sequence[str], unit: str, n_boot: int, seed: int) -> DataFrame:
     """``keys, draw, auroc`` over rows ``keys, unit, label, score``."""
     keys = list(keys)
-    rows = part.where(F.col("score").isNotNull()).select(*keys, _unit_key(part, unit).alias("unit"), "label", "score")
+    rows = part.where(F.col("score").isNotNull()).select(*keys, D.unit_key(part, unit).alias("unit"), "label", "score")
     small = is_small(rows)
     # A small input is one range per key; the draws are spread instead.
     rows = rows.withColumn("_range", F.lit(0)) if small else with_ranges(rows, ["score"])
@@ -167,7 +162,7 @@ def permuted_labels(subjects: DataFrame, keys: Sequence[str], n_perm: int, seed:
     """
     keys = list(keys)
     rows = subjects.select(*keys, unit, "label", F.explode(F.sequence(F.lit(0), F.lit(n_perm - 1))).alias("perm"))
-    rows = rows.withColumn("_u", D.draw(seed, F.col("perm"), _unit_key(subjects, unit)))
+    rows = rows.withColumn("_u", D.draw(seed, F.col("perm"), D.unit_key(subjects, unit)))
     placed = dense_position(rows, [*keys, "perm"], ["_u", unit], "_i", hashed=True, fanout=n_perm)
     n_pos = subjects.groupBy(*keys).agg(F.sum("label").alias("_pos"))
     placed = placed.join(n_pos, keys) if keys else placed.withColumn("_pos", n_pos.scalar())

@@ -166,7 +166,7 @@ def training_subsets(
     people = folds.select("repeat", subject, F.col("fold").alias("_own")).distinct()
     all_folds = folds.select("repeat", "fold").distinct()
     train = people.join(F.broadcast(all_folds), "repeat").where("fold <> _own").drop("_own")
-    train = train.withColumn("_u", D.draw(seed, F.col("repeat"), F.col("fold"), F.col(subject)))
+    train = train.withColumn("_u", D.draw(seed, F.col("repeat"), F.col("fold"), D.unit_key(train, subject)))
     placed = dense_position(train, ["repeat", "fold"], ["_u", subject], "_i", hashed=True, fanout=10)
     size = placed.groupBy("repeat", "fold").agg(F.count(F.lit(1)).alias("_n"))
     cut = F.greatest(F.lit(smallest), F.bround(F.col("fraction") * F.col("_n"))).cast("bigint")

@@ -395,7 +395,14 @@ def h01p(spark, sf):
     return rounded(H.welch(cohort(spark, sf), ["corpus"], "header", F.col("label") == 1), "t", "df", "p")
 
 
-@query("h02_fisher")
+LOGP = "lgamma(rw + 1) + lgamma(n - rw + 1) + lgamma(cl + 1) + lgamma(n - cl + 1) - lgamma(n + 1) - lgamma({k} + 1) - lgamma(rw - {k} + 1) - lgamma(cl - {k} + 1) - lgamma(n - rw - cl + {k} + 1)"
+
+
+@query("h02_fisher", f"""WITH j AS (SELECT lang, quality = 1 AS r, toxic = 1 AS t FROM labels JOIN documents USING (doc_id)),
+f AS (SELECT lang, count(*) FILTER (r AND t) AS a, count(*) FILTER (r AND NOT t) AS b, count(*) FILTER (NOT r AND t) AS c, count(*) FILTER (NOT r AND NOT t) AS d FROM j GROUP BY lang),
+g AS (SELECT *, a + b AS rw, a + c AS cl, a + b + c + d AS n FROM f),
+k AS (SELECT *, unnest(range(greatest(0, rw + cl - n), least(rw, cl) + 1)) AS k FROM g)
+SELECT lang, max(a) AS a, max(b) AS b, max(c) AS c, max(d) AS d, {s6(f"least(1, sum(CASE WHEN {LOGP.format(k='k')} <= {LOGP.format(k='a')} + 1e-7 THEN exp({LOGP.format(k='k')}) ELSE 0 END))")} AS p FROM k GROUP BY lang""")
 def h02(spark, sf):
     rows = table(spark, sf, "labels").join(table(spark, sf, "documents").select("doc_id", "lang"), "doc_id")
     return rounded(H.fisher(rows, ["lang"], F.col("quality") == 1, F.col("toxic") == 1), "p")

@@ -20,6 +20,7 @@ def list_files(
     """``path, length`` of every matching file below ``root`` or its group folders.
 
     A missing folder or an empty result is an error. File content is not read.
+    Files of length zero are not listed: Spark skips them.
     """
     roots = [f"{root}/{g}" for g in groups] if groups else [root]
     try:
