@@ -42,8 +42,14 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint."""
+    """Cut lineage with a reliable checkpoint.
+
+    A small input often sits in one file and one partition; it is spread over the
+    cores here, because everything that reads the checkpoint inherits its layout.
+    """
     checkpoint_folder(df.sparkSession)
+    if is_small(df):
+        df = df.repartition(df.sparkSession.sparkContext.defaultParallelism)
     return df.checkpoint(eager=True)
 
 
