@@ -9,8 +9,7 @@ The files are Parquet folders, so that they are written and committed by Spark o
 file system: ``codes`` holds ``shard, doc_id, n_tokens, control, data`` in ascending
 ``doc_id`` order within and across shards, ``ranks`` the id of every rank.
 
-Counting needs one pass and encoding another; texts are tokenised twice rather than
-kept as raw ids, which would be several times the size of the result.
+Texts are tokenised once, into a narrow intermediate table; ranks are counted on it.
 
 Edge cases: a null text counts as empty and holds only the end id; a null ``doc_id``
 comes first; rows with equal ids are kept, in the order of their token counts; other
@@ -28,13 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import scratch
+from .common import scratch, stored
 from .tokens import Encoder, vocabulary_path
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
 SHARDS_PER_PARTITION = 4
-COUNT_BYTES = 1 << 22
 
 #: Four lengths and their sum for every control byte.
 LENGTHS = ((np.arange(256)[:, None] >> np.array([0, 2, 4, 6])) & 3) + 1
@@ -67,25 +65,43 @@ def _encoder(vocabulary: str | None) -> Encoder:
     return Encoder(vocabulary or vocabulary_path(VOCABULARY), END_ID, spaces_kept=False)
 
 
-def rank_table(docs: DataFrame, vocabulary: str | None = None) -> list[int]:
+def tokenise(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """``doc_id, ids`` with the ids in the narrowest width of the vocabulary."""
+    kind = dict(docs.dtypes)["doc_id"]
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(vocabulary)
+        for batch in batches:
+            ids = [_narrow(encoder.encode(t)) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+
+    return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {kind}, ids binary")
+
+
+def _narrow(ids: bytes) -> bytes:
+    """The width of an id, then the ids: two bytes each where they fit."""
+    wide = np.frombuffer(ids, "<u4")
+    return b"\x02" + wide.astype("<u2").tobytes() if wide.max() < 1 << 16 else b"\x04" + ids
+
+
+def _wide(ids: bytes) -> np.ndarray:
+    return np.frombuffer(ids, f"<u{ids[0]}", offset=1)
+
+
+def rank_table(tokens: DataFrame) -> list[int]:
     """Ids by falling frequency over the whole corpus; one entry per vocabulary id at most."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(vocabulary)
-        total = np.zeros(encoder.size, dtype=np.int64)
+        total = np.zeros(1, dtype=np.int64)
         for batch in batches:
-            held, size = [], 0
-            for text in batch.column(0).to_pylist():
-                held.append(encoder.encode(text))
-                size += len(held[-1])
-                if size > COUNT_BYTES:
-                    total += np.bincount(np.frombuffer(b"".join(held), "<u4"), minlength=len(total))
-                    held, size = [], 0
-            total += np.bincount(np.frombuffer(b"".join(held), "<u4"), minlength=len(total))
+            for ids in batch.column(0):
+                part = np.bincount(_wide(ids.as_py()), minlength=len(total))
+                part[: len(total)] += total
+                total = part
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some], pa.int64())], names=["id", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["id", "n"])
 
-    counts = docs.select("text").mapInArrow(count, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
+    counts = tokens.select("ids").mapInArrow(count, "id bigint, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
     return [r["id"] for r in counts.orderBy(F.desc("n"), "id").toLocalIterator()]
 
 
@@ -93,8 +109,9 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None) -> None:
     """Write ``codes`` and ``ranks`` below ``folder``."""
     spark = docs.sparkSession
     kind = dict(docs.dtypes)["doc_id"]
-    ids = rank_table(docs, vocabulary)
-    spark.createDataFrame([(i, t) for i, t in enumerate(ids)], "rank int, id int").coalesce(1).write.parquet(f"{folder}/ranks")
+    tokens = stored(tokenise(docs, vocabulary), "token-ids")
+    ids = rank_table(tokens)
+    spark.createDataFrame([(i, t) for i, t in enumerate(ids)], "rank int, id bigint").coalesce(1).write.parquet(f"{folder}/ranks")
     shards = SHARDS_PER_PARTITION * int(spark.conf.get("spark.sql.shuffle.partitions"))
     points = F.percentile_approx("doc_id", [i / shards for i in range(1, shards)], 20 * shards)
     cuts = np.unique(np.array(docs.agg(points.alias("p")).first()["p"] or [], dtype=np.int64))
@@ -103,11 +120,11 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None) -> None:
     shared = spark.sparkContext.broadcast((rank, cuts))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, (rank, cuts) = _encoder(vocabulary), shared.value
+        rank, cuts = shared.value
         for batch in batches:
             rows = []
-            for text in batch.column(1).to_pylist():
-                found = np.frombuffer(encoder.encode(text), "<u4")
+            for ids in batch.column(1):
+                found = _wide(ids.as_py())
                 rows.append((len(found), *pack(rank[found])))
             n, control, data = zip(*rows) if rows else ((), (), ())
             at = batch.column(0)
@@ -118,7 +135,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None) -> None:
                 names=["shard", "doc_id", "n_tokens", "control", "data"],
             )
 
-    codes = docs.select("doc_id", "text").mapInArrow(
+    codes = tokens.select("doc_id", "ids").mapInArrow(
         encode, f"shard int, doc_id {kind}, n_tokens bigint, control binary, data binary"
     )
     (

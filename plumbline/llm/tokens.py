@@ -11,13 +11,23 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
-MEMORY = 250_000
+MEMORY = 500_000
 LONGEST_KEPT = 64
 SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 DOUBLE_SPACE = re.compile(r"\s\s")
+#: Up to here letters are stable under NFC and both Unicode versions agree on them.
+LATIN_END = "\u0250"
+
+
+def byte_characters() -> dict[int, str]:
+    """The printable character that stands for each byte in byte-level vocabularies."""
+    shown = {b: chr(b) for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255}
+    hidden = [b for b in range(256) if b not in shown]
+    return shown | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
 def vocabulary_path(name: str) -> str:
@@ -37,7 +47,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.end = np.array([end_id], dtype="<u4").tobytes()
         self.spaces_kept = spaces_kept
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {"": b""}
+        self.characters = byte_characters()
+        self.ends = {"": b""} | {c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in ".,"}
 
     @property
     def size(self) -> int:
@@ -49,14 +61,37 @@ class Encoder:
         first, *rest = SAFE_CUT.split(text) if DOUBLE_SPACE.search(text) else text.split(" ")
         return [first, *map(" ".__add__, rest)]
 
+    def _word(self, piece: str) -> bytes | None:
+        """Ids of a Latin word, perhaps with a full stop or comma, from the merges alone.
+
+        Such a word is one unit of either split, so the library's model is asked for
+        it directly; anything else is left to the whole tokenizer.
+        """
+        lead = " " if self.spaces_kept and piece[:1] == " " else ""
+        core, tail = (piece[:-1], piece[-1]) if piece[-1:] in (".", ",") else (piece, "")
+        word = core[len(lead) :]
+        if not word.isalpha() or max(word) >= LATIN_END:
+            return None
+        found = self.known.get(core) if tail else None
+        if found is None:
+            form = core if self.spaces_kept else core.lower()
+            units = form.encode().decode("latin-1").translate(self.characters)
+            found = array("I", [t.id for t in self.tokenizer.model.tokenize(units)]).tobytes()
+        return found + self.ends[tail]
+
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
         """Encode pieces that are not known; returns those too long to keep."""
         if len(self.known) + len(pieces) > MEMORY:
             self.known = {"": b""}
-        aside = {}
-        for piece, found in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)):
-            ids = np.array(found.ids, dtype="<u4").tobytes()
-            (self.known if len(piece) <= LONGEST_KEPT else aside)[piece] = ids
+        aside, rest = {}, []
+        for piece in pieces:
+            ids = self._word(piece)
+            if ids is None:
+                rest.append(piece)
+            else:
+                (self.known if len(piece) <= LONGEST_KEPT else aside)[piece] = ids
+        for piece, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
+            (self.known if len(piece) <= LONGEST_KEPT else aside)[piece] = array("I", found.ids).tobytes()
         return aside
 
     def encode(self, text: str | None) -> bytes:
