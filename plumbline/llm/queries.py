@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, jaccard_groups, packing, quality_ngrams, quality_rff, token_file
+from . import decontaminate, html_text, jaccard_groups, packing, quality_ngrams, quality_rff, token_file
 from .common import table
 
 
@@ -34,9 +34,13 @@ def op5_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_groups.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_quality_classifier, op3_decontaminate, op5_jaccard_groups, op6_token_file, op8_quality_rules, op9_packing,
+        op1_quality_classifier, op2_html_text, op3_decontaminate, op5_jaccard_groups, op6_token_file, op8_quality_rules, op9_packing,
     )
 }
 ORACLES: dict[str, str] = {}
