@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import checkpoint_folder
 
-CLASHING = "_plumbline_"
+#: Size of the broadcast bit maps of ids, the same for any number of ids.
+MAP_BITS = 24
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,3 +88,31 @@ def _star(pairs: DataFrame, larger_only: bool) -> DataFrame:
             least.select("a", F.col("m").alias("b"))
         )
     return out.where("a > b").distinct()
+
+
+def bit_map(ids: DataFrame) -> np.ndarray:
+    """Which ids may be present: ``2 ** MAP_BITS`` bits however many ids there are."""
+    at = ids.select(F.pmod(F.xxhash64(ids.columns[0]), F.lit(1 << MAP_BITS)).alias("at"))
+    words = at.selectExpr("shiftright(at, 5) AS w", "shiftleft(1L, CAST(at & 31 AS INT)) AS b")
+    out = np.zeros(1 << (MAP_BITS - 5), dtype=np.uint32)
+    for row in words.groupBy("w").agg(F.bit_or("b").alias("b")).toLocalIterator():
+        out[row["w"]] = row["b"]
+    return out
+
+
+def marked(docs: DataFrame, bits: np.ndarray, present: bool = True) -> DataFrame:
+    """``doc_id, text`` of the documents whose id may be in a bit map, or surely is not.
+
+    The test runs before any shuffle; rows that pass by chance are left to a join.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(2).to_numpy(zero_copy_only=False)
+            flag = ((shared.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1).astype(bool)
+            yield batch.filter(pa.array(flag if present else ~flag)).select(["doc_id", "text"])
+
+    where = F.pmod(F.xxhash64("doc_id"), F.lit(1 << MAP_BITS)).cast("int")
+    kind = dict(docs.dtypes)["doc_id"]
+    return docs.select("doc_id", "text", where.alias("at")).mapInArrow(keep, f"doc_id {kind}, text string")

@@ -36,13 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vectors as V
-from .common import components, stored
+from .common import bit_map, components, marked, stored
 
 WORDS = 4
 PERCENT = 85
 GROUP = 64
 SKETCH_BITS = 18
-MAP_BITS = 24
 U64 = np.uint64
 
 
@@ -117,33 +116,6 @@ def _levels(profiles: DataFrame) -> np.ndarray:
     return np.log2(total + 1).astype(np.uint8)
 
 
-def _bit_map(ids: DataFrame) -> np.ndarray:
-    """Which ids may be present: ``2 ** MAP_BITS`` bits however many ids there are."""
-    at = ids.select(F.pmod(F.xxhash64(ids.columns[0]), F.lit(1 << MAP_BITS)).alias("at"))
-    words = at.selectExpr("shiftright(at, 5) AS w", "shiftleft(1L, CAST(at & 31 AS INT)) AS b")
-    out = np.zeros(1 << (MAP_BITS - 5), dtype=np.uint32)
-    for row in words.groupBy("w").agg(F.bit_or("b").alias("b")).toLocalIterator():
-        out[row["w"]] = row["b"]
-    return out
-
-
-def _marked(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Documents whose id may be among ``ids``; the test is a broadcast bit map."""
-    bits = _bit_map(ids)
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(bits)
-
-    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.column(2).to_numpy(zero_copy_only=False)
-            flag = (shared.value[at >> 5] >> (at & 31).astype(np.uint32)) & 1
-            yield batch.filter(pa.array(flag.astype(bool))).select(["doc_id", "text"])
-
-    where = F.pmod(F.xxhash64("doc_id"), F.lit(1 << MAP_BITS)).cast("int")
-    kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", "text", where.alias("at")).mapInArrow(keep, f"doc_id {kind}, text string")
-
-
 def _first_tokens(docs: DataFrame, k: int, percent: int, levels: np.ndarray) -> DataFrame:
     """``rid, n, token`` for the first tokens of each document, rare ones first."""
     kind = dict(docs.dtypes)["doc_id"]
@@ -182,7 +154,7 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
                     "tokens": ([token[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])], pa.binary()),
                 })
 
-    return _marked(docs, ids).mapInArrow(derive, f"rid {kind}, tokens binary")
+    return marked(docs, bit_map(ids)).mapInArrow(derive, f"rid {kind}, tokens binary")
 
 
 def _overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -234,7 +206,7 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
     slim = profiles.where("sketch is null").select("doc_id", "n", "s1", "s2")
     classes = stored(slim.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rid")), "jaccard-classes")
 
-    first = _first_tokens(_marked(docs, classes.select("rid")), k, percent, levels)
+    first = _first_tokens(marked(docs, bit_map(classes.select("rid"))), k, percent, levels)
     first = first.repartition("token")
     several = first.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     shared = stored(first.join(several, "token"), "jaccard-shared")

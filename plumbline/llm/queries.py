@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, jaccard_groups, packing, quality_ngrams, quality_rff, token_file
+from . import decontaminate, html_text, jaccard_groups, packing, quality_ngrams, quality_rff, suffix_dedup, token_file
 from .common import table
 
 
@@ -38,9 +38,13 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(table(spark, sf_dir, "pages"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_quality_classifier, op2_html_text, op3_decontaminate, op5_jaccard_groups, op6_token_file, op8_quality_rules, op9_packing,
+        op1_quality_classifier, op2_html_text, op3_decontaminate, op4_suffix_dedup, op5_jaccard_groups, op6_token_file, op8_quality_rules, op9_packing,
     )
 }
 ORACLES: dict[str, str] = {}
