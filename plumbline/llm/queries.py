@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, jaccard_groups, line_dedup, packing, quality_ngrams, quality_rff, suffix_dedup, token_file
+from . import decontaminate, html_text, jaccard_groups, line_dedup, packing, quality_ngrams, quality_rff, suffix_dedup, surrogates, token_file
 from .common import table
 
 
@@ -46,9 +46,13 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return surrogates.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_quality_classifier, op2_html_text, op3_decontaminate, op4_suffix_dedup, op5_jaccard_groups, op6_token_file, op7_line_dedup, op8_quality_rules, op9_packing,
+        op1_quality_classifier, op2_html_text, op3_decontaminate, op4_suffix_dedup, op5_jaccard_groups, op6_token_file, op7_line_dedup, op8_quality_rules, op9_packing, op10_surrogates,
     )
 }
 ORACLES: dict[str, str] = {}
