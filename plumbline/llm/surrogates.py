@@ -38,7 +38,8 @@ NAME = r"\p{Lu}[\p{L}'’-]+"
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}_%+-][\p{L}\p{N}._%+-]*+@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)*\.\p{L}{2,}",
     "access_key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])",
-    "secret": r"(?<=(?i:password|passwd|pwd|secret|token|api_key|apikey|api-key)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9+/_.~-]{6,}",
+    # The short look behind rules out nearly all places before the long one is tried.
+    "secret": r"(?<=[=:][\s\"']{0,4})(?<=(?i:password|passwd|pwd|secret|token|api_key|apikey|api-key)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9+/_.~-]{6,}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\.?\d)",
     "card": r"(?<![\d-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?![\d-])",
@@ -47,6 +48,8 @@ PATTERNS = {
     "name": rf"(?<!\p{{L}})(?:{TITLES})\.? {NAME}(?: {NAME})?",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Every entity has one of these; texts without any are not searched further.
+HINT = rf"[0-9@=:]|A[KS]IA|(?:{TITLES})\.? \p{{Lu}}"
 
 # Common given and family names by gender and script, for surrogates.
 GIVEN = {
@@ -161,10 +164,16 @@ def surrogate(value: Column, attempt: Column, key: str) -> Column:
     )
 
 
-def entities(docs: DataFrame) -> DataFrame:
-    """Every distinct entity of the corpus: ``value``."""
-    found = docs.select(F.explode(F.regexp_extract_all("text", F.lit(PATTERN), 0)).alias("value"))
-    return found.select(_same(kind_of(F.col("value")), F.col("value")).alias("value")).distinct()
+def mentions(docs: DataFrame) -> DataFrame:
+    """Rows that may hold entities, with ``_found``: their mentions in text order."""
+    found = F.coalesce(F.regexp_extract_all("text", F.lit(PATTERN), 0), F.array().cast("array<string>"))
+    return docs.where(F.col("text").rlike(HINT)).withColumn("_found", found)
+
+
+def entities(found: DataFrame) -> DataFrame:
+    """Every distinct entity among :func:`mentions`: ``value``."""
+    each = found.select(F.explode(F.array_distinct("_found")).alias("value"))
+    return each.distinct().select(_same(kind_of(F.col("value")), F.col("value")).alias("value")).distinct()
 
 
 def later_attempts(found: DataFrame, key: str = KEY) -> DataFrame:
@@ -190,21 +199,19 @@ def later_attempts(found: DataFrame, key: str = KEY) -> DataFrame:
 
 def pseudonymise(docs: DataFrame, key: str = KEY) -> DataFrame:
     """``docs`` with entities replaced in ``text``, and ``n_entities`` added."""
-    found = stored(entities(docs), "entities")
-    later = stored(later_attempts(found, key), "later-attempts")
-    rows = docs.withColumn("_found", F.coalesce(F.regexp_extract_all("text", F.lit(PATTERN), 0), F.array().cast("array<string>")))
-    plain = rows.where(F.size("_found") == 0).withColumn("n_entities", F.lit(0).cast("bigint")).drop("_found")
-    held = docs.where(F.col("text").rlike(PATTERN))
-    mentions = held.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(PATTERN), 0))).alias("mention"))
-    mentions = mentions.withColumn("value", _same(kind_of(F.col("mention")), F.col("mention")))
+    held = stored(mentions(docs), "mentions")
+    later = stored(later_attempts(stored(entities(held), "entities"), key), "later-attempts")
+    plain = docs.where(~F.coalesce(F.col("text").rlike(HINT), F.lit(False))).withColumn("n_entities", F.lit(0).cast("bigint"))
+    each = held.select("doc_id", F.explode(F.array_distinct("_found")).alias("mention"))
+    each = each.withColumn("value", _same(kind_of(F.col("mention")), F.col("mention")))
     # A mention that fills a third of the corpus is spread over salts of its document.
     salts = 16
     spread = later.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
     tries = (
-        mentions.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(spread, ["value", "salt"])
+        each.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(spread, ["value", "salt"])
         .groupBy("doc_id").agg(F.collect_set(F.struct("value", "attempt")).alias("_tries"))
     )
-    some = rows.where(F.size("_found") > 0).join(tries, "doc_id", "left")
+    some = held.join(tries, "doc_id", "left")
     attempts = F.map_from_entries(F.coalesce("_tries", F.array().cast("array<struct<value:string,attempt:int>>")))
     some = some.withColumn("_attempts", attempts)
     made = F.transform(
