@@ -55,4 +55,31 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_quality_classifier, op2_html_text, op3_decontaminate, op4_suffix_dedup, op5_jaccard_groups, op6_token_file, op7_line_dedup, op8_quality_rules, op9_packing, op10_surrogates,
     )
 }
-ORACLES: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_WORDS = (
+    f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), "
+    r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+)
+
+ORACLES: dict[str, str] = {
+    "op3_decontaminate": f"""
+WITH doc AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+item AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+sized AS (SELECT item_id, w, least(13, len(w)) AS k FROM item WHERE len(w) > 0),
+cut AS (SELECT item_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM sized),
+win AS (SELECT DISTINCT item_id, k, array_to_string(w[i:i + k - 1], ' ') AS s FROM cut),
+size AS (SELECT DISTINCT k FROM win),
+place AS (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM doc, size WHERE len(w) >= k),
+seen AS (SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS s FROM place),
+found AS (SELECT doc_id, item_id, win.k, i FROM seen JOIN win ON seen.k = win.k AND seen.s = win.s),
+hit AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS j FROM found) GROUP BY doc_id),
+who AS (
+    SELECT doc_id, count(*) AS n, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids
+    FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, coalesce(who.n, 0)::BIGINT AS n_items,
+    sha256(coalesce(ids, '')) AS items_sha256,
+    coalesce(hit.n, 0) > 0 AND 20 * coalesce(hit.n, 0) >= len(w) AS contaminated
+FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN who USING (doc_id)
+""",
+}
