@@ -61,8 +61,8 @@ def normal(seed: int, *keys: Column | int) -> Column:
 
 
 def text_key(col: Column) -> Column:
-    """First 32 bits of the MD5 of a string, as an integer key."""
-    return F.conv(F.substring(F.md5(col.cast("string")), 1, 8), 16, 10).cast("bigint")
+    """First 60 bits of the MD5 of a string, as an integer key."""
+    return F.conv(F.substring(F.md5(col.cast("string")), 1, 15), 16, 10).cast("bigint")
 
 
 def unit_key(df: DataFrame, unit: str) -> Column:
@@ -129,7 +129,7 @@ def normal_sql(seed: int, *keys: str | int) -> str:
 
 
 def text_key_sql(expr: str) -> str:
-    return f"(('0x' || substr(md5(({expr})::VARCHAR), 1, 8))::BIGINT)"
+    return f"(('0x' || substr(md5(({expr})::VARCHAR), 1, 15))::BIGINT)"
 
 
 def poisson_sql(seed: int, *keys: str | int) -> str:

@@ -64,11 +64,14 @@ def session_index(df: DataFrame, subject: str, session: str, chronological: bool
     """Dense rank of the session date within a participant, joined back to the rows.
 
     The default orders the date text as it stands; ``chronological`` turns
-    ``ddmmyy`` and ``ddmmyyyy`` into dates first.
+    ``ddmmyy`` and ``ddmmyyyy`` into dates first. A row without a date keeps no index.
     """
     by = "_day" if chronological else session
     rows = df.withColumn("_day", N.session_day(F.col(session))) if chronological else df
-    return rows.join(dense_rank(rows, [subject], by, "session_index"), [subject, by]).drop("_day")
+    ranks = dense_rank(rows.where(F.col(by).isNotNull()), [subject], by, "session_index")
+    ranks = ranks.select(F.col(subject).alias("_subject"), F.col(by).alias("_by"), "session_index")
+    same = F.col(subject).eqNullSafe(F.col("_subject")) & (F.col(by) == F.col("_by"))
+    return rows.join(ranks, same, "left").drop("_day", "_subject", "_by")
 
 
 def build_metadata(files: DataFrame, root_depth: int, groups: dict[str, str], positive: str) -> DataFrame:

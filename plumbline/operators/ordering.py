@@ -19,7 +19,6 @@ from ..functions.draws import PRIME
 from ..session import is_small, materialise
 
 ROWS_PER_RANGE = 1_000_000
-MAX_RANGES = 1024
 SAMPLE_PER_RANGE = 20
 
 
@@ -31,19 +30,23 @@ def window(keys: Sequence[str]):
 def split_points(df: DataFrame, order: Sequence[str], n_ranges: int, n_rows: int) -> list[tuple]:
     """Cut points for ``n_ranges`` ranges, from a sample of bounded size.
 
-    They only decide how evenly the work is spread, never the result.
+    They only decide how evenly the work is spread, never the result. NULL and NaN are
+    no cut points: NULL has a range of its own, NaN belongs to the last one.
     """
     fraction = min(1.0, SAMPLE_PER_RANGE * n_ranges / max(n_rows, 1))
     sample = df.select(*order)
     if fraction < 1.0:
         sample = sample.sample(fraction=fraction, seed=7)
-    rows = sorted({tuple(r) for r in sample.collect()})
+    rows = sorted({tuple(r) for r in sample.collect() if all(v is not None and v == v for v in r)})
     step = max(1, len(rows) // n_ranges)
     return rows[step::step][: n_ranges - 1]
 
 
 def range_of(order: Sequence[str], cuts: Sequence[tuple]) -> Column:
-    """Number of cut points at or below the row, as a balanced decision tree."""
+    """Number of cut points at or below the row, as a balanced decision tree.
+
+    A NULL comes before every range, as it comes first in ascending order.
+    """
     here = F.struct(*[F.col(c) for c in order]) if len(order) > 1 else F.col(order[0])
 
     def literal(cut):
@@ -55,7 +58,7 @@ def range_of(order: Sequence[str], cuts: Sequence[tuple]) -> Column:
         mid = (lo + hi) // 2
         return F.when(here < literal(cuts[mid]), tree(lo, mid)).otherwise(tree(mid + 1, hi))
 
-    return tree(0, len(cuts))
+    return F.when(F.col(order[0]).isNull(), F.lit(-1)).otherwise(tree(0, len(cuts)))
 
 
 def with_ranges(df: DataFrame, order: Sequence[str], n_ranges: int | None = None) -> DataFrame:
@@ -63,7 +66,7 @@ def with_ranges(df: DataFrame, order: Sequence[str], n_ranges: int | None = None
     df = materialise(df)
     n_rows = df.count()
     if n_ranges is None:
-        n_ranges = min(MAX_RANGES, max(2, -(-n_rows // ROWS_PER_RANGE)))
+        n_ranges = max(2, -(-n_rows // ROWS_PER_RANGE))
     cuts = split_points(df, order, n_ranges, n_rows)
     return df.withColumn("_range", range_of(order, cuts))
 
@@ -131,7 +134,7 @@ def dense_position(
     small = is_small(df, fanout)
     if not small:
         if hashed:
-            n = min(MAX_RANGES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+            n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
             df = df.withColumn("_range", F.floor(F.col(order[0]) * F.lit(n) / F.lit(PRIME)).cast("int"))
         else:
             df = with_ranges(df, order)

@@ -7,6 +7,7 @@ overlapping chunks, running counts from value ranges.
 
 from __future__ import annotations
 
+from functools import lru_cache
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -252,6 +253,7 @@ def _power_frames(x: np.ndarray, n_fft: int, hop: int) -> np.ndarray:
     return np.abs(np.fft.rfft(padded[at] * hann, axis=1)).T
 
 
+@lru_cache(maxsize=8)
 def _mel_filters(rate: int, n_fft: int, n_mels: int = 128) -> np.ndarray:
     """Area-normalised triangles on the auditory scale: linear to 1 kHz, then log."""
     step, knee, ratio = 200.0 / 3, 1000.0, np.log(6.4) / 27.0
@@ -301,10 +303,13 @@ def cepstral_frames(df: DataFrame, samples: str, rate: int, n_coef: int = 20) ->
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            parts = []
             for rec, x in zip(batch["recording_id"], batch[samples]):
                 c = cepstra(np.asarray(x, dtype=float), rate, n_coef)
                 coef, frame = np.indices(c.shape)
-                yield pd.DataFrame({"recording_id": rec, "coef": coef.ravel(), "frame": frame.ravel(), "value": c.ravel()})
+                parts.append(pd.DataFrame({"recording_id": rec, "coef": coef.ravel(), "frame": frame.ravel(), "value": c.ravel()}))
+            if parts:
+                yield pd.concat(parts)
 
     return df.select("recording_id", samples).mapInPandas(run, "recording_id bigint, coef int, frame bigint, value double")
 

@@ -134,7 +134,7 @@ def m15(spark, sf):
     return rounded(acceptance(spark, sf), "value", "threshold")
 
 
-SAVED = ["ext00", "ext01", "ext02", "ext03", "ext04", "ext05", "ext06", "ext07"]
+SAVED = [f"ext{i:02d}" for i in range(64)]
 EV = f"""ev AS (SELECT vec_id AS recording_id, (vec_id // 5) * 2 + (label < 5)::INTEGER AS subject_id, (vec_id % 2)::INTEGER AS corpus, '' AS folder_path, (label < 5)::INTEGER AS label,
  {', '.join(f'embedding[{i + 1}]::DOUBLE AS {c}' for i, c in enumerate(SAVED))} FROM embeddings)"""
 

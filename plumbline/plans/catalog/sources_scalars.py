@@ -268,7 +268,7 @@ def p08(spark, sf):
     parts = F.split("url", "/")
     return table(spark, sf, "pages").select(
         "page_id", F.element_at(parts, -2).alias("parent_name"),
-        F.array_join(F.slice(N.parent_parts(F.col("url")), 4, 1000), "/").alias("relative_parent"),
+        F.array_join(F.slice(N.parent_parts(F.col("url")), F.lit(4), F.greatest(F.size(parts), F.lit(1))), "/").alias("relative_parent"),
         F.when((F.size(parts) > 4) & parts[0].startswith("http"), parts[3]).alias("bin"),
     )
 

@@ -22,6 +22,6 @@ def spark():
 def plan(request, spark):
     """Runs a test with the single-window plan and with the range-split plan."""
     before = spark.conf.get(SMALL_BYTES_CONF, None)
-    spark.conf.set(SMALL_BYTES_CONF, "0" if request.param == "large" else str(1 << 40))
+    spark.conf.set(SMALL_BYTES_CONF, "0" if request.param == "large" else str(1 << 70))
     yield request.param
     spark.conf.unset(SMALL_BYTES_CONF) if before is None else spark.conf.set(SMALL_BYTES_CONF, before)

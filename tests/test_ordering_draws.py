@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import draws as D
 from plumbline.operators import ordering as O
-from plumbline.session import materialise
+from plumbline.session import is_small, materialise
 
 
 @pytest.fixture(scope="module")
@@ -95,3 +95,21 @@ def test_results_do_not_depend_on_partitioning(spark, skewed, parts):
     df = skewed.select(F.col("id").alias("recording_id"), F.col("k").alias("subject_id"), (F.col("k") % 2).cast("int").alias("label"))
     ref = {tuple(r) for r in X.assign_folds(df, ["A_recording", "C_subject_key"], 5, 2).collect()}
     assert {tuple(r) for r in X.assign_folds(df.repartition(parts), ["A_recording", "C_subject_key"], 5, 2).collect()} == ref
+
+
+def test_null_nan_and_ties_agree_in_both_plans(spark, plan):
+    """NULL sorts first, NaN last, whichever plan the size of the input chooses."""
+    values = [None, 3.0, float("nan"), 1.0, 3.0, None, -2.0, float("nan"), 7.5] * 3
+    rows = spark.createDataFrame([("k" if i % 4 else None, v) for i, v in enumerate(values)], "key string, v double")
+    assert is_small(rows) == (plan == "small")
+    for descending in (False, True):
+        got = O.running_totals(rows, ["key"], "v", {"n": F.count(F.lit(1))}, descending=descending).collect()
+        for key in (None, "k"):
+            own = [v for i, v in enumerate(values) if ("k" if i % 4 else None) == key]
+            rank = lambda v: (0, 0.0) if v is None else ((2, 0.0) if v != v else (1, v))
+            expected, total = [], 0
+            for r in sorted({rank(v) for v in own}, reverse=descending):
+                total += sum(rank(v) == r for v in own)
+                expected.append((r, total))
+            found = [(rank(r["v"]), r["cum_n"]) for r in got if r["key"] == key]
+            assert sorted(found) == sorted(expected)
