@@ -6,8 +6,9 @@ link if they share one of the ``n - ceil(t n / 100) + 1`` first tokens of each u
 any common order; the order here puts frequent tokens last (a frequency sketch of
 fixed size ranks them), so the shared first tokens are rare.
 
-1. Leaders: in every bucket of a shared token the most central document is compared
-   with the others. That links groups of copies by stars, not by pairs.
+1. Leaders: every bucket of a shared token has a most central document, and each
+   document is compared with the most central of those it meets. That links groups of
+   copies by stars, not by pairs.
 2. Groups: the components so far are cut into groups of about ``GROUP`` similar
    documents. The token-group matrix holds the tokens of each group; a document meets
    the groups of other components with which it shares a first token, the larger
@@ -214,11 +215,15 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
     score = shared.groupBy("rid").agg(F.sum("df").alias("score"))
     leader = (
         shared.join(score, "rid").groupBy("token")
-        .agg(F.max_by(F.struct("rid", "n"), F.struct("score", (-F.col("rid")).alias("r"))).alias("lead"))
-        .select("token", F.col("lead.rid").alias("gid"), F.col("lead.n").alias("lead_n"))
+        .agg(F.max_by(F.struct("rid", "n", "score"), F.struct("score", (-F.col("rid")).alias("r"))).alias("lead"))
+        .select("token", F.col("lead.rid").alias("gid"), F.col("lead.n").alias("lead_n"), F.col("lead.score").alias("score"))
     )
     fits = (100 * F.least("n", "lead_n") >= percent * F.greatest("n", "lead_n"))
-    stars = stored(shared.join(leader, "token").where(fits).where("rid <> gid").select("rid", "gid").distinct(), "jaccard-stars")
+    # One leader each, the most central that could link, so there are fewer pairs than documents.
+    best = F.max_by("gid", F.struct("score", (-F.col("gid")).alias("r")))
+    stars = stored(
+        shared.join(leader, "token").where(fits).where("rid <> gid").groupBy("rid").agg(best.alias("gid")), "jaccard-stars"
+    )
     single = stars.select("gid", F.col("gid").alias("rid")).distinct()
     links = _open_groups(stars, single, docs, k, percent)
 
