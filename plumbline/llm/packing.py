@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored
-from .tokens import Encoder, vocabulary_path
+from .tokens import encoder, vocabulary_path
 
 VOCABULARY = "byte_bpe_50k.json"
 END_ID = 1
@@ -144,12 +144,11 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, p
     kind = dict(docs.dtypes)["doc_id"]
 
     def online(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary or vocabulary_path(VOCABULARY), END_ID, spaces_kept=True)
+        tokens = encoder(vocabulary or vocabulary_path(VOCABULARY), END_ID, spaces_kept=True)
         packer, arrow = Packer(_first_id(0), window, places), None
         for batch in batches:
             arrow = batch.schema.field(0).type
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encoder.encode(text)
+            for doc, ids in zip(batch.column(0).to_pylist(), tokens.encode_all(batch.column(1).to_pylist())):
                 packer.add(doc, 0, len(ids) // 4, ids)
             yield from _batches(packer.leave(), arrow)
         if arrow is not None:

@@ -28,7 +28,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import scratch, stored
-from .tokens import Encoder, vocabulary_path
+from .tokens import encoder, vocabulary_path
 
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 1
@@ -61,18 +61,14 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def _encoder(vocabulary: str | None) -> Encoder:
-    return Encoder(vocabulary or vocabulary_path(VOCABULARY), END_ID, spaces_kept=False)
-
-
 def tokenise(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """``doc_id, ids`` with the ids in the narrowest width of the vocabulary."""
     kind = dict(docs.dtypes)["doc_id"]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(vocabulary)
+        tokens = encoder(vocabulary or vocabulary_path(VOCABULARY), END_ID, spaces_kept=False)
         for batch in batches:
-            ids = [_narrow(encoder.encode(t)) for t in batch.column(1).to_pylist()]
+            ids = [_narrow(t) for t in tokens.encode_all(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
     return docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {kind}, ids binary")

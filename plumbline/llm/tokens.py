@@ -2,9 +2,9 @@
 
 Both vocabularies split text before their merges, and neither split ever joins the two
 sides of a single space between two visible characters. A text is therefore cut there
-and every distinct piece is encoded once per task; the ids of a text are the ids of
-its pieces in order. Pieces that are unusually long are encoded but not remembered,
-and the memory is emptied when it holds ``MEMORY`` pieces.
+and every distinct piece is encoded once per worker; the ids of a text are the ids of
+its pieces in order. Pieces that are unusually long are encoded but not remembered
+after their group of texts, and the memory is emptied when it passes ``MEMORY`` pieces.
 """
 
 from __future__ import annotations
@@ -12,10 +12,13 @@ from __future__ import annotations
 import os
 import re
 from array import array
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 
-MEMORY = 500_000
+MEMORY = 1_000_000
+GROUP_CHARS = 1 << 20
 LONGEST_KEPT = 64
 SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 DOUBLE_SPACE = re.compile(r"\s\s")
@@ -47,7 +50,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.end = np.array([end_id], dtype="<u4").tobytes()
         self.spaces_kept = spaces_kept
-        self.known: dict[str, bytes] = {"": b""}
+        self.heads: dict[str, bytes] = {"": b""}
+        #: Ids of the pieces after the first, without the space before them.
+        self.known: dict[str, bytes] = {} if spaces_kept else self.heads
         self.characters = byte_characters()
         self.ends = {"": b""} | {c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in ".,"}
 
@@ -56,54 +61,79 @@ class Encoder:
         return self.tokenizer.get_vocab_size(with_added_tokens=True)
 
     def _pieces(self, text: str) -> list[str]:
+        """Pieces of a text; each but the first follows a single space."""
         if not self.spaces_kept:
             return text.replace("\n", " ").split(" ")
-        first, *rest = SAFE_CUT.split(text) if DOUBLE_SPACE.search(text) else text.split(" ")
-        return [first, *map(" ".__add__, rest)]
+        return SAFE_CUT.split(text) if DOUBLE_SPACE.search(text) else text.split(" ")
 
-    def _word(self, piece: str) -> bytes | None:
-        """Ids of a Latin word, perhaps with a full stop or comma, from the merges alone.
+    def _word(self, word: str, lead: str) -> bytes:
+        """Ids of a Latin word after ``lead``, from the merges alone.
 
         Such a word is one unit of either split, so the library's model is asked for
         it directly; anything else is left to the whole tokenizer.
         """
-        lead = " " if self.spaces_kept and piece[:1] == " " else ""
-        core, tail = (piece[:-1], piece[-1]) if piece[-1:] in (".", ",") else (piece, "")
-        word = core[len(lead) :]
-        if not word.isalpha() or max(word) >= LATIN_END:
-            return None
-        found = self.known.get(core) if tail else None
-        if found is None:
-            form = core if self.spaces_kept else core.lower()
-            units = form.encode().decode("latin-1").translate(self.characters)
-            found = array("I", [t.id for t in self.tokenizer.model.tokenize(units)]).tobytes()
-        return found + self.ends[tail]
-
-    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """Encode pieces that are not known; returns those too long to keep."""
-        if len(self.known) + len(pieces) > MEMORY:
-            self.known = {"": b""}
-        aside, rest = {}, []
+        if not self.spaces_kept:
+            word = word.lower()
+        if word.isascii():
+            units = self.characters[32] + word if lead else word
+        else:
+            units = (lead + word).encode().decode("latin-1").translate(self.characters)
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(units)]).tobytes()
+
+    def _learn(self, pieces: set[str], known: dict[str, bytes], lead: str) -> None:
+        """Encode pieces that are not known: words by their merges, the rest in one batch."""
+        rest = []
         for piece in pieces:
-            ids = self._word(piece)
-            if ids is None:
+            tail = piece[-1:] if piece[-1:] in self.ends else ""
+            core = piece[:-1] if tail else piece
+            if not core.isalpha() or not (core.isascii() or max(core) < LATIN_END):
                 rest.append(piece)
-            else:
-                (self.known if len(piece) <= LONGEST_KEPT else aside)[piece] = ids
-        for piece, found in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)):
-            (self.known if len(piece) <= LONGEST_KEPT else aside)[piece] = array("I", found.ids).tobytes()
-        return aside
+                continue
+            ids = known.get(core) if tail else None
+            if ids is None:
+                ids = self._word(core, lead)
+            known[piece] = ids + self.ends[tail] if tail else ids
+        for piece, found in zip(rest, self.tokenizer.encode_batch_fast([lead + p for p in rest], add_special_tokens=False)):
+            known[piece] = array("I", found.ids).tobytes()
+
+    def encode_all(self, texts: list[str | None]) -> Iterator[bytes]:
+        """Little-endian 32-bit ids of each text, the end id last."""
+        for lo, hi in _groups(texts):
+            split = [self._pieces(t) if t else [] for t in texts[lo:hi]]
+            heads = [s.pop(0) if s and self.spaces_kept else "" for s in split]
+            fresh = []
+            for known, lead, pieces in ((self.heads, "", set(heads)), (self.known, " " * self.spaces_kept, set().union(*split))):
+                new = pieces.difference(known)
+                self._learn(new, known, lead)
+                fresh.append((known, new))
+            find, end = self.known.__getitem__, self.end
+            yield from [self.heads[h] + b"".join(map(find, s)) + end for h, s in zip(heads, split)]
+            for known, new in fresh:
+                for piece in [p for p in new if len(p) > LONGEST_KEPT]:
+                    del known[piece]
+            for known in (self.heads, self.known):
+                if len(known) > MEMORY:
+                    known.clear()
+                    self.heads[""] = b""
 
     def encode(self, text: str | None) -> bytes:
-        """Little-endian 32-bit ids, the end id last."""
-        if not text:
-            return self.end
-        pieces = self._pieces(text)
-        found = list(map(self.known.get, pieces))
-        if None in found:
-            missing = list({p for p, f in zip(pieces, found) if f is None})
-            known = dict(zip(pieces, found))
-            known |= self._learn(missing)
-            found = [known[p] if known[p] is not None else self.known[p] for p in pieces]
-        found.append(self.end)
-        return b"".join(found)
+        """:meth:`encode_all` of one text."""
+        return next(self.encode_all([text]))
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str, end_id: int, spaces_kept: bool) -> Encoder:
+    """One encoder for all tasks of a Python worker."""
+    return Encoder(path, end_id, spaces_kept)
+
+
+def _groups(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``GROUP_CHARS`` together, one text at least."""
+    lo = size = 0
+    for i, text in enumerate(texts):
+        size += len(text or "")
+        if size >= GROUP_CHARS:
+            yield lo, i + 1
+            lo, size = i + 1, 0
+    if lo < len(texts):
+        yield lo, len(texts)
