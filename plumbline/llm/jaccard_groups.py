@@ -4,7 +4,9 @@ A document is its set of distinct word shingles, kept as 64-bit hashes. Equal se
 one document from the first pass on. For a threshold of t percent, two sets can only
 link if they share one of the ``n - ceil(t n / 100) + 1`` first tokens of each under
 any common order; the order here puts frequent tokens last (a frequency sketch of
-fixed size ranks them), so the shared first tokens are rare.
+fixed size ranks them), so the shared first tokens are rare. If the first token that
+two sets share is at place ``i`` of one, they share at most ``n - i``; its ``reach`` is
+the size of the largest set that it could still link with.
 
 1. Leaders: every bucket of a shared token has a most central document, and each
    document is compared with the most central of those it meets. That links groups of
@@ -118,7 +120,12 @@ def _levels(profiles: DataFrame) -> np.ndarray:
 
 
 def _first_tokens(docs: DataFrame, k: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """``rid, n, token`` for the first tokens of each document, rare ones first."""
+    """``rid, n, token, reach`` for the first tokens of each document, rare ones first.
+
+    Sets of ``n`` and ``m`` tokens need ``percent * (n + m) / (100 + percent)`` in common,
+    so a token at place ``i`` is the first shared one of a link only if ``reach``, which is
+    ``100 * n - (100 + percent) * i``, is ``percent * m`` or more.
+    """
     kind = dict(docs.dtypes)["doc_id"]
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
@@ -136,9 +143,10 @@ def _first_tokens(docs: DataFrame, k: int, percent: int, levels: np.ndarray) ->
                 yield V.output({
                     "rid": (batch.column(0).take(pa.array(at + block.lo)), None), "n": (n[at], pa.int32()),
                     "token": (token[order][chosen].view(np.int64), pa.int64()),
+                    "reach": (100 * n[at] - (100 + percent) * rank[chosen], pa.int64()),
                 })
 
-    return docs.mapInArrow(first, f"rid {kind}, n int, token bigint")
+    return docs.mapInArrow(first, f"rid {kind}, n int, token bigint, reach bigint")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
@@ -215,10 +223,10 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
     score = shared.groupBy("rid").agg(F.sum("df").alias("score"))
     leader = (
         shared.join(score, "rid").groupBy("token")
-        .agg(F.max_by(F.struct("rid", "n", "score"), F.struct("score", (-F.col("rid")).alias("r"))).alias("lead"))
-        .select("token", F.col("lead.rid").alias("gid"), F.col("lead.n").alias("lead_n"), F.col("lead.score").alias("score"))
+        .agg(F.max_by(F.struct("rid", "n", "score", "reach"), F.struct("score", (-F.col("rid")).alias("r"))).alias("lead"))
+        .select("token", F.col("lead.rid").alias("gid"), F.col("lead.n").alias("lead_n"), F.col("lead.score").alias("score"), F.col("lead.reach").alias("lead_reach"))
     )
-    fits = (100 * F.least("n", "lead_n") >= percent * F.greatest("n", "lead_n"))
+    fits = (F.col("reach") >= percent * F.col("lead_n")) & (F.col("lead_reach") >= percent * F.col("n"))
     # One leader each, the most central that could link, so there are fewer pairs than documents.
     best = F.max_by("gid", F.struct("score", (-F.col("gid")).alias("r")))
     stars = stored(
@@ -238,16 +246,16 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
         "rid", "comp", "size",
         F.struct("comp", F.pmod(F.xxhash64("rid"), F.ceil(F.col("size") / GROUP)).alias("chunk")).alias("gid"),
     )
-    placed = shared.select("rid", "n", "token").join(place, "rid")
+    placed = shared.select("rid", "n", "token", "reach").join(place, "rid")
     mixed = placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token")
     open_tokens = stored(placed.join(mixed, "token"), "jaccard-open")
     matrix = open_tokens.groupBy("token", "gid", F.struct("size", "comp").alias("weight")).agg(
-        F.min("n").alias("n_lo"), F.max("n").alias("n_hi")
+        F.min("n").alias("n_lo"), F.max("reach").alias("farthest")
     )
-    queries = open_tokens.select("token", "rid", "n", F.struct("size", "comp").alias("own"))
+    queries = open_tokens.select("token", "rid", "n", "reach", F.struct("size", "comp").alias("own"))
     meets = (
         queries.join(matrix, "token").where("own < weight")
-        .where(f"100 * n_hi >= {percent} * n and 100 * n >= {percent} * n_lo")
+        .where(f"reach >= {percent} * n_lo and farthest >= {percent} * n")
         .select("rid", "gid").distinct()
     )
     meets = stored(meets, "jaccard-meets")
