@@ -67,16 +67,37 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
 
 
 def _classes(docs: DataFrame) -> DataFrame:
-    """``kind, doc_id, place``: repeated surroundings (0) and first ones to compare (1)."""
-    rows = _anchor_rows(docs).repartition("gram")
-    first = rows.groupBy("gram", "region").agg(F.min(F.struct("doc_id", "place")).alias("first"))
-    copies = (
-        rows.join(first, ["gram", "region"]).where("struct(doc_id, place) > first")
-        .select(F.lit(0).alias("kind"), "doc_id", "place")
-    )
-    several = first.groupBy("gram").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-    open_ones = first.join(several, "gram", "left_semi").select(F.lit(1).alias("kind"), "first.doc_id", "first.place")
-    return stored(copies.unionByName(open_ones), "suffix-classes")
+    """``kind, doc_id, place``: repeated surroundings (0) and first ones to compare (1).
+
+    One shuffle and one pass in order; a task keeps the first row of the surroundings
+    that it is in, and whether that row has left already.
+    """
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, told = None, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.stack([c.to_numpy() for c in batch.columns])
+            if first is not None:
+                rows = np.concatenate([first, rows], axis=1)
+            gram, region, doc, place = rows
+            change = (gram[1:] != gram[:-1]) | (region[1:] != region[:-1])
+            heads = np.flatnonzero(np.append(True, change))
+            own = np.repeat(heads, np.diff(np.append(heads, len(gram))))
+            copies = np.flatnonzero((doc != doc[own]) | (place != place[own]))
+            same = gram[heads[1:]] == gram[heads[:-1]]
+            several = np.append(False, same) | np.append(same, False)
+            leaving = several.copy()
+            leaving[0] &= not told
+            at = np.concatenate([copies, heads[leaving]])
+            kind = np.repeat(np.array([0, 1], np.int32), [len(copies), len(at) - len(copies)])
+            yield V.output({"kind": (kind, pa.int32()), "doc_id": (doc[at], pa.int64()), "place": (place[at], pa.int64())})
+            told = bool(several[-1]) or (told and len(heads) == 1)
+            first = rows[:, heads[-1] :][:, :1].copy()
+
+    rows = _anchor_rows(docs).repartition("gram").sortWithinPartitions("gram", "region", "doc_id", "place")
+    return stored(rows.mapInArrow(pick, "kind int, doc_id bigint, place bigint"), "suffix-classes")
 
 
 def _suffixes(text: bytes, doc: int, places: list[int]) -> Iterator[tuple[bytes, bytes]]:

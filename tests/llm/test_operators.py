@@ -241,6 +241,21 @@ def test_suffix_dedup(docs, rows):
     assert suffix_dedup.report(empty(docs)).count() == 0
 
 
+def test_classes_do_not_depend_on_batches(spark, docs):
+    """Surroundings that go on over the end of a batch are told apart as within one."""
+    slim = docs.select("doc_id", "text")
+    whole = sorted(map(tuple, suffix_dedup._classes(slim).collect()))
+    assert {k for k, _, _ in whole} == {0, 1}
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    try:
+        for size in ("1", "3"):
+            spark.conf.set(setting, size)
+            assert sorted(map(tuple, suffix_dedup._classes(slim).collect())) == whole
+    finally:
+        spark.conf.set(setting, before)
+
+
 def test_runs_merge_in_order_with_known_prefixes():
     rng = random.Random(3)
     runs = [sorted((bytes(rng.choice(b"ab") for _ in range(rng.randrange(12))), b"%02d" % r) for _ in range(rng.randrange(30))) for r in range(7)]
