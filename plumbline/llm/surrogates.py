@@ -6,20 +6,27 @@ entity is replaced by a pure function of a secret key, its kind and its text, so
 entities get equal surrogates everywhere without a lookup. The surrogate keeps the
 kind and the written form: digits stay digits, separators and case stay, a card keeps
 its first digit and its check digit rule, an address keeps its top-level domain under a
-reserved name, a name keeps gender by its title, script and number of parts.
+reserved name, a name keeps gender by its title, script and number of parts. Cards,
+telephone numbers and bank accounts are keyed by their bare digits and letters, so one
+number in two layouts gets one surrogate, in the layout of each mention.
 
 Two entities could get one surrogate, or a surrogate could be another entity of the
 corpus. All distinct entities are checked for that, and those that collide move to
-their next attempt until none does. Only entities with a later attempt, which are few,
-are joined back to their documents, spread by document.
+their next attempt until none does. From attempt ``LONGER`` on secrets, telephone
+numbers and addresses get a longer surrogate, as their shape may have no free one left.
+Only entities with a later attempt, which are few, are joined back to their documents,
+spread by document.
 
 Edge cases: a null text stays null and an empty one empty; documents keep their rows,
 repeated or not, and their other columns; entities are equal if their text is, but
-e-mail addresses without regard to case; an empty table gives an empty result.
+e-mail addresses without regard to case and numbers without regard to separators; one
+sign repeated, as in an empty field or an underline, is no secret, other secrets of
+signs alone become letters; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -39,7 +46,7 @@ PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}_%+-][\p{L}\p{N}._%+-]*+@[\p{L}\p{N}-]++(?:\.[\p{L}\p{N}-]++)*\.\p{L}{2,}",
     "access_key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])",
     # The short look behind rules out nearly all places before the long one is tried.
-    "secret": r"(?<=[=:][\s\"']{0,4})(?<=(?i:password|passwd|pwd|secret|token|api_key|apikey|api-key)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9+/_.~-]{6,}",
+    "secret": r"(?<=[=:][\s\"']{0,4})(?<=(?i:password|passwd|pwd|secret|token|api_key|apikey|api-key)\s{0,3}[=:]\s{0,3}[\"']?)(?!(?<sign>[+/_.~-])\k<sign>*+(?![A-Za-z0-9+/_.~-]))[A-Za-z0-9+/_.~-]{6,}",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "ip": rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\.?\d)",
     "card": r"(?<![\d-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5})(?![\d-])",
@@ -48,6 +55,10 @@ PATTERNS = {
     "name": rf"(?<!\p{{L}})(?:{TITLES})\.? {NAME}(?: {NAME})?",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Country code of a number without separators: no code begins another one.
+COUNTRY = r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+#: From this attempt on a surrogate may be longer than its entity.
+LONGER = 3
 #: Every entity has one of these; texts without any are not searched further.
 HINT = rf"[0-9@=:]|A[KS]IA|(?:{TITLES})\.? \p{{Lu}}"
 
@@ -82,9 +93,19 @@ def kind_of(value: Column) -> Column:
     )
 
 
+def _bare(value: Column) -> Column:
+    """A number without its separators."""
+    return F.regexp_replace(value, "[^0-9A-Z+]", "")
+
+
 def _same(kind: Column, value: Column) -> Column:
     """What has to be equal for two mentions to be one entity."""
-    return F.when(kind == "email", F.lower(value)).otherwise(value)
+    # A key must be of its value's kind: a long number without "+" and separators would be a card.
+    long = (kind == "phone") & ~value.startswith("+") & (F.length(_bare(value)) > 12)
+    return (
+        F.when(kind == "email", F.lower(value))
+        .when(kind.isin("card", "phone", "iban") & ~long, _bare(value)).otherwise(value)
+    )
 
 
 def _digest(*parts: Column) -> Column:
@@ -111,6 +132,13 @@ def _shaped(value: Column, digest: Column, keep: int = 0) -> Column:
     return F.array_join(F.transform(F.split(value, ""), one), "")
 
 
+def _laid_out(value: Column, bare: Column) -> Column:
+    """Characters of ``bare`` one after the other where ``value`` has no separator."""
+    nth = lambda i: F.length(_bare(F.substr(value, F.lit(1), i + 1)))
+    one = lambda b: lambda c, i: F.when(c.rlike("[0-9A-Z+]"), F.substr(b, nth(i), F.lit(1))).otherwise(c)
+    return _once(bare, lambda b: F.array_join(F.transform(F.split(value, ""), one(b)), ""))
+
+
 def _luhn(digits: Column) -> Column:
     """Sum of the check digit rule over a string of digits, from the right."""
     values = F.transform(F.split(F.reverse(digits), ""), lambda c: c.cast("int"))
@@ -118,13 +146,13 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(doubled, F.lit(0), lambda a, d: a + F.coalesce(d, F.lit(0)))
 
 
-def _card(value: Column, digest: Column) -> Column:
-    shaped = _shaped(value, digest, keep=1)
-    body = F.substr(shaped, F.lit(1), F.length(shaped) - 1)
-    only = F.regexp_replace(body, r"\D", "")
-    check = (10 - _luhn(F.concat(only, F.lit("0"))) % 10) % 10
-    valid = _luhn(F.regexp_replace(value, r"\D", "")) % 10 == 0
-    return F.when(valid, F.concat(body, check.cast("string"))).otherwise(shaped)
+def _card(digits: Column, digest: Column) -> Column:
+    def checked(shaped: Column) -> Column:
+        body = F.substr(shaped, F.lit(1), F.length(shaped) - 1)
+        check = (10 - _luhn(F.concat(body, F.lit("0"))) % 10) % 10
+        return F.when(_luhn(digits) % 10 == 0, F.concat(body, check.cast("string"))).otherwise(shaped)
+
+    return _once(_shaped(digits, digest, keep=1), checked)
 
 
 def _name(value: Column, digest: Column) -> Column:
@@ -144,23 +172,35 @@ def _name(value: Column, digest: Column) -> Column:
     return F.concat(title, F.when(two, F.concat(given, F.lit(" "))).otherwise(F.lit("")), family, F.lower(extra))
 
 
+def _once(expression: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(expression)`` with the expression evaluated once, however often it is used."""
+    return F.element_at(F.transform(F.array(expression), use), 1)
+
+
 def surrogate(value: Column, attempt: Column, key: str) -> Column:
     """Replacement of an entity at a given attempt; its kind comes from its text."""
-    kind = kind_of(value)
-    digest = _digest(F.lit(key), kind, _same(kind, value), attempt.cast("string"))
+    known = F.struct(value.alias("value"), attempt.alias("attempt"), kind_of(value).alias("kind"), _bare(value).alias("bare"))
+    digest = lambda k: _digest(F.lit(key), k["kind"], _same(k["kind"], k["value"]), k["attempt"].cast("string"))
+    return _once(known, lambda k: _once(digest(k), lambda d: _replacement(k["value"], k["attempt"], k["kind"], k["bare"], d, key)))
+
+
+def _replacement(value: Column, attempt: Column, kind: Column, bare: Column, digest: Column, key: str) -> Column:
+    longer = lambda shape: F.when(attempt >= LONGER, _shaped(F.lit(shape), F.substr(digest, F.lit(9), F.lit(120)))).otherwise("")
     local, domain = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
     host = _digest(F.lit(key), F.lit("domain"), F.lower(domain))
     email = F.concat(
-        _shaped(F.lower(local), digest), F.lit("@h"), F.substr(host, F.lit(1), F.lit(10)), F.lit(".example."), F.lower(F.substring_index(domain, ".", -1))
+        _shaped(F.lower(local), digest), longer("a" * 12), F.lit("@h"), F.substr(host, F.lit(1), F.lit(10)), F.lit(".example."), F.lower(F.substring_index(domain, ".", -1))
     )
     ip = F.concat_ws(".", (_byte(digest, F.lit(0)) % 15 + 240).cast("string"), *[_byte(digest, F.lit(i)).cast("string") for i in (1, 2, 3)])
-    code = F.length(F.regexp_extract(value, r"^\+\d{1,3}(?=[ .(-])", 0))
-    phone = F.concat(F.substr(value, F.lit(1), code), _shaped(F.substr(value, code + 1, F.length(value)), digest))
+    code = F.length(F.regexp_extract(bare, COUNTRY, 0))
+    phone = F.concat(F.substr(bare, F.lit(1), code), _shaped(F.substr(bare, code + 1, F.length(bare)), digest))
+    # Signs alone have nothing to vary.
+    shape = F.when(value.rlike("[A-Za-z0-9]"), value).otherwise(F.regexp_replace(value, ".", "a"))
     return (
-        F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", _card(value, digest))
-        .when(kind == "phone", phone).when(kind == "access_key", _shaped(value, digest, keep=4))
-        .when(kind == "iban", _shaped(value, digest, keep=2)).when(kind == "name", _name(value, digest))
-        .otherwise(_shaped(value, digest))
+        F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", _laid_out(value, _card(bare, digest)))
+        .when(kind == "phone", F.concat(_laid_out(value, phone), longer("0" * 12))).when(kind == "access_key", _shaped(value, digest, keep=4))
+        .when(kind == "iban", _laid_out(value, _shaped(bare, digest, keep=2))).when(kind == "name", _name(value, digest))
+        .when(kind == "identity", _shaped(value, digest)).otherwise(F.concat(_shaped(shape, digest), longer("a" * 12)))
     )
 
 

@@ -445,6 +445,35 @@ def test_surrogates(spark):
     assert surrogates.pseudonymise(frame.limit(0)).count() == 0
 
 
+def test_secrets_without_a_free_shape_end(spark):
+    """An empty field is no secret; signs alone and ten secrets of one digit get surrogates of their own."""
+    texts = ["Password: ________", "Password:\n--------\ntext", "token=-_-_-_-", *[f"token=_____{d}" for d in range(10)]]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r["doc_id"]: r for r in surrogates.pseudonymise(frame).collect()}
+    assert [got[i]["text"] for i in (0, 1)] == texts[:2] and got[0]["n_entities"] == got[1]["n_entities"] == 0
+    assert re.fullmatch("token=[a-z]{7}", got[2]["text"])
+    made = {got[i]["text"] for i in range(3, 13)}
+    assert len(made) == 10 and not made & set(texts)
+
+
+def test_one_number_in_several_layouts(spark):
+    groups = [
+        ["4111111111111111", "4111 1111 1111 1111", "4111-1111-1111-1111"], ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00"],
+        ["+1 (375) 555-4393", "+13755554393", "+1 375 555 4393"], ["(375) 555-4393", "375-555-4393", "375.555.4393"],
+    ]
+    texts = [f"see {v} now" for g in groups for v in g]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = iter(r["text"][4:-4] for r in surrogates.pseudonymise(frame).orderBy("doc_id").collect())
+    shape = lambda v: re.sub("[0-9]", "0", v)
+    seen = set()
+    for g in groups:
+        made = [next(got) for _ in g]
+        assert [shape(m) for m in made] == [shape(v) for v in g] and not set(made) & set(g)
+        bare = {re.sub("[^0-9A-Z+]", "", m) for m in made}
+        assert len(bare) == 1 and not bare & seen
+        seen |= bare
+
+
 def test_colliding_surrogates_move_on(spark, monkeypatch):
     """With a surrogate of one digit, ten entities still get ten surrogates."""
     small = lambda value, attempt, key: F.pmod(F.xxhash64(value, attempt, F.lit(key)), F.lit(40)).cast("string")
