@@ -63,14 +63,30 @@ NEVER_NAMES = frozenset(
     "share sharing social popup modal overlay pagination pager login signup signin register search skip legal copyright "
     "contentinfo complementary tags".split()
 )
+#: Words that name no content: beside them a compound such as "site-footer" means what its other word means.
+PLAIN_NAMES = frozenset(
+    "site page main global primary secondary left right top bottom upper lower block box area section region wrap wrapper "
+    "container inner outer holder group row col column list item items link links button buttons icon icons bar form slot "
+    "unit module panel title heading text post posts article articles entry story by".split()
+)
+#: Elements that hold the page's text whatever a class says about its layout.
+WHOLE = frozenset("html body main article".split())
 ARTICLE_NAMES = frozenset("article articlebody main content post entry story".split())
 
 
+def _never(token: str) -> set[str]:
+    """Names of no use in a class, id or role; "no-sidebar" or "post-share-prices-fall" have none."""
+    names = set(NAME.findall(token))
+    found = names & (NEVER_NAMES | {"header"})
+    return found if names <= found | PLAIN_NAMES else set()
+
+
 def _kind(tag: str, attributes: str, inside: bool) -> int:
     """-1 never text, 1 article, 2 a likely article container, 0 nothing known."""
     if tag in NEVER or (tag == "header" and not inside):
         return -1
     names: set[str] = set()
+    never: set[str] = set()
     for name, value in ATTRIBUTE.findall(attributes) if attributes else ():
         name, value = name.lower(), value.strip("\"'").lower()
         if name == "style":
@@ -80,7 +96,9 @@ def _kind(tag: str, attributes: str, inside: bool) -> int:
             return -1
         else:
             names.update(NAME.findall(value))
-    if names & NEVER_NAMES or ("header" in names and not inside):
+            if tag not in WHOLE:
+                never.update(*map(_never, value.split()))
+    if never & NEVER_NAMES or ("header" in never and not inside):
         return -1
     if tag in ("article", "main"):
         return 1

@@ -160,6 +160,16 @@ def test_html_blocks_of_an_article():
     assert html_text.parse("plain text")[1] == ["plain text"]
 
 
+@pytest.mark.parametrize("start", [
+    '<body class="single no-sidebar"><article>', '<body class="menu-closed"><main>', '<body class="nav"><p>', '<main class="with-sidebar">',
+    '<article id="post-share-prices-fall">', '<article class="post has-comments">', '<div class="content-area with-sidebar"><article>',
+    '<article><div id="comment-on-new-header-rules">',
+])
+def test_names_of_a_layout_keep_the_text(start):
+    article, open_blocks, _ = html_text.parse(f"<html class='has-banner'>{start}The text<div class='site-footer related-posts'>Gone</div>")
+    assert article + open_blocks == ["The text"]
+
+
 def test_host_boilerplate(spark):
     common_text = "all rights reserved by the owner of this very site today"
     pages = [(i, f"http://h{i % 2}.org/{i}", f"<div>unique{i} body text number {i}</div><div>{common_text}</div>") for i in range(6)]
