@@ -113,7 +113,11 @@ def _suffixes(text: bytes, doc: int, places: list[int]) -> Iterator[tuple[bytes,
 
 
 def _splitters(docs: DataFrame, open_ones: DataFrame, ranges: int) -> list[bytes]:
-    """Suffixes that divide a bounded sample into equal ranges."""
+    """Heads of suffixes that divide a bounded sample into equal ranges.
+
+    They are as long as what the furthest window needs to share, so suffixes that can
+    show a repeated window to each other are never on two sides of a cut.
+    """
     ids = open_ones.select("doc_id").distinct().orderBy(F.xxhash64("doc_id")).limit(SAMPLE_DOCUMENTS)
     sample = marked(docs, bit_map(ids)).join(F.broadcast(ids), "doc_id")
     some = open_ones.join(F.broadcast(ids), "doc_id").groupBy("doc_id").agg(F.slice(F.sort_array(F.collect_list("place")), 1, 64).alias("places"))
@@ -128,7 +132,7 @@ def _splitters(docs: DataFrame, open_ones: DataFrame, ranges: int) -> list[bytes
 
     got = sorted(bytes(r[0]) for r in sample.join(some, "doc_id").select("doc_id", "text", "places").mapInArrow(heads, "s binary").toLocalIterator())
     step = max(1, len(got) // ranges)
-    return got[step::step]
+    return sorted({s[: LENGTH - max(REACH)] for s in got[step::step]})
 
 
 def _runs(candidates: DataFrame, splitters: list[bytes]) -> DataFrame:

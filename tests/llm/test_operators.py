@@ -251,6 +251,16 @@ def test_suffix_dedup(docs, rows):
     assert suffix_dedup.report(empty(docs)).count() == 0
 
 
+def test_suffix_ranges_keep_close_suffixes_together(spark, monkeypatch):
+    """Ends of repeated passages are found however finely the sorted suffixes are cut."""
+    monkeypatch.setattr(suffix_dedup, "SUFFIXES_PER_RANGE", 2)
+    rng = random.Random(8)
+    passages = [words(rng, 30) for _ in range(12)]
+    rows = [(i, f"{words(rng, 9)} {rng.choice(passages)} {words(rng, 9)} {rng.choice(passages)} {words(rng, 9)}") for i in range(60)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.report(frame).collect()} == brute_suffix(rows)
+
+
 def test_classes_do_not_depend_on_batches(spark, docs):
     """Surroundings that go on over the end of a batch are told apart as within one."""
     slim = docs.select("doc_id", "text")
