@@ -13,7 +13,8 @@ the number of items; documents meet the blocks one after the other within a task
 
 Edge cases: a null or empty text has no words and is never contaminated; an item
 without words has no window and is never counted; equal items are each counted;
-a null item id is left out of ``items``; other columns are ignored; an empty table
+items with a null id hit like any other, are left out of ``items`` and count as one in
+``n_items``; other columns are ignored; an empty table
 of either kind gives no hits.
 """
 
@@ -43,7 +44,7 @@ def word_ids(text: str) -> list[int]:
 class SuffixAutomaton:
     """Automaton of word sequences; ``windows`` maps a state to the items found there."""
 
-    def __init__(self, items: list[tuple[str, list[int]]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, list[int]]], window: int = WINDOW):
         self.next: list[dict[int, int]] = [{}]
         self.link = [-1]
         self.length = [0]
@@ -123,12 +124,12 @@ class SuffixAutomaton:
                         yield i + 1, size, found
 
 
-def item_blocks(items: DataFrame, id_column: str = "item_id", text: str = "text") -> Iterator[list[tuple[str, list[int]]]]:
+def item_blocks(items: DataFrame, id_column: str = "item_id", text: str = "text") -> Iterator[list[tuple[str | None, list[int]]]]:
     """Items with words, a bounded number of words at a time."""
     block, size = [], 0
     for row in items.select(F.col(f"`{id_column}`").cast("string"), F.col(f"`{text}`")).toLocalIterator():
         words = word_ids(row[1] or "")
-        if words and row[0] is not None:
+        if words:
             block.append((row[0], words))
             size += len(words)
             if size >= ITEM_BLOCK_WORDS:
@@ -139,13 +140,13 @@ def item_blocks(items: DataFrame, id_column: str = "item_id", text: str = "text"
 
 
 def _search(block: V.Block, automata: list[SuffixAutomaton]):
-    """Words per document, hit flags per word, and ``(document, item)`` pairs."""
+    """Words per document, hit flags per word, and items per document, None for those without an id."""
     data = V.LOWER[block.data]
     starts, ends = V.runs(V.ALNUM[data], block.offsets)
     owner = block.owner(starts)
     words = V.span_hash(V.prefix_hash(data), starts, ends)
     delta = np.zeros(len(words) + 1, dtype=np.int64)
-    pairs: list[set[str]] = [set() for _ in range(block.n)]
+    pairs: list[set[str | None]] = [set() for _ in range(block.n)]
     first = np.searchsorted(owner, np.arange(block.n + 1))
     for automaton in automata:
         at = np.searchsorted(automaton.vocabulary, words)
@@ -168,7 +169,7 @@ def _automata(items: DataFrame) -> list:
 
 
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Per document: ``n_words, n_hit, n_items, items, contaminated``; ``items`` sorted."""
+    """Per document: ``n_words, n_hit, items, contaminated, unnamed``: ``items`` sorted, ``unnamed`` if an item without id hits."""
     kind, shared = dict(docs.dtypes)["doc_id"], _automata(items)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,12 +182,13 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
                 yield V.output({
                     "doc_id": (batch.column(0).slice(block.lo, block.n), None),
                     "n_words": (n_words, pa.int64()), "n_hit": (n_hit, pa.int64()),
-                    "items": ([sorted(p) for p in pairs], pa.list_(pa.string())),
+                    "items": ([sorted(p - {None}) for p in pairs], pa.list_(pa.string())),
                     "contaminated": ((n_hit > 0) & (COVERAGE * n_hit >= n_words), pa.bool_()),
+                    "unnamed": ([None in p for p in pairs], pa.bool_()),
                 })
 
     return docs.select("doc_id", "text").mapInArrow(
-        search, f"doc_id {kind}, n_words bigint, n_hit bigint, items array<string>, contaminated boolean"
+        search, f"doc_id {kind}, n_words bigint, n_hit bigint, items array<string>, contaminated boolean, unnamed boolean"
     )
 
 
@@ -229,7 +231,7 @@ def remove_spans(docs: DataFrame, items: DataFrame) -> DataFrame:
 def report(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Digest columns of :func:`contamination`."""
     return contamination(docs, items).select(
-        "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
+        "doc_id", "n_words", "n_hit", (F.size("items") + F.col("unnamed").cast("int")).cast("bigint").alias("n_items"),
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated",
     )
 

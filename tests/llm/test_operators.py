@@ -225,6 +225,19 @@ def test_contamination(docs, spark, rows):
     assert all(left[i] == texts[i] for i in left if not got[i]["n_hit"])
 
 
+def test_items_without_id_hit(spark):
+    """As in the query's SQL: they hit, count as one item and are not listed."""
+    texts = [f"start {' '.join(f'w{i}' for i in range(20))} end", "nothing of it here"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    items = [(None, texts[0][6:-4]), (None, texts[0][9:-4]), (7, texts[0][12:-4])]
+    frame = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {r["doc_id"]: r for r in decontaminate.report(docs, frame).collect()}
+    assert tuple(got[0])[1:] == (22, 20, 2, sha256(b"7").hexdigest(), True)
+    assert tuple(got[1])[1:] == (4, 0, 0, sha256(b"").hexdigest(), False)
+    assert [r["doc_id"] for r in decontaminate.remove_spans(docs, frame).collect()] == [1]
+    assert decontaminate.remove_spans(docs, frame.where("item_id is null")).count() == 1
+
+
 # -- 4: suffixes --------------------------------------------------------------------
 
 
