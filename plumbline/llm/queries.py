@@ -6,7 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html_text, jaccard_groups, line_dedup, packing, quality_ngrams, quality_rff, suffix_dedup, surrogates, token_file
+from . import (
+    decontaminate, html_text, importance, jaccard_groups, line_dedup, packing, quality_ngrams, quality_rff, suffix_dedup,
+    surrogates, token_file,
+)
 from .common import table
 
 
@@ -50,9 +53,14 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.report(table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_quality_classifier, op2_html_text, op3_decontaminate, op4_suffix_dedup, op5_jaccard_groups, op6_token_file, op7_line_dedup, op8_quality_rules, op9_packing, op10_surrogates,
+        op1_quality_classifier, op2_html_text, op3_decontaminate, op4_suffix_dedup, op5_jaccard_groups, op6_token_file,
+        op7_line_dedup, op8_quality_rules, op9_packing, op10_surrogates, op11_importance_resampling,
     )
 }
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -61,7 +69,35 @@ _WORDS = (
     r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 )
 
+#: CRC-32 of a feature's UTF-8 bytes, byte by byte from a table that SQL makes by its rule.
+_BUCKETS = f"""
+crc AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS tab
+    FROM (SELECT unnest(range(256)) AS i)),
+spelt AS (SELECT f, encode(f) AS b, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM feat)),
+bucket AS (SELECT f, xor(list_reduce(list_transform(range(octet_length(b)), lambda i: ('0x' || substr(h, (2 * i + 1)::BIGINT, 2))::BIGINT),
+    lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) % 10000 AS b FROM spelt, crc)"""
+
 ORACLES: dict[str, str] = {
+    "op11_importance_resampling": f"""
+WITH words AS (SELECT 'd' AS side, doc_id AS id, {_WORDS} AS w FROM documents UNION ALL SELECT 't', item_id, {_WORDS} FROM benchmark),
+feat AS (
+    SELECT side, id, unnest(w) AS f FROM words
+    UNION ALL SELECT side, id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM words
+),{_BUCKETS},
+held AS (SELECT b, count(*) FILTER (side = 'd')::DOUBLE AS s, count(*) FILTER (side = 't')::DOUBLE AS t FROM feat JOIN bucket USING (f) GROUP BY b),
+total AS (SELECT sum(s) AS s_all, sum(t) AS t_all FROM held),
+gain AS (SELECT b, floor(1000 * ln(((t + 1) * (s_all + 10000)) / ((s + 1) * (t_all + 10000))))::BIGINT AS g FROM held, total),
+mean AS (SELECT id, count(*) AS n, floor(sum(g)::DOUBLE / count(*))::BIGINT AS weight FROM feat JOIN bucket USING (f) JOIN gain USING (b) WHERE side = 'd' GROUP BY id),
+drawn AS (SELECT id, len(w) AS n_words, ('0x' || substr(sha256('7:' || id::VARCHAR), 1, 8))::BIGINT AS h FROM words WHERE side = 'd'),
+scored AS (
+    SELECT id, n_words, coalesce(n, 0) AS n, coalesce(weight, 0) AS weight,
+        coalesce(weight, 0) + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score
+    FROM drawn LEFT JOIN mean USING (id)
+),
+ranked AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS r, count(*) OVER () AS n_all FROM scored WHERE n_words >= 20)
+SELECT id AS doc_id, n::BIGINT AS n_features, weight, score, CASE WHEN r <= 25 * n_all // 100 THEN r END AS rank
+FROM scored LEFT JOIN ranked USING (id)
+""",
     "op3_decontaminate": f"""
 WITH doc AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 item AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
