@@ -3,10 +3,9 @@
 Each partition keeps at most ``OPEN`` windows. A document's full windows leave at
 once; its remainder goes into the open window that it fits best. When it fits none
 and all places are taken, the fullest window is topped up with the head of the
-remainder and leaves. What is open at the end of a partition is packed again, many
-partitions together, until one task holds a few windows; there the last pieces are
-laid end to end. Only open windows keep their ids, so every round carries at most
-``OPEN`` windows per task.
+remainder and leaves. What is open at the end of a partition is packed again in groups of about
+``OPEN * FAN_IN`` windows, each of which leaves at most ``OPEN`` open, until there is one
+group; there the last pieces are laid end to end. Only open windows keep their ids.
 
 Edge cases: a null text counts as empty and is packed as its end id; repeated ids are
 packed row by row; other columns are ignored; an empty table gives no piece.
@@ -156,10 +155,13 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, p
 
     written = stored(docs.select("doc_id", "text").mapInArrow(online, _schema(kind)), "packing")
     parts = written.where("ids is null")
-    rest, level = written.where("ids is not null"), 1
+    rest, level, before = written.where("ids is not null"), 1, None
     while True:
         n = rest.agg(F.countDistinct("sequence_id")).first()[0]
-        last = n <= places * FAN_IN
+        # A group ends with its pieces laid end to end once it is the only one, or when
+        # the last round has not even halved the open windows.
+        last = n <= places * FAN_IN or (before is not None and 2 * n > before)
+        before = n
         rest = stored(_again(rest, -(-n // (places * FAN_IN)) or 1, level, last, kind, window, places), "packing")
         parts = parts.unionByName(rest.where("ids is null"))
         if last:
@@ -167,24 +169,35 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, p
         rest, level = rest.where("ids is not null"), level + 1
 
 
-def _again(rest: DataFrame, tasks: int, level: int, last: bool, kind: str, window: int, places: int) -> DataFrame:
-    """Pack the pieces of open windows once more, in fewer tasks."""
+def _again(rest: DataFrame, groups: int, level: int, last: bool, kind: str, window: int, places: int) -> DataFrame:
+    """Pack the pieces of open windows once more, one group of windows after the other.
+
+    The group is a column, so how far a round shrinks does not depend on how many
+    partitions Spark makes of the groups.
+    """
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, arrow = Packer(_first_id(level), window, places), None
+        packer, group, arrow = None, None, None
         for batch in batches:
-            arrow = batch.schema.field(0).type
-            for row in zip(*[c.to_pylist() for c in batch.columns]):
+            arrow = batch.schema.field(1).type
+            for here, *row in zip(*[c.to_pylist() for c in batch.columns]):
+                if packer is None or here != group:
+                    if packer is not None:
+                        yield from _batches(end(packer), arrow)
+                    packer = Packer(_first_id(level) if packer is None else packer.next_id, window, places)
+                    group = here
                 packer.add(*row)
-            yield from _batches(packer.leave(), arrow)
-        if arrow is None:
-            return
+            if packer is not None:
+                yield from _batches(packer.leave(), arrow)
+        if packer is not None:
+            yield from _batches(end(packer), arrow)
+
+    def end(packer: Packer) -> list[tuple]:
         if last:
             packer.lay_out()
-            yield from _batches(packer.leave(), arrow)
-        else:
-            yield from _batches(packer.still_open(), arrow)
+        return [*packer.leave(), *packer.still_open()]
 
-    slim = rest.select("doc_id", "start", "doc_tokens", "ids", "sequence_id")
-    dealt = slim.repartition(tasks, "sequence_id").sortWithinPartitions(F.desc(F.length("ids")), "doc_id", "start")
-    return dealt.select("doc_id", "start", "doc_tokens", "ids").mapInArrow(merge, _schema(kind))
+    group = F.pmod(F.xxhash64("sequence_id"), F.lit(groups)).alias("group")
+    slim = rest.select(group, "doc_id", "start", "doc_tokens", "ids")
+    dealt = slim.repartition("group").sortWithinPartitions("group", F.desc(F.length("ids")), "doc_id", "start")
+    return dealt.mapInArrow(merge, _schema(kind))
