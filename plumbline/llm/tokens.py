@@ -4,7 +4,7 @@ Both vocabularies split text before their merges, and neither split ever joins t
 sides of a single space between two visible characters. A text is therefore cut there
 and every distinct piece is encoded once per worker; the ids of a text are the ids of
 its pieces in order. Pieces that are unusually long are encoded but not remembered
-after their group of texts, and the memory is emptied when it passes ``MEMORY`` pieces.
+after their group of texts, and the memory is emptied when it passes ``MEMORY`` bytes.
 """
 
 from __future__ import annotations
@@ -17,13 +17,17 @@ from functools import lru_cache
 
 import numpy as np
 
-MEMORY = 1_000_000
+MEMORY = 48 << 20
+#: Bytes of a remembered piece besides its characters and ids.
+PIECE_BYTES = 220
 GROUP_CHARS = 1 << 20
 LONGEST_KEPT = 64
 SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
 DOUBLE_SPACE = re.compile(r"\s\s")
 #: Up to here letters are stable under NFC and both Unicode versions agree on them.
 LATIN_END = "\u0250"
+#: Its lower case is two code points here and other ids in the library.
+DOTTED_I = "\u0130"
 
 
 def byte_characters() -> dict[int, str]:
@@ -53,6 +57,7 @@ class Encoder:
         self.heads: dict[str, bytes] = {"": b""}
         #: Ids of the pieces after the first, without the space before them.
         self.known: dict[str, bytes] = {} if spaces_kept else self.heads
+        self.bytes = 0
         self.characters = byte_characters()
         self.ends = {"": b""} | {c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in ".,"}
 
@@ -86,7 +91,7 @@ class Encoder:
         for piece in pieces:
             tail = piece[-1:] if piece[-1:] in self.ends else ""
             core = piece[:-1] if tail else piece
-            if not core.isalpha() or not (core.isascii() or max(core) < LATIN_END):
+            if not core.isalpha() or not (core.isascii() or max(core) < LATIN_END) or DOTTED_I in core:
                 rest.append(piece)
                 continue
             ids = known.get(core) if tail else None
@@ -111,10 +116,17 @@ class Encoder:
             for known, new in fresh:
                 for piece in [p for p in new if len(p) > LONGEST_KEPT]:
                     del known[piece]
-            for known in (self.heads, self.known):
-                if len(known) > MEMORY:
-                    known.clear()
-                    self.heads[""] = b""
+                    new.discard(piece)
+                self.bytes += sum(map(len, new)) + sum(len(known[p]) for p in new) + PIECE_BYTES * len(new)
+            if self.bytes > MEMORY:
+                self.forget()
+
+    def forget(self) -> None:
+        """Empty the memory of pieces."""
+        self.heads.clear()
+        self.known.clear()
+        self.heads[""] = b""
+        self.bytes = 0
 
     def encode(self, text: str | None) -> bytes:
         """:meth:`encode_all` of one text."""
