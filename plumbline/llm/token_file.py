@@ -6,8 +6,9 @@ control column say how many bytes the rank takes; decoding looks a whole control
 up in a table of four lengths and gathers the bytes with array operations.
 
 The files are Parquet folders, so that they are written and committed by Spark on any
-file system: ``codes`` holds ``shard, doc_id, n_tokens, control, data`` in ascending
-``doc_id`` order within and across shards, ``ranks`` the id of every rank.
+file system: ``codes`` holds ``shard, doc_id, start, n_tokens, control, data`` in ascending
+``doc_id`` order within and across shards, with the ids before each document in its shard;
+``ranks`` holds the id of every rank.
 
 Texts are tokenised once, into a narrow intermediate table; ranks are counted on it.
 
@@ -134,43 +135,37 @@ def write(docs: DataFrame, folder: str, vocabulary: str | None = None) -> None:
     codes = tokens.select("doc_id", "ids").mapInArrow(
         encode, f"shard int, doc_id {kind}, n_tokens bigint, control binary, data binary"
     )
-    (
-        codes.repartition("shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "n_tokens", "data")
-        .write.option("compression", "none").parquet(f"{folder}/codes")
-    )
+    # The window has the order of the file, so its sort is the only one.
+    earlier = W.partitionBy("shard").orderBy(F.asc_nulls_first("doc_id"), "n_tokens", "data").rowsBetween(W.unboundedPreceding, -1)
+    placed = codes.repartition("shard").withColumn("start", F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0)))
+    placed.write.option("compression", "none").parquet(f"{folder}/codes")
 
 
 def read(spark, folder: str) -> DataFrame:
-    """``shard, doc_id, n_tokens, data, ids``: every document's ids as 32-bit integers."""
+    """``doc_id, start, n_tokens, ids``: every document's ids as 32-bit integers, and where they begin."""
     codes = spark.read.parquet(f"{folder}/codes")
     ids = spark.read.parquet(f"{folder}/ranks").orderBy("rank").select("id").toLocalIterator()
     shared = spark.sparkContext.broadcast(np.array([r[0] for r in ids] or [0], dtype="<u4"))
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, control, data = (batch.column(i).to_pylist() for i in (2, 3, 4))
+            n, control, data = (batch.column(i).to_pylist() for i in (3, 4, 5))
             found = [shared.value[unpack(c, d, k)].tobytes() for k, c, d in zip(n, control, data)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], batch.column(4), pa.array(found, pa.binary())], names=["shard", "doc_id", "n_tokens", "data", "ids"])
-
-    schema = f"shard int, doc_id {dict(codes.dtypes)['doc_id']}, n_tokens bigint, data binary, ids binary"
-    return codes.select("shard", "doc_id", "n_tokens", "control", "data").mapInArrow(decode, schema)
-
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found, pa.binary())], names=["shard", "doc_id", "start", "n_tokens", "ids"])
 
-def round_trip(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """Write the files, read them back and describe every document from them."""
-    spark = docs.sparkSession
-    folder = scratch(spark, "tokens")
-    write(docs, folder, vocabulary)
-    rows = read(spark, folder).select(
-        "shard", "doc_id", "n_tokens", F.crc32("data").alias("tie"), F.crc32("ids").alias("ids_crc32")
-    )
-    # Totals of shards come from the columns alone, without decoding.
-    slim = spark.read.parquet(f"{folder}/codes").select("shard", "n_tokens")
-    totals = slim.groupBy("shard").agg(F.sum("n_tokens").alias("n")).orderBy("shard").collect()
+    schema = f"shard int, doc_id {dict(codes.dtypes)['doc_id']}, start bigint, n_tokens bigint, ids binary"
+    rows = codes.select("shard", "doc_id", "start", "n_tokens", "control", "data").mapInArrow(decode, schema)
+    # Shards follow one another; their totals come from the columns alone, without decoding.
+    totals = codes.groupBy("shard").agg(F.max(F.col("start") + F.col("n_tokens")).alias("n")).orderBy("shard").collect()
     before = list(zip((r["shard"] for r in totals), accumulate((r["n"] for r in totals), initial=0)))
     offsets = spark.createDataFrame(before, "shard int, before bigint")
-    here = W.partitionBy("shard").orderBy(F.asc_nulls_first("doc_id"), "n_tokens", "tie").rowsBetween(W.unboundedPreceding, -1)
     return rows.join(F.broadcast(offsets), "shard").select(
-        "doc_id", (F.col("before") + F.coalesce(F.sum("n_tokens").over(here), F.lit(0))).alias("start"), "n_tokens", "ids_crc32"
+        "doc_id", (F.col("before") + F.col("start")).alias("start"), "n_tokens", "ids"
     )
 
+
+def round_trip(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
+    """Write the files, read them back and describe every document from them."""
+    folder = scratch(docs.sparkSession, "tokens")
+    write(docs, folder, vocabulary)
+    return read(docs.sparkSession, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
