@@ -1,12 +1,15 @@
-"""MLlib models, gates, harmonisation and reports."""
+"""Models, gates, harmonisation and reports."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ...functions.draws import poisson_sql
+from ...operators import forest as FO
 from ...operators import identity as I
 from ...operators import metrics as M
 from ...operators import models as ML
+from ...operators import regression as RG
 from ...operators import report
 from ...operators import resample as R
 from ...operators import splits as X
@@ -18,44 +21,94 @@ from .. import oracle as SQL
 from ..registry import query
 from ..views import FT, feature_cohort, feature_table, r6, recordings, s6, table
 from .audit import META, meta
-from .experiments import ABC, AR, LINES, N_BOOT, OOF, SEED, rounded
+from .experiments import ABC, AR, LINES, N_BOOT, OOF, SEED, demographic, demographic_sql, rounded
 from .sources_scalars import NAMES2, names2
 
-# -- MLlib on embeddings -------------------------------------------------------------
+# -- logistic fits on embeddings -------------------------------------------------------
 
+DIMENSIONS = 64
+CORPORA = [0, 1]
 
-def vectors(spark, sf):
+
+def embedded(spark, sf):
     """Five neighbouring vectors with the same label make a participant."""
     emb = table(spark, sf, "embeddings")
-    rows = emb.select(
-        F.col("vec_id").alias("recording_id"), F.floor(F.col("vec_id") / 5).cast("bigint").alias("subject_id"),
-        (F.col("vec_id") % 2).cast("int").alias("corpus"), (F.col("label") < 5).cast("int").alias("label"), "embedding",
+    label = (F.col("label") < 5).cast("int")
+    return emb.select(
+        F.col("vec_id").alias("recording_id"), (F.floor(F.col("vec_id") / 5) * 2 + label).cast("bigint").alias("subject_id"),
+        (F.col("vec_id") % 2).cast("int").alias("corpus"), label.alias("label"), F.col("embedding").cast("array<double>").alias("x"),
     )
-    return ML.with_vector(rows.withColumn("subject_id", F.col("subject_id") * 2 + F.col("label")), "embedding").drop("embedding")
+
+
+def vectors(spark, sf):
+    return ML.with_vector(embedded(spark, sf), "x").drop("x")
 
 
 def folded(spark, sf, k=5):
     return X.assign_folds(vectors(spark, sf), ["C_subject_key"], k, 1, SEED).withColumn("fold", F.col("fold").cast("int"))
 
 
+EMB = """emb AS (SELECT vec_id AS recording_id, (vec_id // 5) * 2 + (label < 5)::INTEGER AS subject_id, (vec_id % 2)::INTEGER AS corpus, '' AS folder_path, (label < 5)::INTEGER AS label FROM embeddings)"""
+
+
 def by_participant(scored):
-    part = M.to_participants(scored)
-    return part.select("subject_id", "label", r6("score").alias("score"))
+    """Mean over repeats per recording, then over recordings."""
+    oof = scored.groupBy("recording_id", "subject_id", "label").agg(F.avg("score").alias("score"))
+    return M.to_participants(oof).select("subject_id", "label", r6("score").alias("score"))
 
 
 @query("e01_random_forest")
 def e01(spark, sf):
-    return by_participant(ML.cross_validate(folded(spark, sf), lambda n: ML.random_forest(n, 100, 6), 5))
+    """A hundred trees in every fold of every repeat."""
+    return by_participant(FO.cross_validated(RG.with_fold_roles(embedded(spark, sf), seed=SEED), DIMENSIONS, trees=100))
+
+
+BAGS = f"""bag AS (SELECT f.repeat, f.fold, t, label, {poisson_sql(SEED, '(f.repeat * 5 + f.fold) * 100 + t', 'recording_id')} AS w
+  FROM (SELECT m.repeat, m.fold, recording_id, label FROM (SELECT DISTINCT repeat, fold FROM folds) m JOIN folds t ON t.repeat = m.repeat AND t.fold <> m.fold) f, (SELECT unnest(range(100)) AS t))"""
+
+
+@query("e01_random_forest_bags", f"""WITH {EMB}, {SQL.folds_sql(['C_subject_key'], 5, 5, SEED, 'emb')}, {BAGS}
+SELECT repeat::INTEGER AS repeat, fold::INTEGER AS fold, t::INTEGER AS tree, sum(w)::BIGINT AS n_weight, {s6('sum(w * label) / sum(w)::DOUBLE')} AS share FROM bag GROUP BY ALL""")
+def e01_bags(spark, sf):
+    """The roots of all trees: weight and share of class 1 in each tree's bag."""
+    data, cuts = FO.prepared(RG.with_fold_roles(embedded(spark, sf), seed=SEED), DIMENSIONS)
+    forests = [FO.Forest(r, f, 100, max_depth=0) for r in range(5) for f in range(5)]
+    return rounded(FO.roots(data, cuts, forests, SEED).withColumnRenamed("outer", "repeat"), "share")
+
+
+def five_by_five(spark, sf, c, l1=0.0):
+    return RG.cross_validated(RG.with_fold_roles(embedded(spark, sf), seed=SEED), DIMENSIONS, c, l1)
+
+
+TRAINED = f"""WITH {EMB}, {SQL.folds_sql(['C_subject_key'], 5, 5, SEED, 'emb')}
+SELECT m.repeat::INTEGER AS repeat, m.fold::INTEGER AS fold, count(*)::BIGINT AS n_train, sum(label)::BIGINT AS n_pos, 0.0::DOUBLE AS residual
+FROM (SELECT DISTINCT repeat, fold FROM folds) m JOIN folds t ON t.repeat = m.repeat AND t.fold <> m.fold GROUP BY ALL"""
+
+
+def fits_table(spark, models):
+    """Each fit with its training set and the largest violation of its optimality conditions."""
+    rows = [(m.fit.outer, m.fit.fold, m.n_train, m.n_pos, round(m.residual, 6)) for m in models]
+    return spark.createDataFrame(rows, "repeat int, fold int, n_train bigint, n_pos bigint, residual double")
 
 
 @query("e02_logistic_l2")
 def e02(spark, sf):
-    return by_participant(ML.cross_validate(folded(spark, sf), lambda n: ML.logistic(n, 0.1), 5))
+    return by_participant(five_by_five(spark, sf, 0.1)[0])
+
+
+@query("e02_logistic_l2_optimality", TRAINED)
+def e02_fits(spark, sf):
+    return fits_table(spark, five_by_five(spark, sf, 0.1)[1])
 
 
 @query("e03_elastic_net")
 def e03(spark, sf):
-    return by_participant(ML.cross_validate(folded(spark, sf), lambda n: ML.logistic(n, 0.2, 0.3), 5))
+    return by_participant(five_by_five(spark, sf, 0.2, 0.3)[0])
+
+
+@query("e03_elastic_net_optimality", TRAINED)
+def e03_fits(spark, sf):
+    return fits_table(spark, five_by_five(spark, sf, 0.2, 0.3)[1])
 
 
 @query("e04_boosted_trees")
@@ -63,44 +116,97 @@ def e04(spark, sf):
     return by_participant(ML.cross_validate(folded(spark, sf, 3), lambda n: ML.boosted_trees(n, 2, 10), 3))
 
 
+#: Settings of the forest search; every one has a hundred trees.
+FOREST_GRID = [{"max_depth": d, "min_leaf": m} for d in (3, 5) for m in (2, 4)]
+
+
 @query("e05_tuned_forest")
 def e05(spark, sf):
-    return by_participant(ML.cross_validate(folded(spark, sf, 3), lambda n: ML.random_forest(n, 50, 3, 4), 3))
+    """The setting that is best in inner folds, for every held-out corpus."""
+    rows = RG.with_corpus_roles(embedded(spark, sf), CORPORA, 3, SEED)
+    scored, _ = FO.nested_search(rows, DIMENSIONS, "RandomForest", FOREST_GRID, len(CORPORA), seed=SEED)
+    return rounded(M.to_participants(scored, ["corpus"]), "score")
 
 
-@query("e06_demographic_baseline")
+@query("e06_demographic_baseline", f"WITH RECURSIVE {FT}, {demographic_sql('fc', 'dg')} SELECT subject_id, label, {s6('score')} AS score FROM dg")
 def e06(spark, sf):
-    cohort = recordings(spark, sf).where(F.col("group").isin("case", "control"))
-    folds = X.assign_folds(cohort, ["C_subject_key"], 5, 1, SEED).select("recording_id", "subject_id", "label", "age", "sex", "fold")
-    return by_participant(ML.cross_validate(folds, ML.demographic, 5))
+    people = M.to_participants(demographic(feature_cohort(spark, sf)))
+    return people.select("subject_id", "label", r6("score").alias("score"))
+
+
+#: Settings of the searched grids, ``(inverse strength, share of the lasso)``.
+LOGISTIC_GRIDS = {
+    "Logistic_L2": [(0.01, 0.0), (0.1, 0.0), (1.0, 0.0), (10.0, 0.0)],
+    "Logistic_ElasticNet": [(c, share) for c in (0.05, 0.2, 1.0) for share in (0.3, 0.7)],
+}
+
+
+def nested(spark, sf):
+    rows = RG.with_corpus_roles(embedded(spark, sf), CORPORA, 3, SEED)
+    return RG.nested_search(rows, DIMENSIONS, LOGISTIC_GRIDS, len(CORPORA))
 
 
 @query("e10_nested_search")
 def e10(spark, sf):
-    rows = vectors(spark, sf)
-    scored = ML.nested_leave_one_corpus_out(rows, ["Logistic_L2"], [0, 1])
+    """Both logistic searches: pooled AUROC with its interval, and that of each corpus."""
+    scored, _ = nested(spark, sf)
     people = M.to_participants(scored, ["model", "corpus"])
-    return rounded(M.auroc(people, ["model", "corpus"]), "auroc")
+    pooled = R.bootstrap_ci(people.withColumn("subject_id", F.col("subject_id") * 2 + F.col("corpus")), ["model"], n_boot=N_BOOT)
+    each = M.auroc(people, ["model", "corpus"]).groupBy("model").pivot("corpus", CORPORA).agg(F.max("auroc"))
+    each = each.select("model", *[F.col(f"`{c}`").alias(f"auroc_corpus_{c}") for c in CORPORA])
+    out = pooled.join(each, "model").withColumnRenamed("n", "n_participants")
+    return rounded(out, "auroc", "ci_lo", "ci_hi", *[f"auroc_corpus_{c}" for c in CORPORA])
+
+
+@query("e10_nested_search_optimality", f"""WITH g AS (SELECT unnest([{', '.join(f"{{'model': '{n}', 'c': {c}::DOUBLE, 'l1_ratio': {r}::DOUBLE}}" for n, grid in LOGISTIC_GRIDS.items() for c, r in grid)}]) AS g)
+SELECT g.model AS model, corpus::INTEGER AS corpus, g.c AS c, g.l1_ratio AS l1_ratio, 0.0::DOUBLE AS residual FROM g, (SELECT DISTINCT vec_id % 2 AS corpus FROM embeddings)""")
+def e10_fits(spark, sf):
+    """Every setting for every held-out corpus, with the worst of its fits."""
+    _, told = nested(spark, sf)
+    rows = [(name, outer, c, share, round(residual, 6)) for name, outer, c, share, _, _, residual in told]
+    return spark.createDataFrame(rows, "model string, corpus int, c double, l1_ratio double, residual double")
+
+
+def elsewhere(spark, sf):
+    return RG.train_elsewhere(RG.with_corpus_roles(embedded(spark, sf), CORPORA, 3, SEED), DIMENSIONS, 0.1, 0.0, len(CORPORA))
 
 
 @query("e13_train_elsewhere")
 def e13(spark, sf):
-    rows = vectors(spark, sf)
-    pooled = ML.train_and_score(rows, lambda n: ML.logistic(n, 0.1), 0).unionByName(
-        ML.train_and_score(rows, lambda n: ML.logistic(n, 0.1), 1)
-    )
-    return rounded(M.to_participants(pooled, ["corpus"]), "score")
+    return rounded(M.to_participants(elsewhere(spark, sf)[0], ["corpus"]), "score")
+
+
+@query("e13_train_elsewhere_optimality", """SELECT h::INTEGER AS held_out, count(*)::BIGINT AS n_train, sum((label < 5)::INTEGER)::BIGINT AS n_pos, 0.0::DOUBLE AS residual
+FROM embeddings, (SELECT unnest(range(2)) AS h) WHERE vec_id % 2 <> h GROUP BY h""")
+def e13_fits(spark, sf):
+    rows = [(m.fit.outer, m.n_train, m.n_pos, round(m.residual, 6)) for m in elsewhere(spark, sf)[1]]
+    return spark.createDataFrame(rows, "held_out int, n_train bigint, n_pos bigint, residual double")
+
+
+#: Forest sizes of the convergence curve.
+OOB_SIZES = [10, 25, 50, 75, 100, 150, 200, 300, 500]
+
+
+def oob(spark, sf):
+    return FO.out_of_bag_error(embedded(spark, sf), DIMENSIONS, OOB_SIZES, SEED)
 
 
 @query("m14_out_of_bag_error")
 def m14(spark, sf):
-    return rounded(ML.out_of_bag_error(vectors(spark, sf), [3, 6, 10]), "oob_error")
+    return rounded(oob(spark, sf).select("n_trees", "oob_error", "n_scored"), "oob_error")
+
+
+@query("m14_out_of_bag_votes", f"""WITH {EMB}, w AS (SELECT recording_id, t, {poisson_sql(SEED, 't', 'recording_id')} AS w FROM emb, (SELECT unnest(range({max(OOB_SIZES)})) AS t)),
+s AS (SELECT unnest([{', '.join(map(str, OOB_SIZES))}]) AS n_trees)
+SELECT n_trees::INTEGER AS n_trees, count(DISTINCT recording_id)::BIGINT AS n_scored, count(*)::BIGINT AS n_votes FROM s JOIN w ON t < n_trees WHERE w = 0 GROUP BY n_trees""")
+def m14_votes(spark, sf):
+    return oob(spark, sf).select("n_trees", "n_scored", "n_votes")
 
 
 # -- gates ---------------------------------------------------------------------------
 
 POOLED = lambda feats, tag: f"""{SQL.folds_sql(['D_leave_one_corpus_out'], 1, 1, 0, name=tag + 'f')}, {SQL.models_sql(feats, AR, tag + 'f', tag + 'm')}, {SQL.scored_sql(feats, AR, tag + 'f', tag + 'm', tag + 's')},
-{tag}p AS (SELECT subject_id, max(label) AS label, avg(score) AS score FROM {tag}s GROUP BY ALL)"""
+{tag}p AS (SELECT subject_id, max(label) AS label, round(avg(score), 9) AS score FROM {tag}s GROUP BY ALL)"""
 GATES = f"""{POOLED(['header'], 'ga')}, {SQL.auroc_sql('gap', [], 'gaa')}, {POOLED(LINES, 'gb')}, {SQL.ci_sql('gbp', [], 'subject_id', N_BOOT, SEED, 'gbc')},
 px AS (SELECT corpus, subject_id, max(label) AS label, round(avg(age), 9) AS score FROM fc GROUP BY ALL), {SQL.auroc_sql('px', ['corpus'], 'pxa')},
 sv AS (SELECT subject_id, avg(header) AS score, max(f_lines) AS s1, max(f_qty) AS s2 FROM fc GROUP BY ALL),
@@ -150,7 +256,7 @@ def external(spark, sf):
 
 
 EV_GATES = f"""{SQL.auroc_sql('ev', [], 'ea', score='ext00')}, {SQL.folds_sql(['C_subject_key'], 5, 5, SEED, 'ev', name='evf')}, {SQL.models_sql(SAVED, AR, 'evf', 'evm')}, {SQL.scored_sql(SAVED, AR, 'evf', 'evm', 'evs')},
-evo AS (SELECT recording_id, subject_id, label, avg(score) AS score FROM evs GROUP BY ALL), evp AS (SELECT subject_id, max(label) AS label, avg(score) AS score FROM evo GROUP BY ALL),
+evo AS (SELECT recording_id, subject_id, label, avg(score) AS score FROM evs GROUP BY ALL), evp AS (SELECT subject_id, max(label) AS label, round(avg(score), 9) AS score FROM evo GROUP BY ALL),
 {SQL.ci_sql('evp', [], 'subject_id', N_BOOT, SEED, 'evc')},
 ok AS (SELECT (SELECT auroc FROM ea) <= 0.65 AND (SELECT ci_lo FROM evc) > (SELECT greatest(auroc, 1 - auroc) FROM ea) AS saved)"""
 

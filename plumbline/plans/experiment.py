@@ -7,9 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import draws as D
+from ..operators import permute as P
 from ..operators import resample as R
 from ..operators import scorer as S
-from ..operators.metrics import auroc, to_participants
+from ..operators.metrics import PLACES, auroc, to_participants
 from ..operators.splits import assign_folds, leakage_report, pack_folds, training_subsets, unpack_folds
 from ..session import materialise
 
@@ -71,20 +73,22 @@ def run_arms(
     )
     by = [*cell, "feature_set", "arm"]
     people = to_participants(oof, by)
-    part = R.bootstrap_ci(people, by, "subject_id", n_boot, seed=seed)
-    rec = R.bootstrap_ci(oof, by, "recording_id", n_boot, seed=seed, ready=True)
+    recordings = oof.withColumn("score", F.round("score", PLACES))
     leaks = leakage_report(unpack_folds(packed, *cell, "subject_id"), cell).groupBy(*cell, "arm").agg(
         F.avg("n_leaked_participants").alias("leaked_per_fold")
     )
-    return (
-        part.select(*by, F.col("auroc").alias("auroc_participant"), "ci_lo", "ci_hi", F.col("n").alias("n_participants"))
-        .join(
-            rec.select(
-                *by, F.col("auroc").alias("auroc_recording"), F.col("ci_lo").alias("rec_ci_lo"),
-                F.col("ci_hi").alias("rec_ci_hi"), F.col("n").alias("n_recordings"),
-            ), by,
-        )
-        .join(leaks, [*cell, "arm"])
+    part = _grain(people, by, "subject_id", "auroc_participant", "", "n_participants", n_boot, seed)
+    rec = _grain(recordings, by, "recording_id", "auroc_recording", "rec_", "n_recordings", n_boot, seed, ready=True)
+    return part.join(rec, by).join(leaks, [*cell, "arm"])
+
+
+def _grain(rows: DataFrame, by: Sequence[str], unit: str, point: str, prefix: str, n: str, n_boot: int, seed: int, ready: bool = False) -> DataFrame:
+    """AUROC of one grain, with its interval unless ``n_boot`` is 0."""
+    if not n_boot:
+        return auroc(rows, by).select(*by, F.col("auroc").alias(point), (F.col("n_pos") + F.col("n_neg")).alias(n))
+    ci = R.bootstrap_ci(rows, by, unit, n_boot, seed=seed, ready=ready)
+    return ci.select(
+        *by, F.col("auroc").alias(point), F.col("ci_lo").alias(f"{prefix}ci_lo"), F.col("ci_hi").alias(f"{prefix}ci_hi"), F.col("n").alias(n)
     )
 
 
@@ -166,27 +170,23 @@ def permutation_null(
     """``arm, perm, auroc``: refit under shuffled participant labels; perm -1 is observed.
 
     Fold, label and score depend on a recording only through its participant and
-    fold, so recordings are reduced to moments per (arm, participant, fold) before
-    anything is multiplied by the number of permutations.
+    fold, so recordings are reduced to moments per (arm, participant, fold) once.
     """
     folds = assign_folds(df.select(*dict.fromkeys([*KEYS, *features])), arms, k, 1, seed)
-    base = materialise(S.moments(folds, ["arm", "subject_id", "fold", "label"], features))
-    people = base.select("arm", "subject_id", "label").distinct()
-    subjects = people.where(F.col("arm") == arms[0]).select("subject_id", "label")
-    shuffled = R.permuted_labels(subjects, [], n_perm, seed)
-    observed = subjects.select(F.lit(-1).alias("perm"), "subject_id", F.col("label").alias("label_perm"))
-    labels = materialise(shuffled.select("perm", "subject_id", "label_perm").unionByName(observed))
-    rows = base.drop("label").join(labels, "subject_id")
-    keys = ["arm", "perm"]
-    n_models = len(arms) * (n_perm + 1) * k
-    per_fold = S.merge(rows, [*keys, "fold"], features, "label_perm", n_models)
-    models = S.held_out_models(per_fold, keys, features)
-    scored = S.attach(rows, models, [*keys, "fold"], n_models, len(features))
-    people = scored.groupBy(*keys, "subject_id", F.col("label_perm").alias("label")).agg(
-        (F.sum(S.summed_log_odds(features)) / F.sum("n")).alias("score")
+    base = materialise(S.moments(folds.where("subject_id IS NOT NULL"), ["arm", "subject_id", "fold", "label"], features))
+    subjects = to_participants(base.where(F.col("arm") == arms[0]).withColumn("score", F.lit(0.0)))
+    n_pos = subjects.agg(F.sum("label")).first()[0] or 0
+    keys = ["arm", "fold"]
+    per_fold = S.merge(base, keys, features, "label", len(arms) * k)
+    models = S.held_out_models(per_fold, ["arm"], features)
+    scored = S.attach(base, models, keys, len(arms) * k, len(features))
+    people = scored.groupBy("arm", "subject_id", "label").agg(
+        F.round(F.sum(S.summed_log_odds(features)) / F.sum("n"), PLACES).alias("score")
     )
+    observed = auroc(people, ["arm"], fanout=len(arms)).select("arm", F.lit(-1).alias("perm"), "auroc")
+    null = P.permutation_null(base, arms, features, n_pos, n_perm, k, seed, D.unit_key(base, "subject_id"))
     # arms times permutations rows, read twice by the summary
-    return materialise(auroc(people, keys, fanout=n_perm + 1).select(*keys, "auroc"))
+    return materialise(null.unionByName(observed))
 
 
 def learning_curve(
