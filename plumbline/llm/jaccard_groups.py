@@ -14,9 +14,9 @@ the size of the largest set that it could still link with.
 2. Groups: the components so far are cut into groups of about ``GROUP`` similar
    documents. The token-group matrix holds the tokens of each group; a document meets
    the groups of other components with which it shares a first token, the larger
-   component being opened. The group's token union bounds the overlap with any member;
-   only groups within reach are opened, and the first link found is enough, since
-   their members are one component already.
+   component being opened. Each group's token union is stored and bounds the overlap
+   with any member; a document meets the members, one per row, only of groups whose
+   union leaves room for a link.
 
 Each pair of documents that could link is in one component after step 1 or met in
 step 2, so no link between components is lost. Tokens of candidates are derived from
@@ -25,8 +25,9 @@ says which rows may be candidates.
 
 Edge cases: null or empty texts have no shingle and link with nothing; a text with
 fewer words than a shingle is one shingle of all its words; equal texts are one class;
-rows with one id are one document, whose set is the union of nothing but the
-lexicographically first profile; other columns are ignored; an empty table gives none.
+every row of one id keeps its own set and is a node of its own content, and what links
+with one row of an id is linked with the id; other columns are ignored; an empty table
+gives none. Ids are whole numbers; a null id has no place in a component.
 """
 
 from __future__ import annotations
@@ -176,35 +177,55 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(large[at] == small))
 
 
-def _open_groups(pairs: DataFrame, groups: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links ``a, b`` found for ``pairs(rid, gid)`` in the groups ``(gid, rid)``."""
-    wanted = pairs.select("rid").unionByName(groups.select("rid")).distinct()
-    kind = dict(docs.dtypes)["doc_id"]
-    sets = _sets(docs, wanted, k)
-    content = (
-        groups.join(sets, "rid").groupBy("gid")
-        .agg(F.collect_list("rid").alias("rids"), F.collect_list("tokens").alias("sets"))
-    )
-    met = pairs.join(sets, "rid").join(content, "gid").select("rid", "tokens", "rids", "sets")
+def _unions(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """``gid, tokens``: the union of all tokens of each group, at most ``GROUP`` sets."""
 
-    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = [], []
-            for rid, tokens, rids, sets in zip(*[batch.column(i) for i in range(4)]):
-                own = np.frombuffer(tokens.as_py(), U64)
-                members = [np.frombuffer(s, U64) for s in sets.as_py()]
-                if len(members) > 1 and 100 * _overlap(own, np.unique(np.concatenate(members))) < percent * len(own):
-                    continue
-                for other, member in zip(rids.as_py(), members):
-                    common = _overlap(own, member)
-                    if 100 * common >= percent * (len(own) + len(member) - common):
-                        a.append(rid.as_py())
-                        b.append(other)
-                        break
-            ids = batch.schema.field(0).type
-            yield V.output({"a": (a, ids), "b": (b, ids)})
+            found = [np.unique(np.frombuffer(b"".join(members.as_py()), U64)).tobytes() for members in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["gid", "tokens"])
+
+    kind = dict(groups.dtypes)["gid"]
+    members = groups.join(sets, "rid").groupBy("gid").agg(F.collect_list("tokens").alias("tokens"))
+    return members.mapInArrow(unite, f"gid {kind}, tokens binary")
+
+
+def _meeting(rows: DataFrame, keep: str, enough) -> DataFrame:
+    """``rid`` and ``keep`` of the rows ``rid, keep, own, tokens`` that hold enough in common."""
+    kinds = dict(rows.dtypes)
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flags = []
+            for own, other in zip(batch.column(2), batch.column(3)):
+                own, other = np.frombuffer(own.as_py(), U64), np.frombuffer(other.as_py(), U64)
+                flags.append(enough(len(own), len(other), _overlap(own, other)))
+            yield batch.select(["rid", keep]).filter(pa.array(flags, pa.bool_()))
+
+    return rows.select("rid", keep, "own", "tokens").mapInArrow(test, f"rid {kinds['rid']}, {keep} {kinds[keep]}")
+
+
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those ``rid, other`` pairs that are similar enough, as ``a, b``."""
+    own = sets.withColumnRenamed("tokens", "own")
+    member = sets.withColumnRenamed("rid", "other")
+    rows = pairs.join(own, "rid").join(member, "other")
+    linked = _meeting(rows, "other", lambda n, m, c: 100 * c >= percent * (n + m - c))
+    return stored(linked.toDF("a", "b"), "jaccard-links")
 
-    return stored(met.mapInArrow(match, f"a {kind}, b {kind}"), "jaccard-links")
+
+def _open_groups(meets: DataFrame, groups: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links ``a, b`` of the documents ``meets(rid, gid)`` with members of the groups ``(gid, rid)``.
+
+    A document is held against a group's union first. Only where that leaves room for a
+    link are the members met, one per row.
+    """
+    wanted = meets.select("rid").unionByName(groups.select("rid")).distinct()
+    sets = stored(_sets(docs, wanted, k), "jaccard-sets")
+    unions = stored(_unions(groups, sets), "jaccard-unions")
+    bounded = meets.join(sets.withColumnRenamed("tokens", "own"), "rid").join(unions, "gid")
+    passing = stored(_meeting(bounded, "gid", lambda n, _, c: 100 * c >= percent * n), "jaccard-passing")
+    return _links(passing.join(groups.withColumnRenamed("rid", "other"), "gid").select("rid", "other"), sets, percent)
 
 
 def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -232,8 +253,9 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
     stars = stored(
         shared.join(leader, "token").where(fits).where("rid <> gid").groupBy("rid").agg(best.alias("gid")), "jaccard-stars"
     )
-    single = stars.select("gid", F.col("gid").alias("rid")).distinct()
-    links = _open_groups(stars, single, docs, k, percent)
+    # A star's group is its leader alone, whose set is the union.
+    ends = stars.select("rid").unionByName(stars.select(F.col("gid").alias("rid"))).distinct()
+    links = _links(stars.withColumnRenamed("gid", "other"), stored(_sets(docs, ends, k), "jaccard-sets"), percent)
 
     part = components(links)
     known = stored(

@@ -45,7 +45,9 @@ REACH = (16, 16, 16, 17)
 #: Id, suffix start, first and last step back, bytes before.
 PAYLOAD = "<qiBB18s"
 PAYLOAD_BYTES = struct.calcsize(PAYLOAD)
-RUN_ROWS = 100_000
+RUN_ROWS = 25_000
+#: Text looked at together for anchors: an array of 8-byte numbers per byte, times fifteen.
+ANCHOR_BYTES = 1 << 18
 SUFFIXES_PER_RANGE = 100_000
 SAMPLE_DOCUMENTS = 2000
 
@@ -55,7 +57,7 @@ def _anchor_rows(docs: DataFrame) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for block in V.blocks(batch.column(1)):
+            for block in V.blocks(batch.column(1), ANCHOR_BYTES):
                 a = anchors(block)
                 place = (a["lo"] << 16) | ((a["at"] - a["lo"]) << 8) | (a["hi"] - a["lo"])
                 yield V.output({

@@ -4,7 +4,9 @@ Both vocabularies split text before their merges, and neither split ever joins t
 sides of a single space between two visible characters. A text is therefore cut there
 and every distinct piece is encoded once per worker; the ids of a text are the ids of
 its pieces in order. Pieces that are unusually long are encoded but not remembered
-after their group of texts, and the memory is emptied when it passes ``MEMORY`` bytes.
+after their group of texts. The others are remembered in two generations: when the
+younger one passes ``MEMORY`` bytes it becomes the older one, and what of that is met
+again moves up, so frequent pieces stay and rare ones go.
 """
 
 from __future__ import annotations
@@ -57,6 +59,7 @@ class Encoder:
         self.heads: dict[str, bytes] = {"": b""}
         #: Ids of the pieces after the first, without the space before them.
         self.known: dict[str, bytes] = {} if spaces_kept else self.heads
+        self.older_heads, self.older = {}, {}
         self.bytes = 0
         self.characters = byte_characters()
         self.ends = {"": b""} | {c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, "<u4").tobytes() for c in ".,"}
@@ -109,7 +112,8 @@ class Encoder:
             fresh = []
             for known, lead, pieces in ((self.heads, "", set(heads)), (self.known, " " * self.spaces_kept, set().union(*split))):
                 new = pieces.difference(known)
-                self._learn(new, known, lead)
+                self._recall(new, known)
+                self._learn(new.difference(known), known, lead)
                 fresh.append((known, new))
             find, end = self.known.__getitem__, self.end
             yield from [self.heads[h] + b"".join(map(find, s)) + end for h, s in zip(heads, split)]
@@ -119,13 +123,18 @@ class Encoder:
                     new.discard(piece)
                 self.bytes += sum(map(len, new)) + sum(len(known[p]) for p in new) + PIECE_BYTES * len(new)
             if self.bytes > MEMORY:
-                self.forget()
-
-    def forget(self) -> None:
-        """Empty the memory of pieces."""
-        self.heads.clear()
-        self.known.clear()
-        self.heads[""] = b""
+                self._age()
+
+    def _recall(self, pieces: set[str], known: dict[str, bytes]) -> None:
+        """Move pieces of the older generation up."""
+        older = self.older_heads if known is self.heads else self.older
+        known.update((p, older[p]) for p in pieces.intersection(older))
+
+    def _age(self) -> None:
+        """Start a new generation and drop the older one."""
+        shared = self.known is self.heads
+        self.older_heads, self.heads = self.heads, {"": b""}
+        self.older, self.known = self.known, self.heads if shared else {}
         self.bytes = 0
 
     def encode(self, text: str | None) -> bytes:
