@@ -61,17 +61,17 @@ def test_open_windows_become_few_in_any_number_of_partitions(spark, partitions):
         assert [a for a, _ in spans] == [sum(n for _, n in spans[:i]) for i in range(len(spans))] and sum(n for _, n in spans) <= 64
     n_ids = 0
     for doc, spans in pieces.items():
-        copies = 2 if doc == 9 else 1
         total = sum(n for _, n, _ in spans)
         n_ids += total
         if doc == 9:
             continue
-        assert total == copies * spans[0][2] and sorted(spans)[0][0] == 0
+        assert total == spans[0][2] and sorted(spans)[0][0] == 0
     short = sum(64 - sum(n for _, n in spans) for spans in windows.values())
-    assert len(pieces) == 3001 and short < 0.05 * n_ids
+    # Gaps under ``SMALLEST_CUT`` ids stay open, a quarter of these short windows at most.
+    assert len(pieces) == 3001 and short < 0.25 * n_ids
 
 
-def test_suffix_cuts_do_not_depend_on_the_size_of_blocks(spark, monkeypatch):
+def test_a_shared_passage_goes_from_all_but_its_first_document(spark):
     rng = random.Random(3)
     passage = " ".join(f"word{rng.randrange(900)}" for _ in range(60))
     rows = [(i, f"{i} " + " ".join(f"t{rng.randrange(9999)}" for _ in range(40)) + (passage if i % 7 == 0 else "")) for i in range(60)]
