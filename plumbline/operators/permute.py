@@ -14,7 +14,7 @@ levels count half, like any tie. The observed value is computed from exact score
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -52,71 +52,86 @@ def _draws(seed: int, n_perm: int, units: np.ndarray) -> np.ndarray:
     return D.draw_np(seed, np.arange(n_perm)[:, None], units[None, :])
 
 
-def _range_counts(units: DataFrame, lo: np.ndarray, step: np.ndarray, seed: int) -> np.ndarray:
-    """How many draws of each permutation fall into each range that begins at ``lo``."""
-    n_perm = len(lo)
+#: Stands for a unit that takes no part; above every draw.
+NO_DRAW = 1 << 40
+
+
+def _range_counts(units: DataFrame, lo: np.ndarray, step: np.ndarray, draw: Callable) -> np.ndarray:
+    """How many draws of each selection fall into each range that begins at ``lo``."""
+    n_sel = len(lo)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(n_perm * RANGES, dtype=np.int64)
+        total = np.zeros(n_sel * RANGES, dtype=np.int64)
         for batch in batches:
-            unit = batch.column(0).to_numpy(zero_copy_only=False)
-            for part in _blocks(len(unit), n_perm):
-                at = (_draws(seed, n_perm, unit[part]) - lo[:, None]) // step[:, None]
+            for part in _blocks(batch.num_rows, n_sel):
+                at = (draw(batch.slice(part.start, part.stop - part.start)) - lo[:, None]) // step[:, None]
                 inside = (at >= 0) & (at < RANGES)
-                key = np.arange(n_perm)[:, None] * RANGES + at
+                key = np.arange(n_sel)[:, None] * RANGES + at
                 total += np.bincount(key[inside], minlength=len(total))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(total[some], pa.int64())], names=["key", "n"])
 
-    out = np.zeros(n_perm * RANGES, dtype=np.int64)
+    out = np.zeros(n_sel * RANGES, dtype=np.int64)
     rows = units.mapInArrow(count, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-    for key, n in rows.collect():  # at most permutations times ranges
+    for key, n in rows.collect():  # at most selections times ranges
         out[key] = n
-    return out.reshape(n_perm, RANGES)
+    return out.reshape(n_sel, RANGES)
 
 
-def cut_draws(units: DataFrame, n_pos: int, n_perm: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per permutation the draw and the unit of the last positive; ties go by unit.
+def cut_draws(units: DataFrame, wanted: np.ndarray, draw: Callable[[pa.RecordBatch], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Per selection the draw and the unit of the last of the ``wanted`` smallest draws.
 
-    ``units`` has one column of whole-number keys, read a few times. Every round cuts the
-    range that holds the wanted draw into ``RANGES`` parts.
+    ``units`` is read a few times; its first column is a whole-number key that settles
+    ties, and ``draw`` makes the draws ``(selection, row)`` of a batch. Every round cuts
+    the range that holds the wanted draw into ``RANGES`` parts.
     """
-    lo = np.zeros(n_perm, dtype=np.int64)
-    span = np.full(n_perm, D.PRIME, dtype=np.int64)
-    wanted = np.full(n_perm, n_pos, dtype=np.int64)
-    held = np.full(n_perm, units.count(), dtype=np.int64)
-    which = np.arange(n_perm)
-    if n_pos <= 0:
-        return np.full(n_perm, -1), np.full(n_perm, np.iinfo(np.int64).min)
+    n_sel = len(wanted)
+    lo = np.zeros(n_sel, dtype=np.int64)
+    span = np.full(n_sel, D.PRIME, dtype=np.int64)
+    left = np.maximum(np.asarray(wanted, dtype=np.int64), 1)
+    held = np.full(n_sel, units.count(), dtype=np.int64)
+    which = np.arange(n_sel)
+    if not (np.asarray(wanted) > 0).any():
+        return np.full(n_sel, -1), np.full(n_sel, np.iinfo(np.int64).min)
     while held.max() > SINGLE and span.max() > 1:
         step = -(-span // RANGES)
-        counts = _range_counts(units, lo, step, seed)
+        counts = _range_counts(units, lo, step, draw)
         running = counts.cumsum(axis=1)
-        at = (running < wanted[:, None]).sum(axis=1)
+        at = np.minimum((running < left[:, None]).sum(axis=1), RANGES - 1)
         held = counts[which, at]
-        wanted = wanted - (running[which, at] - held)
+        left = left - (running[which, at] - held)
         lo, span = lo + at * step, step
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             unit = batch.column(0).to_numpy(zero_copy_only=False)
-            for part in _blocks(len(unit), n_perm):
-                u = _draws(seed, n_perm, unit[part])
+            for part in _blocks(len(unit), n_sel):
+                u = draw(batch.slice(part.start, part.stop - part.start))
                 p, i = np.nonzero((u >= lo[:, None]) & (u < (lo + span)[:, None]))
                 columns = [p, u[p, i], unit[part][i]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["perm", "u", "unit"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["sel", "u", "unit"])
 
-    near = units.mapInArrow(pick, "perm bigint, u bigint, unit bigint").collect()  # a few per permutation
+    near = units.mapInArrow(pick, "sel bigint, u bigint, unit bigint").collect()  # a few per selection
     rows = np.array(sorted(tuple(r) for r in near), dtype=np.int64).reshape(-1, 3)
-    first = np.searchsorted(rows[:, 0], which)
-    last = rows[first + wanted - 1]
-    return last[:, 1], last[:, 2]
+    last = rows[np.minimum(np.searchsorted(rows[:, 0], which) + left - 1, len(rows) - 1)]
+    some = np.asarray(wanted) > 0
+    return np.where(some, last[:, 1], -1), np.where(some, last[:, 2], np.iinfo(np.int64).min)
+
+
+def permutation_cuts(units: DataFrame, n_pos: int, n_perm: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """The last positive participant of each permutation; ``units`` has one column of keys."""
+    draw = lambda b: _draws(seed, n_perm, b.column(0).to_numpy(zero_copy_only=False))
+    return cut_draws(units, np.full(n_perm, n_pos), draw)
+
+
+def chosen(u: np.ndarray, units: np.ndarray, cut: np.ndarray, cut_unit: np.ndarray) -> np.ndarray:
+    """Whether each draw is among the wanted of its selection."""
+    return (u < cut[:, None]) | ((u == cut[:, None]) & (units[None, :] <= cut_unit[:, None]))
 
 
 def labels_np(seed: int, units: np.ndarray, cut: np.ndarray, cut_unit: np.ndarray) -> np.ndarray:
     """Permuted labels of some units, one row per permutation."""
-    u = _draws(seed, len(cut), units)
-    return (u < cut[:, None]) | ((u == cut[:, None]) & (units[None, :] <= cut_unit[:, None]))
+    return chosen(_draws(seed, len(cut), units), units, cut, cut_unit)
 
 
 # -- moments, models, scores -----------------------------------------------------------
@@ -151,8 +166,12 @@ def coefficients(positive: np.ndarray, total: np.ndarray) -> np.ndarray:
     lacks a class.
     """
     train1 = positive.sum(axis=0)[None] - positive
-    train0 = (total.sum(axis=0)[None] - total)[:, None, :] - train1
-    f = (positive.shape[2] - 1) // 2
+    return odds_weights(train1, (total.sum(axis=0)[None] - total)[:, None, :] - train1)
+
+
+def odds_weights(train1: np.ndarray, train0: np.ndarray) -> np.ndarray:
+    """Weights of ``n, sum, squares`` in the log odds, from the moments of both classes."""
+    f = (train1.shape[-1] - 1) // 2
     out = np.zeros_like(train1)
     with np.errstate(divide="ignore", invalid="ignore"):
         for side, sign in ((train1, -1.0), (train0, 1.0)):
@@ -187,7 +206,7 @@ def permutation_null(
     people = materialise(_cells(base, arms, features, unit))
     centre_row = base.agg(*[(F.sum(F.col("n") * F.col(f"m_{f}")) / F.sum("n")) for f in features]).first()
     centre = np.array([v or 0.0 for v in centre_row])
-    cut, cut_unit = cut_draws(people.select("unit"), n_pos, n_perm, seed)
+    cut, cut_unit = permutation_cuts(people.select("unit"), n_pos, n_perm, seed)
     width, n_arms = 1 + 2 * len(features), len(arms)
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,10 +244,10 @@ def permutation_null(
                 cells = Cells(batch.column(1).slice(part.start, part.stop - part.start), centre)
                 y = labels_np(seed, unit_np[part], cut, cut_unit)
                 for a in range(n_arms):
-                    yield _level_counts(a, _scores(cells, shared.value[a], a), y)
+                    yield level_counts(a, _scores(cells, shared.value[a], a), y)
 
-    lists = people.mapInArrow(score, "arm int, perm int, block int, level array<int>, pos array<int>, neg array<int>")
-    return _auroc_of_levels(lists, arms)
+    lists = people.mapInArrow(score, LEVEL_SCHEMA)
+    return auroc_of_levels(lists, arms)
 
 
 def _scores(cells: Cells, weights: np.ndarray, arm: int) -> np.ndarray:
@@ -245,7 +264,10 @@ def _scores(cells: Cells, weights: np.ndarray, arm: int) -> np.ndarray:
         return out / np.where(n > 0, n, np.nan)
 
 
-def _level_counts(arm: int, score: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
+LEVEL_SCHEMA = "arm int, perm int, block int, level array<int>, pos array<int>, neg array<int>"
+
+
+def level_counts(arm: int, score: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
     """Counts per permutation and level of score, as one row per permutation and block of levels."""
     perm, who = np.nonzero(np.isfinite(score))
     level = np.floor(score[perm, who] * LEVELS).clip(-(1 << 30), (1 << 30) - 1).astype(np.int64)
@@ -264,7 +286,7 @@ def _level_counts(arm: int, score: np.ndarray, y: np.ndarray) -> pa.RecordBatch:
     )
 
 
-def _auroc_of_levels(lists: DataFrame, arms: Sequence[str]) -> DataFrame:
+def auroc_of_levels(lists: DataFrame, arms: Sequence[str]) -> DataFrame:
     """Levels are counted within their block of levels, then lower blocks are added."""
     keys = ["arm", "perm", "_range"]
     dealt = lists.withColumnRenamed("block", "_range").repartition(*keys)

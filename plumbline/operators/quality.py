@@ -5,15 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-try:
-    import ahocorasick
-except ImportError:  # the gram join below needs no library
-    ahocorasick = None
-
 
 def _is_missing(df: DataFrame, c: str) -> Column:
     floating = dict(df.dtypes)[c] in ("double", "float")
@@ -87,71 +81,3 @@ def quality_report(df: DataFrame, table_name: str, features: Sequence[str], row_
     return rows.select(
         F.lit(table_name).alias("table"), "check", F.col("n_bad").cast("bigint").alias("n_bad"), (F.col("n_bad") == 0).alias("passed")
     )
-
-
-# -- identifier leak scan ----------------------------------------------------------
-
-MAX_NAMES = 50_000
-MAX_NAME_BYTES = 32 * 1024 * 1024
-GRAM = 24
-
-
-def leaked_names(texts: DataFrame, names: DataFrame, text_id: str, text: str, name_id: str, name: str) -> DataFrame:
-    """``text_id, name_id`` for every name that occurs anywhere in a text.
-
-    A name list within the size bound is shipped to the tasks, which scan each
-    text once with an Aho-Corasick automaton. A longer list is joined on grams.
-    """
-    size = names.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length(name)), F.lit(0)).alias("b")).first()
-    if ahocorasick is not None and size["n"] <= MAX_NAMES and size["b"] <= MAX_NAME_BYTES:
-        return _scan(texts, names, text_id, text, name_id, name)
-    return _gram_join(texts, names, text_id, text, name_id, name)
-
-
-def _scan(texts, names, text_id, text, name_id, name):
-    rows = names.select(name_id, name).where(F.length(name) > 0).collect()
-    shared = texts.sparkSession.sparkContext.broadcast([(r[0], r[1]) for r in rows])
-
-    def scan(batches):
-        machine, ids = ahocorasick.Automaton(), {}
-        for key, value in shared.value:
-            ids.setdefault(value, []).append(key)
-        for value in ids:
-            machine.add_word(value, value)
-        if ids:
-            machine.make_automaton()
-        for batch in batches:
-            out = [
-                (doc, key)
-                for doc, body in zip(batch[text_id], batch[text]) if body and ids
-                for value in {v for _, v in machine.iter(body)}
-                for key in ids[value]
-            ]
-            yield pd.DataFrame(out, columns=[text_id, name_id])
-
-    types = {**dict(texts.dtypes), **dict(names.dtypes)}
-    return texts.select(text_id, text).mapInPandas(scan, f"{text_id} {types[text_id]}, {name_id} {types[name_id]}")
-
-
-def _gram_join(texts, names, text_id, text, name_id, name):
-    """A name can only occur where its leading characters occur.
-
-    Names shorter than ``GRAM`` anchor on their own length, so there is one gram
-    length per distinct short length. Only identifiers and grams travel; the text is
-    joined back for the few candidates.
-    """
-    anchored = names.where(F.length(name) > 0).select(
-        name_id, name, F.least(F.length(name), F.lit(GRAM)).alias("_q")
-    ).withColumn("_gram", F.left(F.col(name), F.col("_q")))
-    lengths = [r[0] for r in anchored.select("_q").distinct().collect()]
-    # at most GRAM distinct lengths
-
-
-    def grams_of(q: int) -> DataFrame:
-        starts = F.sequence(F.lit(1), F.length(text) - q + 1)
-        every = F.transform(starts, lambda i: F.substring(F.col(text), i, F.lit(q)))
-        return texts.where(F.length(text) >= q).select(text_id, F.explode(F.array_distinct(every)).alias("_gram"))
-
-    grams = reduce(DataFrame.unionByName, [grams_of(q) for q in lengths])
-    candidates = grams.join(anchored, "_gram").select(text_id, name_id, name).distinct()
-    return candidates.join(texts.select(text_id, text), text_id).where(F.contains(F.col(text), F.col(name))).select(text_id, name_id)

@@ -9,6 +9,7 @@ out with the pairwise update formula, which does not cancel like raw squares.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -132,11 +133,21 @@ def summed_log_odds(features: Sequence[str]) -> Column:
     return total
 
 
+#: Models that are sent to every task at once.
+MODEL_BYTES = 32 * 1024 * 1024
+
+
 def attach(rows: DataFrame, models: DataFrame, keys: Sequence[str], n_models: int, n_features: int) -> DataFrame:
-    """Join models to rows; broadcast only when the design bounds their size.
+    """Rows with the model of their keys; rows are never shuffled for it.
 
-    ``n_models`` is cells times arms times repeats times folds, known before any
-    data is read.
+    ``n_models`` is cells times arms times repeats times folds, known before any data is
+    read. Models that would be too large to send at once are sent in parts by a hash of
+    their keys; each part meets the rows of its keys.
     """
-    size = n_models * (1 + 6 * n_features) * 16
-    return rows.join(F.broadcast(models) if size <= 32 * 1024 * 1024 else models, list(keys))
+    parts = -(-n_models * (1 + 6 * n_features) * 16 // MODEL_BYTES)
+    keys = list(keys)
+    if parts <= 1:
+        return rows.join(F.broadcast(models), keys)
+    here = F.pmod(F.xxhash64(*keys), F.lit(parts))
+    met = [rows.where(here == i).join(F.broadcast(models.where(here == i)), keys) for i in range(parts)]
+    return reduce(DataFrame.unionByName, met)

@@ -12,11 +12,13 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import draws as D
 from ..functions.names import rms_db
+from ..session import materialise
 from .ordering import neighbours, running_totals
 
 REC = ["recording_id"]
@@ -31,10 +33,27 @@ def savgol(order: int) -> tuple[dict[int, int], int]:
     return dict(zip(range(-4, 5), weights)), scale
 
 
+#: Samples of a recording that share a key.
+SAMPLES_PER_KEY = 1 << 16
+
+
+def with_values(df: DataFrame, parts: dict[str, Column], merged: dict[str, Column], pos: str = "pos") -> DataFrame:
+    """Rows with values of their whole recording, however long it is.
+
+    The values are added up per stretch of a recording, then per recording, and go back
+    to the keys ``(recording, stretch)``; no key holds more than ``SAMPLES_PER_KEY`` rows.
+    """
+    rows = df.withColumn("_key", F.floor(F.col(pos) / F.lit(SAMPLES_PER_KEY)).cast("bigint"))
+    per_key = rows.groupBy(*REC, "_key").agg(*[c.alias(n) for n, c in parts.items()])
+    whole = per_key.groupBy(*REC).agg(*[c.alias(n) for n, c in merged.items()], F.collect_set("_key").alias("_keys"))
+    back = whole.select(*REC, *merged, F.explode("_keys").alias("_key"))
+    return rows.join(back, [*REC, "_key"]).drop("_key")
+
+
 def peak_normalise(df: DataFrame, value: str = "x") -> DataFrame:
-    peak = df.groupBy(*REC).agg(F.max(F.abs(value)).alias("_peak"))
+    peaked = with_values(df, {"_p": F.max(F.abs(value))}, {"_peak": F.max("_p")})
     scaled = F.when(F.col("_peak") > 0, F.col(value) / F.col("_peak")).otherwise(F.col(value))
-    return df.join(peak, REC).withColumn(value, scaled).drop("_peak")
+    return peaked.withColumn(value, scaled).drop("_peak")
 
 
 def cmvn(df: DataFrame, keys: Sequence[str], value: str, eps: float = 1e-8) -> DataFrame:
@@ -44,21 +63,37 @@ def cmvn(df: DataFrame, keys: Sequence[str], value: str, eps: float = 1e-8) -> D
     ).drop("_m", "_s")
 
 
-def deltas(df: DataFrame, keys: Sequence[str], frame: str, value: str) -> DataFrame:
-    """First and second derivative; the four frames at each end have none and are dropped."""
-    near = neighbours(df, keys, frame, value, list(range(-4, 5)))
+#: Frames on each side of a window, and frames of a window.
+HALF, WIDTH = 4, 9
+
+
+def deltas(df: DataFrame, keys: Sequence[str], frame: str, value: str) -> tuple[DataFrame, DataFrame]:
+    """``(kept, rejected)``: both derivatives of every frame; tracks under nine frames are rejects.
+
+    A derivative of order ``k`` is that of a polynomial of degree ``k`` fitted to nine
+    frames. In the middle of a track the window is centred. The four frames at each end
+    share the window of the nearest centred frame, as the polynomial fitted there has the
+    same derivative everywhere.
+    """
+    boxed = df.withColumn("_v", F.struct(F.col(value).cast("double").alias("v")))
+    reach = WIDTH - 1
+    near = neighbours(boxed, keys, frame, "_v", list(range(-reach, reach + 1)))
     at = lambda o: F.col(f"v_{o}".replace("-", "m"))
+    missing = lambda offsets: sum(((at(o).isNull()).cast("int") for o in offsets), F.lit(0))
+    near = near.withColumns({
+        "_shift": missing(range(-HALF, 0)) - missing(range(1, HALF + 1)),
+        "_near": F.array(*[at(o) for o in range(-reach, reach + 1)]),
+    })
+    pick = lambda j: F.get(F.col("_near"), F.col("_shift") + (reach + j))
+    whole = pick(-HALF).isNotNull() & pick(HALF).isNotNull()
 
     def combine(order: int) -> Column:
         weights, scale = savgol(order)
-        total = None
-        for o, w in weights.items():
-            if w:
-                total = at(o) * F.lit(w) if total is None else total + at(o) * F.lit(w)
-        return total / F.lit(scale)
+        return sum((pick(o)["v"] * F.lit(w) for o, w in weights.items() if w), F.lit(0.0)) / F.lit(scale)
 
-    inside = at(-4).isNotNull() & at(4).isNotNull()
-    return near.where(inside).select(*df.columns, combine(1).alias("delta1"), combine(2).alias("delta2"))
+    kept = near.where(whole).select(*df.columns, combine(1).alias("delta1"), combine(2).alias("delta2"))
+    short = near.where(~whole).groupBy(*keys).agg(F.count(F.lit(1)).alias("n_frames"))
+    return kept, short.withColumn("error", F.lit("track under nine frames"))
 
 
 # -- silence -------------------------------------------------------------------------
@@ -211,22 +246,30 @@ def augment(df: DataFrame, seed: int, value: str = "x") -> DataFrame:
         F.lit(10.0), between(-4.0, 4.0, 1) / F.lit(20.0)
     )
     out = near.select(*df.columns, tilted.alias("_y"))
-    power = out.groupBy(*REC).agg((F.sqrt(F.avg(F.col("_y") * F.col("_y"))) + F.lit(1e-12)).alias("_rms"))
+    power = {"_sq": F.sum(F.col("_y") * F.col("_y")), "_n": F.count("_y")}
+    out = with_values(out, power, {"_rms": F.sqrt(F.sum("_sq") / F.sum("_n")) + F.lit(1e-12)})
     noise_rms = F.col("_rms") / F.pow(F.lit(10.0), between(25.0, 45.0, 2) / F.lit(20.0))
-    noisy = out.join(power, REC).withColumn("_y", F.col("_y") + noise_rms * D.normal(seed + 3, rec, pos))
+    noisy = out.withColumn("_y", F.col("_y") + noise_rms * D.normal(seed + 3, rec, pos))
     return peak_normalise(noisy.drop("_rms", value).withColumnRenamed("_y", value), value)
 
 
 def equalise_noise_floor(df: DataFrame, levels: DataFrame, frame_len: int, target_db: float, seed: int, value: str = "x") -> DataFrame:
     """Add noise to recordings whose silence is below the target level."""
     target = 10.0 ** (target_db / 20.0)
-    quiet = levels.groupBy(*REC).agg(
-        F.coalesce(F.sqrt(F.try_divide(F.sum(F.when(F.col("speech") == 0, F.col("sq"))), F.sum(F.when(F.col("speech") == 0, F.col("n"))))), F.lit(1e-6)).alias("_q")
+    key = lambda c: F.floor(c / F.lit(SAMPLES_PER_KEY)).cast("bigint").alias("_key")
+    silent = lambda c: F.sum(F.when(F.col("speech") == 0, F.col(c)))
+    per_key = levels.groupBy(*REC, key(F.col("frame") * frame_len)).agg(
+        silent("sq").alias("_sq"), silent("n").alias("_n"), F.max(F.floor((F.col("frame") * frame_len + F.col("n") - 1) / F.lit(SAMPLES_PER_KEY))).alias("_last")
     )
+    quiet = per_key.groupBy(*REC).agg(
+        F.coalesce(F.sqrt(F.try_divide(F.sum("_sq"), F.sum("_n"))), F.lit(1e-6)).alias("_q"), F.max("_last").cast("bigint").alias("_last")
+    )
+    back = quiet.select(*REC, "_q", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_last"))).alias("_key"))
     need = F.sqrt(F.greatest(F.lit(0.0), F.lit(target * target) - F.col("_q") * F.col("_q")))
     noise = need * D.normal(seed, F.col("recording_id"), F.col("pos"))
     lifted = F.when(F.col("_q") < target, F.col(value) + noise).otherwise(F.col(value))
-    return df.join(quiet, REC).withColumn(value, lifted).drop("_q")
+    rows = df.withColumn("_key", key(F.col("pos")))
+    return rows.join(back, [*REC, "_key"]).withColumn(value, lifted).drop("_q", "_key")
 
 
 # -- coefficient tables --------------------------------------------------------------------
@@ -241,7 +284,7 @@ def coefficient_summary(df: DataFrame, n_coef: int, value: str, prefix: str) ->
     return df.groupBy(*REC).agg(*aggs)
 
 
-# -- array extractors: one row is one recording's samples -----------------------------------
+# -- spectra and cepstra -------------------------------------------------------------------
 
 
 def _power_frames(x: np.ndarray, n_fft: int, hop: int) -> np.ndarray:
@@ -266,14 +309,121 @@ def _mel_filters(rate: int, n_fft: int, n_mels: int = 128) -> np.ndarray:
     return np.maximum(0.0, np.minimum(rise, fall)) * (2.0 / (hz[2:] - hz[:-2]))[:, None]
 
 
-def cepstra(x: np.ndarray, rate: int, n_coef: int = 20, n_fft: int = 2048, hop: int = 512) -> np.ndarray:
-    power = _mel_filters(rate, n_fft) @ _power_frames(x, n_fft, hop) ** 2
-    db = 10.0 * np.log10(np.maximum(power, 1e-10))
-    db = np.maximum(db, db.max() - 80.0)
-    n = db.shape[0]
+def log_mel(magnitude: np.ndarray, rate: int, n_fft: int) -> np.ndarray:
+    """Decibels per auditory band and frame, not yet cut at the floor below the loudest."""
+    return 10.0 * np.log10(np.maximum(_mel_filters(rate, n_fft) @ magnitude**2, 1e-10))
+
+
+#: What is further below the loudest band of a recording counts as this far below.
+TOP_DB = 80.0
+
+
+def cosine_basis(n: int, n_coef: int) -> np.ndarray:
     basis = np.cos(np.pi / n * (np.arange(n) + 0.5)[None, :] * np.arange(n_coef)[:, None]) * np.sqrt(2.0 / n)
     basis[0] /= np.sqrt(2.0)
-    return basis @ db
+    return basis
+
+
+def cepstra(x: np.ndarray, rate: int, n_coef: int = 20, n_fft: int = 2048, hop: int = 512) -> np.ndarray:
+    db = log_mel(_power_frames(x, n_fft, hop), rate, n_fft)
+    return cosine_basis(db.shape[0], n_coef) @ np.maximum(db, db.max() - TOP_DB)
+
+
+# -- long recordings: chunks with a halo ----------------------------------------------------
+
+
+def chunk_rows(df: DataFrame, n_fft: int, hop: int, frames: int, value: str = "x") -> DataFrame:
+    """``recording_id, chunk, first, samples`` of a sample table ``recording_id, pos, x``.
+
+    A chunk holds the samples under the centred windows of ``frames`` neighbouring frames;
+    those near a border are in both chunks. Positions are dense and start at 0.
+    """
+    half, span = n_fft // 2, frames * hop
+    lo = F.greatest(F.floor((F.col("pos") - F.lit(half - 1 + (frames - 1) * hop) + F.lit(span - 1)) / F.lit(span)), F.lit(0))
+    hi = F.floor((F.col("pos") + F.lit(half)) / F.lit(span))
+    spread = df.select(*REC, "pos", F.col(value).cast("double").alias("x"), F.explode(F.sequence(lo.cast("bigint"), hi.cast("bigint"))).alias("chunk"))
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "x")))
+    return spread.groupBy(*REC, "chunk").agg(F.min("pos").alias("first"), ordered.alias("s")).select(
+        *REC, "chunk", "first", F.transform("s", lambda s: s["x"]).alias("samples")
+    )
+
+
+def _chunk_frames(x: np.ndarray, first: int, chunk: int, n_fft: int, hop: int, frames: int) -> np.ndarray:
+    """Magnitude spectra of a chunk's frames as one product, ``(bins, frames)``."""
+    start, last = chunk * frames * hop - n_fft // 2, first + len(x) - 1
+    # A recording of n samples has 1 + n // hop frames.
+    count = min(frames, max((last + 1) // hop - chunk * frames + 1, 0))
+    room = np.zeros((max(count, 1) - 1) * hop + n_fft)
+    offset = first - start
+    x = x[: max(0, len(room) - offset)]
+    room[offset:offset + len(x)] = x
+    at = np.arange(n_fft)[None, :] + hop * np.arange(count)[:, None]
+    hann = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(n_fft) / n_fft)
+    return np.abs(np.fft.rfft(room[at] * hann, axis=1)).T
+
+
+def chunked_cepstra(df: DataFrame, rate: int, n_coef: int = 20, n_fft: int = 2048, hop: int = 512, frames: int = 256, value: str = "x") -> DataFrame:
+    """``recording_id, coef, frame, value`` of a sample table; a long recording is many rows.
+
+    The floor below the loudest band is one number per recording, which goes back to its
+    chunks by ``(recording, chunk)``.
+    """
+    chunks = chunk_rows(df, n_fft, hop, frames, value)
+    kind = dict(df.dtypes)["recording_id"]
+
+    def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [
+                log_mel(_chunk_frames(np.asarray(x.values), first, chunk, n_fft, hop, frames), rate, n_fft)
+                for chunk, first, x in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3))
+            ]
+            top = [float(m.max()) if m.size else None for m in made]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(top, pa.float64()), pa.array([m.T.tobytes() for m in made], pa.binary())],
+                names=["recording_id", "chunk", "top", "bands"],
+            )
+
+    mel = materialise(chunks.mapInArrow(bands, f"recording_id {kind}, chunk bigint, top double, bands binary"))
+    loudest = mel.groupBy(*REC).agg(F.max("top").alias("_top"), F.collect_list("chunk").alias("_chunks"))
+    back = loudest.select(*REC, "_top", F.explode("_chunks").alias("chunk"))
+
+    def coefficients(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, (chunk, top, data) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3))):
+                db = np.frombuffer(data.as_py()).reshape(-1, 128).T
+                if not db.size:
+                    continue
+                c = cosine_basis(128, n_coef) @ np.maximum(db, top - TOP_DB)
+                coef, frame = np.indices(c.shape)
+                rec = pa.array([b.column(0)[i].as_py()] * c.size, b.schema.field(0).type)
+                yield pa.RecordBatch.from_arrays(
+                    [rec, pa.array(coef.ravel(), pa.int32()), pa.array(frame.ravel() + chunk * frames, pa.int64()), pa.array(c.ravel())],
+                    names=["recording_id", "coef", "frame", "value"],
+                )
+
+    rows = mel.join(back, [*REC, "chunk"]).select(*REC, "chunk", "_top", "bands")
+    return rows.mapInArrow(coefficients, f"recording_id {kind}, coef int, frame bigint, value double")
+
+
+def chunked_spectrum(df: DataFrame, n_fft: int = 512, hop: int = 128, frames: int = 1024, value: str = "x") -> DataFrame:
+    """``recording_id, ch_lf_ratio, ch_hf_ratio`` of a sample table, from sums per chunk."""
+    kind = dict(df.dtypes)["recording_id"]
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            told = []
+            for chunk, first, x in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3)):
+                per_bin = _chunk_frames(np.asarray(x.values), first, chunk, n_fft, hop, frames).sum(axis=1)
+                told.append((per_bin[:20].sum(), per_bin[200:].sum(), per_bin.sum()))
+            columns = [pa.array(c, pa.float64()) for c in zip(*told)] if told else [pa.array([], pa.float64())] * 3
+            yield pa.RecordBatch.from_arrays([b.column(0), *columns], names=["recording_id", "lo", "hi", "all"])
+
+    parts = chunk_rows(df, n_fft, hop, frames, value).mapInArrow(sums, f"recording_id {kind}, lo double, hi double, all double")
+    whole = parts.groupBy(*REC).agg(*[F.sum(c).alias(c) for c in ("lo", "hi", "all")])
+    return whole.select(*REC, F.try_divide("lo", "all").alias("ch_lf_ratio"), F.try_divide("hi", "all").alias("ch_hf_ratio"))
+
+
+# -- registry of array extractors -------------------------------------------------------------
 
 
 def spectral_shares(x: np.ndarray, rate: int) -> dict[str, float] | None:
@@ -292,26 +442,54 @@ def cepstral_summary(x: np.ndarray, rate: int) -> dict[str, float]:
     return out
 
 
-EXTRACTORS: dict[str, Callable[[np.ndarray, int], dict[str, float] | None]] = {
-    "mfcc": cepstral_summary,
-    "spectral": spectral_shares,
-}
+def _silent(x: np.ndarray, rate: int, top_db: float = 30.0) -> np.ndarray:
+    """Samples of 32 ms frames at least ``top_db`` below the loudest frame, as in :func:`frame_levels`."""
+    frame_len = max(1, rate * 32 // 1000)
+    starts = np.arange(0, len(x), frame_len)
+    power = np.add.reduceat(x * x, starts) / np.diff(np.r_[starts, len(x)])
+    return np.repeat(power <= power.max() * 10.0 ** (-top_db / 10.0), np.diff(np.r_[starts, len(x)]))
 
 
-def cepstral_frames(df: DataFrame, samples: str, rate: int, n_coef: int = 20) -> DataFrame:
-    """``recording_id, coef, frame, value`` from one array of samples per row."""
+def silence_summary(x: np.ndarray, rate: int) -> dict[str, float] | None:
+    """Cepstra of the silent samples alone; under 250 ms of them say nothing."""
+    quiet = x[_silent(x, rate)]
+    if len(quiet) < rate // 4:
+        return None
+    out = {f"sil_{name}": value for name, value in cepstral_summary(quiet, rate).items()}
+    return {"silence_seconds": len(quiet) / rate, **out}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            parts = []
-            for rec, x in zip(batch["recording_id"], batch[samples]):
-                c = cepstra(np.asarray(x, dtype=float), rate, n_coef)
-                coef, frame = np.indices(c.shape)
-                parts.append(pd.DataFrame({"recording_id": rec, "coef": coef.ravel(), "frame": frame.ravel(), "value": c.ravel()}))
-            if parts:
-                yield pd.concat(parts)
 
-    return df.select("recording_id", samples).mapInPandas(run, "recording_id bigint, coef int, frame bigint, value double")
+def channel_summary(x: np.ndarray, rate: int) -> dict[str, float] | None:
+    """Eight properties of level, noise floor and tilt; under 100 ms of silence has no floor."""
+    mask = _silent(x, rate)
+    quiet, loud = x[mask], x[~mask]
+    if len(quiet) < rate // 10 or not len(loud):
+        return None
+    db = lambda v: float(20 * np.log10(np.sqrt(np.mean(v * v)) + 1e-12))
+    return {
+        "ch_peak": float(np.abs(x).max()), "ch_silence_db": db(quiet), "ch_speech_db": db(loud), "ch_snr_db": db(loud) - db(quiet),
+        "ch_dc_offset": float(x.mean()), "ch_clipped_fraction": float((np.abs(x) > 0.99).mean()), **(spectral_shares(x, rate) or {}),
+    }
+
+
+def invariant_summary(x: np.ndarray, rate: int) -> dict[str, float] | None:
+    """Mean and SD of first cepstral derivatives, which a constant channel does not change."""
+    c = cepstra(x, rate)
+    if c.shape[1] < WIDTH:
+        return None
+    weights, scale = savgol(1)
+    centre = np.clip(np.arange(c.shape[1]), HALF, c.shape[1] - HALF - 1)
+    d = sum(c[:, centre + o] * w for o, w in weights.items() if w) / scale
+    return {f"cmvn_delta{i:02d}_{n}": float(v) for i, row in enumerate(d) for n, v in (("mean", row.mean()), ("std", row.std()))}
+
+
+EXTRACTORS: dict[str, Callable[[np.ndarray, int], dict[str, float] | None]] = {
+    "mfcc": cepstral_summary,
+    "spectral": spectral_shares,
+    "silence": silence_summary,
+    "channel": channel_summary,
+    "channel_invariant": invariant_summary,
+}
 
 
 def extract(df: DataFrame, samples: str, kind: str, rate: int) -> tuple[DataFrame, DataFrame]:
@@ -324,6 +502,9 @@ def extract(df: DataFrame, samples: str, kind: str, rate: int) -> tuple[DataFram
         for batch in batches:
             rows = []
             for rec, x in zip(batch["recording_id"], batch[samples]):
+                if x is None or not len(x):
+                    rows.append((rec, None, "no samples"))
+                    continue
                 try:
                     values = fn(np.asarray(x, dtype=float), rate)
                     rows.append((rec, values, None if values else "extractor returned no features"))

@@ -10,13 +10,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import draws as D
 from ..session import materialise
+from .blocks import matrix, summed
 from .ordering import dense_position, dense_rank
+from .permute import NO_DRAW, chosen, cut_draws
 
 # Arm names and the column each one groups by.
 ARMS = {
@@ -36,6 +39,23 @@ def grouping_column(df: DataFrame, arm: str) -> str | None:
     return column
 
 
+#: Corpora that can be left out one by one; each is a fold with a model of its own.
+MOST_CORPORA = 10_000
+
+
+def without_unit(df: DataFrame, arms: Sequence[str]) -> DataFrame:
+    """Rows that an arm cannot deal, as they lack its unit: ``df`` columns and ``error``."""
+    columns = {arm: grouping_column(df, arm) or "recording_id" for arm in arms}
+    errors = [F.when(F.col(c).isNull(), F.lit(f"no {c} for {arm}")) for arm, c in columns.items()]
+    return df.withColumn("error", F.array_join(F.array_compact(F.array(*errors)), "; ")).where("error <> ''")
+
+
+def _unit(column: str, arm: str):
+    """A row without unit stops the query: it would be lost or have no fold."""
+    refuse = F.raise_error(F.lit(f"recording without {column} cannot be dealt in {arm}")).cast("string")
+    return F.coalesce(F.col(column).cast("string"), refuse)
+
+
 def _deal(units: DataFrame, cell: Sequence[str], k: int, n_repeats: int, seed: int) -> DataFrame:
     """Units ``cell, arm, _unit, label`` to ``cell, arm, _unit, _f<repeat>``."""
     rows = units.withColumn("_h", D.text_key(F.col("_unit"))).withColumn(
@@ -60,7 +80,8 @@ def pack_folds(
     Folds are dealt on slim rows (keys and label); features travel once, in the last
     join. ``recording_id`` must be unique within a cell. The input is read for every
     kind of unit and again for that join, so it is computed once and kept unless
-    ``ready`` (already materialised).
+    ``ready`` (already materialised). A recording without the unit of an arm stops the
+    query; :func:`without_unit` tells which.
     """
     cell = list(cell)
     if not ready:
@@ -69,13 +90,13 @@ def pack_folds(
     slim = df.select(*dict.fromkeys([*cell, "recording_id", "label", *[c for c in columns.values() if c]]))
     per_arm, at = [], [f"_f{r}" for r in range(n_repeats)]
     for arm in [a for a, c in columns.items() if c is None]:
-        units = slim.select(*cell, "label", F.lit(arm).alias("arm"), F.col("recording_id").cast("string").alias("_unit"))
+        units = slim.select(*cell, "label", F.lit(arm).alias("arm"), _unit("recording_id", arm).alias("_unit"))
         dealt = _deal(units, cell, k, n_repeats, seed)
         kind = dict(df.dtypes)["recording_id"]
         per_arm.append(dealt.select(*cell, F.col("_unit").cast(kind).alias("recording_id"), "arm", *at))
     grouped = [(a, c) for a, c in columns.items() if c not in (None, "corpus")]
     if grouped:
-        pairs = F.array(*[F.struct(F.lit(a).alias("arm"), F.col(c).cast("string").alias("_unit")) for a, c in grouped])
+        pairs = F.array(*[F.struct(F.lit(a).alias("arm"), _unit(c, a).alias("_unit")) for a, c in grouped])
         rows = slim.select(*cell, "recording_id", "label", F.inline(pairs))
         units = rows.groupBy(*cell, "arm", "_unit").agg(F.max("label").alias("label"))
         dealt = _deal(units, cell, k, n_repeats, seed)
@@ -89,8 +110,14 @@ def pack_folds(
         out = out.join(wide, [*cell, "recording_id"])
         listed += [(a, F.array(*[f"{f}_{a}" for f in at])) for a in dealt_arms]
     for arm in [a for a, c in columns.items() if c == "corpus"]:
-        corpora = dense_rank(slim, cell, "corpus", "_f_corpus", bounded=True)
-        out = out.join(corpora, [*cell, "corpus"])
+        corpora = materialise(dense_rank(slim, cell, "corpus", "_f_corpus", bounded=True))
+        n = corpora.count()
+        if n > MOST_CORPORA:
+            raise ValueError(f"{n} corpora of all cells are too many to leave out one by one")
+        kind = dict(out.dtypes)["corpus"]
+        out = out.withColumn("corpus", F.coalesce("corpus", _unit("corpus", arm).cast(kind)))
+        # Counted, so every task gets them and no recording is shuffled by its corpus.
+        out = out.join(F.broadcast(corpora), [*cell, "corpus"])
         listed.append((arm, F.array_repeat(F.col("_f_corpus") - 1, n_repeats)))
     entries = [_entries(arm, folds) for arm, folds in listed]
     return out.select(*df.columns, F.concat(*entries).alias("_folds"))
@@ -155,25 +182,62 @@ def check_contrast(rates: DataFrame, disjoint: str = "C_subject_key", leaky: str
     return rates.withColumn("folds", folds.cast("bigint"))
 
 
+class Subsets:
+    """Participants drawn for training, told by the draw of the last one of each subset.
+
+    ``keys`` are ``(repeat, fold, fraction, n_train)``. Within a participant-disjoint fold,
+    the first ``max(smallest, round(f * n))`` training participants in the order of their
+    draws are taken.
+    """
+
+    def __init__(self, people: DataFrame, fractions: Sequence[float], k: int, seed: int, smallest: int = 4):
+        """``people``: one row ``unit, own`` per participant, ``own`` the fold in each repeat."""
+        n_repeats = len(people.select("own").first()[0])
+        pairs = [(r, f) for r in range(n_repeats) for f in range(k)]
+
+        def sizes(b) -> np.ndarray:
+            own = matrix(b.column(0), np.int64)
+            return np.array([(own[:, r] != f).sum() for r, f in pairs], dtype=float)
+
+        n = dict(zip(pairs, summed(people.select("own"), sizes, len(pairs)).astype(int).tolist()))
+        # round() of Python is half-even, as is that of the reference's language.
+        wanted = lambda f, m: min(m, max(smallest, round(f * m)))
+        self.keys = [(r, f, float(s), wanted(s, n[r, f])) for r, f in pairs if n[r, f] for s in fractions]
+        self.seed = seed
+        self.pair = [(r, f) for r, f, *_ in self.keys]
+        self.cut, self.cut_unit = cut_draws(people.select("unit", "own"), np.array([key[3] for key in self.keys]), self.draws)
+
+    def draws(self, b) -> np.ndarray:
+        """Draws ``(subset, row)`` of a batch ``unit, own``; the held-out fold takes no part."""
+        return self._draws(b.column(0).to_numpy(zero_copy_only=False), matrix(b.column(1), np.int64))
+
+    def _draws(self, unit: np.ndarray, own: np.ndarray) -> np.ndarray:
+        known = {p: np.where(own[:, p[0]] == p[1], NO_DRAW, D.draw_np(self.seed, p[0], p[1], unit)) for p in set(self.pair)}
+        return np.stack([known[p] for p in self.pair])
+
+    def member(self, unit: np.ndarray, own: np.ndarray) -> np.ndarray:
+        return chosen(self._draws(unit, own), unit, self.cut, self.cut_unit)
+
+
+def fold_of_participants(folds: DataFrame, subject: str = "subject_id") -> DataFrame:
+    """``unit, subject, own``: a participant's key and its fold in each repeat."""
+    per = folds.groupBy(subject, "repeat").agg(F.max("fold").cast("int").alias("fold"))
+    own = F.transform(F.sort_array(F.collect_list(F.struct("repeat", "fold"))), lambda x: x["fold"])
+    return per.groupBy(subject).agg(own.alias("own")).select(D.unit_key(folds, subject).alias("unit"), subject, "own")
+
+
 def training_subsets(
     folds: DataFrame, fractions: Sequence[float], seed: int = 42, smallest: int = 4, subject: str = "subject_id"
 ) -> DataFrame:
-    """Participants drawn for training: ``repeat, fold, fraction, n_train, subject``.
-
-    Within a participant-disjoint fold, the first ``max(smallest, round(f * n))``
-    training participants in hash order are taken.
-    """
-    people = folds.select("repeat", subject, F.col("fold").alias("_own")).distinct()
-    all_folds = folds.select("repeat", "fold").distinct()
-    train = people.join(F.broadcast(all_folds), "repeat").where("fold <> _own").drop("_own")
-    train = train.withColumn("_u", D.draw(seed, F.col("repeat"), F.col("fold"), D.unit_key(train, subject)))
-    placed = dense_position(train, ["repeat", "fold"], ["_u", subject], "_i", hashed=True, fanout=10)
-    size = placed.groupBy("repeat", "fold").agg(F.count(F.lit(1)).alias("_n"))
-    cut = F.greatest(F.lit(smallest), F.bround(F.col("fraction") * F.col("_n"))).cast("bigint")
-    return (
-        placed.join(F.broadcast(size), ["repeat", "fold"])
-        .withColumn("fraction", F.explode(F.array(*[F.lit(float(f)) for f in fractions])))
-        .withColumn("n_train_participants", F.least(cut, F.col("_n")))
-        .where(F.col("_i") <= F.col("n_train_participants"))
-        .select("repeat", "fold", "fraction", "n_train_participants", subject)
+    """``repeat, fold, fraction, n_train_participants, subject`` of every drawn participant."""
+    people = materialise(fold_of_participants(folds.where(F.col(subject).isNotNull()), subject))
+    k = folds.agg(F.max("fold")).first()[0]
+    subsets = Subsets(people, fractions, (-1 if k is None else int(k)) + 1, seed, smallest)
+    cuts = [(*key, int(c), int(u)) for key, c, u in zip(subsets.keys, subsets.cut, subsets.cut_unit)]
+    table = folds.sparkSession.createDataFrame(
+        cuts, "repeat int, fold int, fraction double, n_train_participants bigint, _cut bigint, _cut_unit bigint"
     )
+    rows = people.join(F.broadcast(table), F.element_at("own", F.col("repeat") + 1) != F.col("fold"))
+    u = D.draw(seed, F.col("repeat"), F.col("fold"), F.col("unit"))
+    drawn = rows.where((u < F.col("_cut")) | ((u == F.col("_cut")) & (F.col("unit") <= F.col("_cut_unit"))))
+    return drawn.select("repeat", F.col("fold").cast("bigint").alias("fold"), "fraction", "n_train_participants", subject)

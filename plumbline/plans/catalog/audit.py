@@ -9,6 +9,7 @@ from ...functions.draws import draw, draw_sql
 from ...operators import cohort as C
 from ...operators import identity as I
 from ...operators import ordering as O
+from ...operators import leaks
 from ...operators import quality as Q
 from ...operators import resample, signal, stats
 from ..registry import query
@@ -334,21 +335,40 @@ def w07(spark, sf):
     return out.select("recording_id", "coef", "frame", r6("z").alias("z"))
 
 
-def _delta_sql(weights, scale):
-    terms = [f"({w}) * lead(x, {o}) OVER w" if o >= 0 else f"({w}) * lag(x, {-o}) OVER w" for o, w in weights.items() if w]
-    return f"({' + '.join(terms)}) / {scale}"
+def _tracks_sql(keys):
+    """Every frame with both derivatives, from lists of whole tracks; short tracks as one row."""
+    track = ", ".join(keys)
 
+    def at_edges(order):
+        weights, scale = signal.savgol(order)
+        return s6("(" + " + ".join(f"({w}) * l[c + {o + 1}]" for o, w in weights.items() if w) + f") / {scale}")
 
-@query("w08_frame_deltas", f"""
-WITH s AS (SELECT user_id AS recording_id, value AS x, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS frame FROM events),
-d AS (SELECT recording_id, frame, {_delta_sql(*signal.savgol(1))} AS d1, {_delta_sql(*signal.savgol(2))} AS d2
-  FROM s WINDOW w AS (PARTITION BY recording_id ORDER BY frame))
-SELECT recording_id, frame, {s6('d1')} AS delta1, {s6('d2')} AS delta2 FROM d WHERE d1 IS NOT NULL""")
+    return f"""WITH t AS (SELECT user_id AS recording_id, event_type AS coef, value, ts, event_id FROM events),
+l AS (SELECT {track}, list(value ORDER BY ts, event_id) AS l FROM t GROUP BY ALL),
+f AS (SELECT *, unnest(range(len(l))) AS frame FROM l WHERE len(l) >= 9), e AS (SELECT *, least(greatest(frame, 4), len(l) - 5) AS c FROM f)
+SELECT {track}, frame, {at_edges(1)} AS delta1, {at_edges(2)} AS delta2, NULL::BIGINT AS n_frames, NULL::VARCHAR AS error FROM e
+UNION ALL SELECT {track}, NULL, NULL, NULL, len(l), 'track under nine frames' FROM l WHERE len(l) < 9"""
+
+
+def _tracks(spark, sf, keys):
+    ev = table(spark, sf, "events").select(
+        F.col("user_id").alias("recording_id"), F.col("event_type").alias("coef"), micros("ts").alias("t"), "event_id", F.col("value").alias("x")
+    )
+    pos = O.dense_position(ev, keys, ["t", "event_id"], "frame").withColumn("frame", F.col("frame") - 1)
+    kept, short = signal.deltas(pos.select(*keys, "frame", "x"), keys, "frame", "x")
+    rows = kept.select(*keys, "frame", r6("delta1").alias("delta1"), r6("delta2").alias("delta2"))
+    return rows.unionByName(short, allowMissingColumns=True)
+
+
+@query("w08_frame_deltas", _tracks_sql(["recording_id"]))
 def w08(spark, sf):
-    ev = table(spark, sf, "events").select(F.col("user_id").alias("recording_id"), micros("ts").alias("t"), "event_id", F.col("value").alias("x"))
-    pos = O.dense_position(ev, ["recording_id"], ["t", "event_id"], "frame").withColumn("frame", F.col("frame") - 1)
-    out = signal.deltas(pos, ["recording_id"], "frame", "x")
-    return out.select("recording_id", "frame", r6("delta1").alias("delta1"), r6("delta2").alias("delta2"))
+    return _tracks(spark, sf, ["recording_id"])
+
+
+@query("w08_short_tracks", _tracks_sql(["recording_id", "coef"]))
+def w08_short(spark, sf):
+    """Tracks of a few frames: one per participant and kind of event."""
+    return _tracks(spark, sf, ["recording_id", "coef"])
 
 
 # -- sorts and top-k ---------------------------------------------------------------------
@@ -490,7 +510,17 @@ def q07(spark, sf):
 
 @query("q08_identifier_leaks", "SELECT doc_id, item_id FROM documents JOIN benchmark ON contains(documents.text, benchmark.text)")
 def q08(spark, sf):
-    return Q.leaked_names(table(spark, sf, "documents"), table(spark, sf, "benchmark").withColumnRenamed("text", "name"), "doc_id", "text", "item_id", "name")
+    return leaks.leaked_names(table(spark, sf, "documents"), table(spark, sf, "benchmark").withColumnRenamed("text", "name"), "doc_id", "text", "item_id", "name")
+
+
+@query("q08_many_identifiers", """WITH n AS (SELECT doc_id % 997 AS name_id, substr(text, 1 + (doc_id % 23)::BIGINT, 3 + (doc_id % 30)::BIGINT) AS name FROM documents)
+SELECT DISTINCT d.doc_id, name_id FROM documents d JOIN n ON contains(d.text, name) WHERE length(name) > 0""")
+def q08_many(spark, sf):
+    """A piece of every document as a name, short and long ones."""
+    docs = table(spark, sf, "documents")
+    piece = F.substring(F.col("text"), (F.col("doc_id") % 23 + 1).cast("int"), (F.col("doc_id") % 30 + 3).cast("int"))
+    names = docs.select((F.col("doc_id") % 997).alias("name_id"), piece.alias("name"))
+    return leaks.leaked_names(docs, names, "doc_id", "text", "name_id", "name")
 
 
 @query("q09_quality_report", f"""

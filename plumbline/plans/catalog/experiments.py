@@ -541,8 +541,8 @@ CURVE = f"""{SQL.folds_sql(['C_subject_key'], 5, 3, SEED)}, {SUBSETS},
 lt AS (SELECT c.repeat, c.fold, c.fraction, c.n_train_participants, fc.* EXCLUDE (batch) FROM chosen c JOIN fc USING (subject_id)),
 lm AS (SELECT repeat, fold, fraction, n_train_participants, count(*) FILTER (label = 1) AS n1, count(*) FILTER (label = 0) AS n0,
  {', '.join(f'avg({f}) FILTER (label = {y}) AS {f}_m{y}, var_pop({f}) FILTER (label = {y}) + 1e-9::DOUBLE AS {f}_v{y}' for f in LINES for y in (0, 1))} FROM lt GROUP BY ALL),
-lr AS (SELECT m.repeat, m.fold, m.fraction, m.n_train_participants, 'train' AS side, f.label, {SQL.log_odds_sql(LINES)} AS score FROM lt f JOIN lm m ON f.repeat = m.repeat AND f.fold = m.fold AND f.fraction = m.fraction
- UNION ALL SELECT m.repeat, m.fold, m.fraction, m.n_train_participants, 'test', f.label, {SQL.log_odds_sql(LINES)} FROM folds f JOIN lm m ON f.repeat = m.repeat AND f.fold = m.fold),
+lr AS (SELECT m.repeat, m.fold, m.fraction, m.n_train_participants, 'train' AS side, f.label, floor(1024 * {SQL.log_odds_sql(LINES)}) AS score FROM lt f JOIN lm m ON f.repeat = m.repeat AND f.fold = m.fold AND f.fraction = m.fraction
+ UNION ALL SELECT m.repeat, m.fold, m.fraction, m.n_train_participants, 'test', f.label, floor(1024 * {SQL.log_odds_sql(LINES)}) FROM folds f JOIN lm m ON f.repeat = m.repeat AND f.fold = m.fold),
 {SQL.auroc_sql('lr', ['repeat', 'fold', 'fraction', 'n_train_participants', 'side'], 'la')},
 curve AS (SELECT repeat, fold, fraction, n_train_participants, max(auroc) FILTER (side = 'train') AS auroc_train, max(auroc) FILTER (side = 'test') AS auroc_test FROM la GROUP BY ALL)"""
 

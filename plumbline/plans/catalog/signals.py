@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...functions.draws import normal_sql, uniform_sql
@@ -68,6 +71,11 @@ def arrays(spark, sf):
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("recording_id"), F.col("embedding").alias("samples"))
 
 
+def samples(spark, sf):
+    """The arrays as a sample table."""
+    return arrays(spark, sf).select("recording_id", F.posexplode("samples").alias("pos", "x"))
+
+
 #: 64 samples sit in the middle of one centred 512-point frame; a plain DFT says the same.
 DFT = """x AS (SELECT vec_id, i - 1 + 256 AS n, embedding[i]::DOUBLE * (0.5 - 0.5 * cos(2 * pi() * (i - 1 + 256) / 512)) AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS i)),
 bins AS (SELECT vec_id, b, sqrt(pow(sum(v * cos(2 * pi() * b * n / 512)), 2) + pow(sum(v * sin(2 * pi() * b * n / 512)), 2)) AS mag FROM x, (SELECT unnest(range(257)) AS b) GROUP BY ALL)"""
@@ -75,13 +83,26 @@ bins AS (SELECT vec_id, b, sqrt(pow(sum(v * cos(2 * pi() * b * n / 512)), 2) + p
 
 @query("g05_spectral_shares", f"""WITH {DFT} SELECT vec_id AS recording_id, {s6('sum(mag) FILTER (b < 20) / sum(mag)')} AS ch_lf_ratio, {s6('sum(mag) FILTER (b >= 200) / sum(mag)')} AS ch_hf_ratio FROM bins GROUP BY vec_id""")
 def g05(spark, sf):
-    kept, _ = S.extract(arrays(spark, sf), "samples", "spectral", 16000)
-    return kept.select("recording_id", r6(F.col("features")["ch_lf_ratio"]).alias("ch_lf_ratio"), r6(F.col("features")["ch_hf_ratio"]).alias("ch_hf_ratio"))
+    return six(S.chunked_spectrum(samples(spark, sf)))
+
+
+#: The cepstra of 64 samples in the middle of one centred frame of 2048 points, term by term.
+CEPSTRA = """WITH x AS (SELECT vec_id, i - 1 + 1024 AS n, embedding[i]::DOUBLE * (0.5 - 0.5 * cos(2 * pi() * (i - 1 + 1024) / 2048)) AS v FROM embeddings, (SELECT unnest(range(1, 65)) AS i)),
+p AS (SELECT vec_id, b, pow(sum(v * cos(2 * pi() * b * n / 2048)), 2) + pow(sum(v * sin(2 * pi() * b * n / 2048)), 2) AS p FROM x, (SELECT unnest(range(1025)) AS b) GROUP BY ALL),
+k AS (SELECT j, j * (15 + ln(8.0::DOUBLE) / (ln(6.4::DOUBLE) / 27)) / 129 AS mel FROM (SELECT unnest(range(130)) AS j)),
+hz AS (SELECT j, CASE WHEN mel < 15 THEN mel * 200 / 3.0::DOUBLE ELSE 1000 * exp(ln(6.4::DOUBLE) / 27 * (mel - 15)) END AS f FROM k),
+tri AS (SELECT lo.j AS m, b, greatest(0, least((b * 7.8125::DOUBLE - lo.f) / (mid.f - lo.f), (hi.f - b * 7.8125::DOUBLE) / (hi.f - mid.f))) * 2 / (hi.f - lo.f) AS w
+  FROM hz lo JOIN hz mid ON mid.j = lo.j + 1 JOIN hz hi ON hi.j = lo.j + 2, (SELECT unnest(range(1025)) AS b)),
+e AS (SELECT vec_id, m, 10 * log10(greatest(sum(p * w), 1e-10)) AS db FROM p JOIN tri USING (b) WHERE w > 0 OR b = 0 GROUP BY ALL),
+m AS (SELECT vec_id, m, db FROM e UNION ALL SELECT v.vec_id, t.m, -100 FROM (SELECT DISTINCT vec_id FROM x) v, (SELECT m FROM tri GROUP BY m HAVING max(w) = 0) t WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.vec_id = v.vec_id AND e.m = t.m)),
+c AS (SELECT vec_id, m, greatest(db, max(db) OVER (PARTITION BY vec_id) - 80) AS db FROM m)"""
 
 
-@query("g06_cepstral_frames")
+@query("g06_cepstral_frames", f"""{CEPSTRA}
+SELECT vec_id AS recording_id, coef::INTEGER AS coef, 0::BIGINT AS frame, {s6("sum(cos(pi() / 128 * (m + 0.5) * coef) * db) * sqrt(2 / 128.0::DOUBLE) * CASE WHEN coef = 0 THEN sqrt(0.5::DOUBLE) ELSE 1 END")} AS value
+FROM c, (SELECT unnest(range(20)) AS coef) GROUP BY vec_id, coef""")
 def g06(spark, sf):
-    return six(S.cepstral_frames(arrays(spark, sf), "samples", 16000))
+    return six(S.chunked_cepstra(samples(spark, sf), 16000))
 
 
 SUMMARY = ", ".join(
@@ -94,17 +115,22 @@ def g07(spark, sf):
     return six(S.coefficient_summary(frames(spark, sf), 4, "value", "mfcc"))
 
 
-W1 = S.savgol(1)[0]
-DELTA = " + ".join(f"({w}) * {'lead' if o > 0 else 'lag'}(value, {abs(o)}) OVER w" for o, w in W1.items() if w)
+def edged(order, frames="l"):
+    """A derivative at every frame of a list: the window of the nearest centred frame."""
+    weights, scale = S.savgol(order)
+    return "(" + " + ".join(f"({w}) * {frames}[c + {o + 1}]" for o, w in weights.items() if w) + f") / {scale}"
+
+
 DSUM = ", ".join(
     f"{s6(f'avg(d) FILTER (coef = {i})')} AS delta{i:02d}_mean, {s6(f'stddev_pop(d) FILTER (coef = {i})')} AS delta{i:02d}_std" for i in range(4)
 )
 
 
-@query("g08_channel_invariant_set", f"""WITH {FRAMES}, dl AS (SELECT recording_id, coef, ({DELTA}) / {S.savgol(1)[1]} AS d FROM frames WINDOW w AS (PARTITION BY recording_id, coef ORDER BY frame))
-SELECT recording_id, {DSUM} FROM dl WHERE d IS NOT NULL GROUP BY recording_id""")
+@query("g08_channel_invariant_set", f"""WITH {FRAMES}, l AS (SELECT recording_id, coef, list(value ORDER BY frame) AS l FROM frames GROUP BY ALL),
+f AS (SELECT *, least(greatest(unnest(range(len(l))), 4), len(l) - 5) AS c FROM l), dl AS (SELECT recording_id, coef, {edged(1)} AS d FROM f)
+SELECT recording_id, {DSUM} FROM dl GROUP BY recording_id""")
 def g08(spark, sf):
-    d = S.deltas(frames(spark, sf), ["recording_id", "coef"], "frame", "value")
+    d, _ = S.deltas(frames(spark, sf), ["recording_id", "coef"], "frame", "value")
     return six(S.coefficient_summary(d, 4, "delta1", "delta"))
 
 
@@ -178,13 +204,20 @@ def g12(spark, sf):
     return out.select("recording_id", "pos", r6("x").alias("x"))
 
 
-@query("g13_bulk_extract", """SELECT vec_id AS recording_id, CASE WHEN vec_id % 5 <> 0 THEN 2 END::INTEGER AS n_features, CASE WHEN vec_id % 5 = 0 THEN 'extractor returned no features' END AS error FROM embeddings""")
+KINDS = sorted(S.EXTRACTORS)
+
+
+@query("g13_bulk_extract", f"""SELECT kind, vec_id AS recording_id, CASE WHEN vec_id % 5 = 0 THEN NULL WHEN kind = 'mfcc' THEN 40 WHEN kind = 'spectral' THEN 2 END::INTEGER AS n_features,
+ CASE WHEN vec_id % 5 = 0 THEN 'no samples' WHEN kind NOT IN ('mfcc', 'spectral') THEN 'extractor returned no features' END AS error FROM embeddings, (SELECT unnest({KINDS}) AS kind)""")
 def g13(spark, sf):
-    """Every fifth signal is emptied, so that both outputs have rows."""
-    src = arrays(spark, sf).withColumn("samples", F.when(F.col("recording_id") % 5 == 0, F.array().cast("array<float>")).otherwise(F.col("samples")))
-    kept, rejected = S.extract(src, "samples", "spectral", 16000)
-    rows = kept.select("recording_id", F.size("features").alias("n_features")).unionByName(rejected.select("recording_id", "error"), allowMissingColumns=True)
-    return rows
+    """The whole registry. Every fifth signal is emptied; the others hold too little silence and too few frames for three kinds."""
+    emptied = F.when(F.col("recording_id") % 5 == 0, F.array().cast("array<float>")).otherwise(F.col("samples"))
+    src, parts = arrays(spark, sf).withColumn("samples", emptied), []
+    for kind in KINDS:
+        kept, rejected = S.extract(src, "samples", kind, 16000)
+        rows = kept.select("recording_id", F.size("features").alias("n_features"))
+        parts.append(rows.unionByName(rejected.select("recording_id", "error"), allowMissingColumns=True).withColumn("kind", F.lit(kind)))
+    return reduce(DataFrame.unionByName, parts)
 
 
 EXT = ", ".join(f"{s6(f'embedding[{i + 1}]')} AS ext{i:02d}" for i in range(64))

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,8 +13,9 @@ from ..functions import draws as D
 from ..operators import permute as P
 from ..operators import resample as R
 from ..operators import scorer as S
+from ..operators.blocks import matrix, summed
 from ..operators.metrics import PLACES, auroc, to_participants
-from ..operators.splits import assign_folds, leakage_report, pack_folds, training_subsets, unpack_folds
+from ..operators.splits import Subsets, assign_folds, leakage_report, pack_folds, unpack_folds
 from ..session import materialise
 
 KEYS = ["recording_id", "subject_id", "label", "folder_path", "corpus"]
@@ -66,8 +69,9 @@ def run_arms(
         *[S.log_odds(fs).alias(f"_s_{name}") for name, fs in feature_sets.items()],
     )
     oof_wide = scores.groupBy(*cell, "arm", "recording_id", "subject_id", "label").agg(
-        *[F.avg(f"_s_{name}").alias(name) for name in feature_sets]
+        F.count(F.lit(1)).alias("_scored"), *[F.avg(f"_s_{name}").alias(name) for name in feature_sets]
     )
+    oof_wide = _complete(oof_wide, n_repeats)
     oof = materialise(
         oof_wide.unpivot([*cell, "arm", "recording_id", "subject_id", "label"], list(feature_sets), "feature_set", "score")
     )
@@ -82,6 +86,13 @@ def run_arms(
     return part.join(rec, by).join(leaks, [*cell, "arm"])
 
 
+def _complete(oof: DataFrame, n_repeats: int) -> DataFrame:
+    """Stops the query unless every recording was scored exactly once in every repeat."""
+    message = F.concat(F.lit("recording "), F.col("recording_id").cast("string"), F.lit(" was not scored once in every repeat"))
+    label = F.when(F.col("_scored") == n_repeats, F.col("label")).otherwise(F.raise_error(message).cast(dict(oof.dtypes)["label"]))
+    return oof.withColumn("label", label).drop("_scored")
+
+
 def _grain(rows: DataFrame, by: Sequence[str], unit: str, point: str, prefix: str, n: str, n_boot: int, seed: int, ready: bool = False) -> DataFrame:
     """AUROC of one grain, with its interval unless ``n_boot`` is 0."""
     if not n_boot:
@@ -193,26 +204,52 @@ def learning_curve(
     df: DataFrame, features: Sequence[str], fractions: Sequence[float] = (0.4, 0.55, 0.7, 0.85, 1.0),
     k: int = 5, n_repeats: int = 3, seed: int = 42,
 ) -> DataFrame:
-    """``repeat, fold, fraction, n_train_participants, auroc_train, auroc_test``."""
-    df = materialise(df.select(*dict.fromkeys([*KEYS, *features])))
-    folds = assign_folds(df, ["C_subject_key"], k, n_repeats, seed, ready=True)
-    chosen = materialise(training_subsets(folds, fractions, seed))
-    keys = ["repeat", "fold", "fraction", "n_train_participants"]
-    # Participants are the training unit: reduce recordings to moments first.
-    picked = chosen.join(S.moments(df, ["subject_id", "label"], features), "subject_id")
-    n_models = n_repeats * k * len(fractions)
-    stats = S.merge(picked, keys, features, "label", n_models)
-    models = materialise(S.to_models(stats, keys, features).where("_prior IS NOT NULL"))
-    train = chosen.join(df.select("subject_id", "label", *features), "subject_id").withColumn("side", F.lit("train"))
-    sizes = models.select(*keys)
-    test = folds.select("repeat", "fold", "subject_id", "label", *features).join(
-        F.broadcast(sizes), ["repeat", "fold"]
-    ).withColumn("side", F.lit("test"))
-    rows = train.select(*keys, "side", "label", *features).unionByName(test.select(*keys, "side", "label", *features))
-    scored = S.attach(rows, models, keys, n_models, len(features)).withColumn("score", S.log_odds(features))
-    a = auroc(scored, [*keys, "side"], fanout=n_models)
+    """``repeat, fold, fraction, n_train_participants, auroc_train, auroc_test``.
+
+    Two passes: participants' moments give the class totals of every subset, recordings
+    are scored by all models at once and counted per level of score, as in ``permute``.
+    """
+    dealt = pack_folds(df.select(*dict.fromkeys([*KEYS, *features])), ["C_subject_key"], k, n_repeats, seed)
+    own = F.transform(F.array_sort(F.transform("_folds", lambda x: F.struct(x["repeat"], x["fold"]))), lambda x: x["fold"].cast("int"))
+    df = materialise(dealt.select(D.unit_key(dealt, "subject_id").alias("unit"), own.alias("own"), "label", *features))
+    people = materialise(S.moments(df, ["unit", "own", "label"], features))
+    subsets = Subsets(people.select("unit", "own"), fractions, k, seed)
+    centre = np.array(df.agg(*[F.avg(f) for f in features]).first(), dtype=float)
+    n_sets, width = len(subsets.keys), 1 + 2 * len(features)
+
+    def totals(b: pa.RecordBatch) -> np.ndarray:
+        n = b.column(3).to_numpy()
+        gap, q = matrix(b.column(4)) - centre, matrix(b.column(5))
+        moments = np.concatenate([n[:, None], n[:, None] * gap, q + n[:, None] * gap * gap], axis=1)
+        member = subsets.member(b.column(0).to_numpy(), matrix(b.column(1), np.int64))
+        y = b.column(2).to_numpy() == 1
+        return np.stack([(member & y).astype(float) @ moments, (member & ~y).astype(float) @ moments]).reshape(-1)
+
+    packed = people.select(
+        "unit", "own", "label", "n", F.array(*[f"m_{f}" for f in features]), F.array(*[f"q_{f}" for f in features])
+    )
+    weights = P.odds_weights(*summed(packed, totals, 2 * n_sets * width).reshape(2, n_sets, width))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, batch.num_rows, P.MATRIX_CELLS // (4 * n_sets)):
+                b = batch.slice(lo, P.MATRIX_CELLS // (4 * n_sets))
+                unit, own_np, x = b.column(0).to_numpy(), matrix(b.column(1), np.int64), matrix(b.column(3)) - centre
+                odds = weights @ np.concatenate([np.ones((len(x), 1)), x, x * x], axis=1).T
+                test = np.stack([own_np[:, r] == f for r, f, *_ in subsets.keys])
+                sides = np.concatenate([np.where(subsets.member(unit, own_np), odds, np.nan), np.where(test, odds, np.nan)])
+                y = np.broadcast_to(b.column(2).to_numpy() == 1, sides.shape)
+                yield P.level_counts(0, sides, y)
+
+    rows = df.select("unit", "own", "label", F.array(*[F.col(f).cast("double") for f in features]))
+    found = P.auroc_of_levels(rows.mapInArrow(score, P.LEVEL_SCHEMA), ["curve"]).select("perm", "auroc")
+    told = [(i + s * n_sets, *key, name) for s, name in enumerate(("train", "test")) for i, key in enumerate(subsets.keys)]
+    names = df.sparkSession.createDataFrame(
+        told, "perm int, repeat int, fold bigint, fraction double, n_train_participants bigint, side string"
+    )
+    both = found.join(F.broadcast(names), "perm").where("auroc IS NOT NULL")
     side = lambda s: F.max(F.when(F.col("side") == s, F.col("auroc"))).alias(f"auroc_{s}")
-    return a.groupBy(*keys).agg(side("train"), side("test"))
+    return both.groupBy("repeat", "fold", "fraction", "n_train_participants").agg(side("train"), side("test"))
 
 
 def learning_curve_summary(curve: DataFrame) -> DataFrame:

@@ -25,7 +25,7 @@ def brute_auroc(y, s):
 def test_cut_is_the_last_positive(spark, n, n_pos):
     units = np.arange(n) * 7 + 3
     df = spark.createDataFrame(pd.DataFrame({"unit": units})).repartition(6)
-    cut, cut_unit = P.cut_draws(df, n_pos, 20, 42)
+    cut, cut_unit = P.permutation_cuts(df, n_pos, 20, 42)
     labels = P.labels_np(42, units, cut, cut_unit)
     for p in range(20):
         order = sorted(range(n), key=lambda i: (int(D.draw_np(42, p, units[i])), units[i]))

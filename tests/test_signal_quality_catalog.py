@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from conftest import SF
 from plumbline.operators import cohort as C
+from plumbline.operators import leaks
 from plumbline.operators import quality as Q
 from plumbline.operators import signal as S
 from plumbline.plans.experiment import run_grid
@@ -28,7 +29,8 @@ def test_channel_invariant_set_ignores_an_offset(spark):
     rng = np.random.default_rng(1)
     pdf = pd.DataFrame([(r, c, f, float(v)) for c in range(20) for f, v in enumerate(rng.normal(size=40)) for r in (1,)], columns=["recording_id", "coef", "frame", "value"])
     moved = pdf.assign(recording_id=2, value=pdf.value + 7.0)
-    d = S.deltas(spark.createDataFrame(pd.concat([pdf, moved])), ["recording_id", "coef"], "frame", "value")
+    d, short = S.deltas(spark.createDataFrame(pd.concat([pdf, moved])), ["recording_id", "coef"], "frame", "value")
+    assert short.count() == 0
     out = S.coefficient_summary(d, 20, "delta1", "d").toPandas().set_index("recording_id")
     assert out.shape[1] == 40 and np.isfinite(out.values).all()
     assert np.allclose(out.loc[1], out.loc[2])
@@ -36,8 +38,24 @@ def test_channel_invariant_set_ignores_an_offset(spark):
 
 def test_delta_of_a_line_and_a_parabola(spark):
     df = spark.range(30).select(F.lit(1).alias("recording_id"), F.col("id").alias("frame"), (F.col("id") * F.col("id") * 1.0).alias("value"))
-    d = S.deltas(df, ["recording_id"], "frame", "value").toPandas()
-    assert len(d) == 22 and np.allclose(d.delta1, 2 * d.frame) and np.allclose(d.delta2, 2.0)
+    d = S.deltas(df, ["recording_id"], "frame", "value")[0].toPandas()
+    assert len(d) == 30 and np.allclose(d.delta1, 2 * d.frame.clip(4, 25)) and np.allclose(d.delta2, 2.0)
+
+
+def test_deltas_equal_local_fits_on_tracks_of_all_lengths(spark):
+    rng = np.random.default_rng(4)
+    tracks = {n: rng.normal(size=n) for n in [*range(1, 21), 5000]}
+    pdf = pd.DataFrame([(n, f, v) for n, x in tracks.items() for f, v in enumerate(x)], columns=["recording_id", "frame", "value"])
+    kept, short = S.deltas(spark.createDataFrame(pdf).repartition(5), ["recording_id"], "frame", "value")
+    assert sorted(tuple(r)[:2] for r in short.collect()) == [(n, n) for n in range(1, 9)]
+    got = kept.toPandas().set_index(["recording_id", "frame"])
+    assert len(got) == sum(n for n in tracks if n >= 9)
+    for n, x in tracks.items():
+        for f in range(n) if 9 <= n <= 20 else []:
+            c = min(max(f, 4), n - 5)
+            t, window = np.arange(-4, 5), x[c - 4:c + 5]
+            assert got.delta1[n, f] == pytest.approx(np.polyfit(t, window, 1)[0])
+            assert got.delta2[n, f] == pytest.approx(2 * np.polyfit(t, window, 2)[0])
 
 
 def _signal(spark, x):
@@ -103,16 +121,62 @@ def test_quality_counts_nan_and_null(spark):
     assert Q.drop_empty_columns(df, ["a", "b", "c"]).columns == ["subject_id", "a", "b"]
 
 
-def test_leak_scan_both_ways(spark):
+def test_leak_scan_of_few_and_many_names(spark):
     rng = np.random.default_rng(5)
-    texts = ["".join(rng.choice(list("abc "), 300)) for _ in range(60)] + ["", "x" * 50]
-    names = sorted({t[i:i + n] for t, i, n in zip(texts[:20], range(20), [3, 5, 8, 30, 60] * 4)} | {"zzz", "x", "xx"})
+    texts = ["".join(rng.choice(list("abc é東"), 300)) for _ in range(60)] + ["", None, "x" * 50, "Ann"]
+    every = sorted({t[i:i + n] for t, i, n in zip(texts[:20], range(20), [3, 5, 8, 30, 60] * 4)} | {"zzz", "x", "xx", "Ann", "Anna", "é", ""})
+    many = every + [f"name {i}" for i in range(3000)] + [t[j:j + 9] for t in texts[:60] for j in range(0, 280, 20)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc int, text string")
-    ids = spark.createDataFrame(list(enumerate(names)), "item int, name string")
-    want = {(d, i) for d, t in enumerate(texts) for i, n in enumerate(names) if n in t}
-    args = (docs, ids, "doc", "text", "item", "name")
-    assert {tuple(r) for r in Q._gram_join(*args).collect()} == want
-    assert {tuple(r) for r in Q.leaked_names(*args).collect()} == want
+    for names in (every[:10], every, many):
+        rows = [*enumerate(names), (-1, None)]
+        ids = spark.createDataFrame(rows, "item int, name string")
+        want = {(d, i) for d, t in enumerate(texts) for i, n in rows if n and t and n in t}
+        got = [tuple(r) for r in leaks.leaked_names(docs, ids, "doc", "text", "item", "name").collect()]
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_chunks_of_a_long_recording_give_the_frames_of_the_whole(spark):
+    rng = np.random.default_rng(2)
+    signals = {1: rng.normal(0, 0.1, 30000), 2: rng.normal(0, 0.01, 700), 3: np.r_[np.zeros(5000), rng.normal(0, 1, 1024)], 4: np.ones(1)}
+    pdf = pd.DataFrame([(r, i, v) for r, x in signals.items() for i, v in enumerate(x)], columns=["recording_id", "pos", "x"])
+    df = spark.createDataFrame(pdf).repartition(6)
+    got = S.chunked_cepstra(df, 16000, 20, frames=7).toPandas()
+    for r, x in signals.items():
+        want = S.cepstra(x, 16000)
+        table = got[got.recording_id == r].pivot(index="coef", columns="frame", values="value")
+        assert table.shape == want.shape == (20, 1 + len(x) // 512) and np.allclose(table.to_numpy(), want, atol=1e-8)
+    shares = S.chunked_spectrum(df, frames=9).toPandas().set_index("recording_id")
+    for r, x in signals.items():
+        want = S.spectral_shares(x, 16000)
+        assert shares.ch_lf_ratio[r] == pytest.approx(want["ch_lf_ratio"]) and shares.ch_hf_ratio[r] == pytest.approx(want["ch_hf_ratio"])
+
+
+def test_values_of_a_recording_reach_all_its_stretches(spark, monkeypatch):
+    monkeypatch.setattr(S, "SAMPLES_PER_KEY", 100)
+    x = np.sin(np.arange(1234) / 7.0)
+    out = S.peak_normalise(_signal(spark, 3 * x)).toPandas().sort_values("pos")
+    assert np.allclose(out.x, x / np.abs(x).max()) and len(out) == 1234
+    quiet = np.r_[np.zeros(600), np.ones(634)] + 1e-6
+    lv = S.frame_levels(_signal(spark, quiet), 10, 30.0)
+    lifted = S.equalise_noise_floor(_signal(spark, quiet), lv, 10, -20.0, 1).toPandas().sort_values("pos")
+    assert len(lifted) == 1234 and 0.08 < lifted.x[:600].std() < 0.12
+
+
+def test_registry_of_extractors(spark):
+    rng = np.random.default_rng(1)
+    speech = np.concatenate([rng.normal(0, 0.3, 8000), rng.normal(0, 1e-4, 8000), rng.normal(0, 0.3, 8000)])
+    df = spark.createDataFrame([(1, speech.tolist()), (2, [0.1] * 40), (3, [])], "recording_id bigint, samples array<double>")
+    sizes = {"mfcc": 40, "spectral": 2, "silence": 41, "channel": 8, "channel_invariant": 40}
+    assert set(sizes) == set(S.EXTRACTORS)
+    for kind, size in sizes.items():
+        kept, rejected = S.extract(df, "samples", kind, 16000)
+        kept, errors = {r[0]: r[1] for r in kept.collect()}, {r[0]: r[1] for r in rejected.collect()}
+        assert len(kept[1]) == size and errors[3] == "no samples"
+        assert (2 in kept) == (kind in ("mfcc", "spectral"))
+    silence = S.EXTRACTORS["silence"](speech, 16000)
+    assert silence["silence_seconds"] == pytest.approx(0.5, abs=0.05)
+    moved = S.EXTRACTORS["channel_invariant"](speech * 3, 16000)
+    assert moved["cmvn_delta00_mean"] == pytest.approx(S.EXTRACTORS["channel_invariant"](speech, 16000)["cmvn_delta00_mean"], abs=1e-6)
 
 
 def test_unknown_cohort(spark):

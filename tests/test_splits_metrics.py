@@ -10,6 +10,7 @@ from plumbline.operators import resample as R
 from plumbline.operators import scorer as S
 from plumbline.operators import splits as X
 from plumbline.operators import stats as H
+from plumbline.plans.experiment import _complete
 
 
 def brute_auroc(y, s, w=None):
@@ -69,6 +70,36 @@ def test_unknown_arm_and_missing_column(spark, toy):
         X.assign_folds(toy, ["D_leave_one_corpus_out"])
 
 
+def test_rows_without_a_unit_are_told_and_refused(spark, toy):
+    holes = toy.withColumn("corpus", F.when(F.col("recording_id") != 3, F.lit("x"))).withColumn(
+        "folder_path", F.when(F.col("recording_id") != 5, F.col("folder_path"))
+    )
+    arms = ["B_folder_path", "C_subject_key", "D_leave_one_corpus_out"]
+    told = {r["recording_id"]: r["error"] for r in X.without_unit(holes, arms).collect()}
+    assert told == {3: "no corpus for D_leave_one_corpus_out", 5: "no folder_path for B_folder_path"}
+    for arm in (arms[0], arms[2]):
+        with pytest.raises(PySparkException, match="cannot be dealt"):
+            X.assign_folds(holes, [arm], 4, 1).collect()
+    assert X.assign_folds(holes, [arms[1]], 4, 1).count() == 34
+
+
+def test_models_sent_in_parts_meet_the_same_rows(spark, monkeypatch):
+    rows = spark.createDataFrame([(i % 7, i % 3, float(i)) for i in range(60)], "arm int, fold int, v double")
+    models = spark.createDataFrame([(a, f, a * 10.0 + f) for a in range(7) for f in range(3)], "arm int, fold int, m double")
+    whole = S.attach(rows, models, ["arm", "fold"], 21, 5).collect()
+    monkeypatch.setattr(S, "MODEL_BYTES", 1500)
+    parts = S.attach(rows, models, ["arm", "fold"], 21, 5)
+    assert sorted(parts.collect()) == sorted(whole) and len(whole) == 60
+    assert "Exchange hashpartitioning" not in parts._jdf.queryExecution().toString()
+
+
+def test_a_recording_that_is_not_scored_everywhere_stops_the_run(spark):
+    oof = spark.createDataFrame([(1, 1, 5), (2, 0, 4)], "recording_id bigint, label int, _scored bigint")
+    assert _complete(oof.where("recording_id = 1"), 5).count() == 1
+    with pytest.raises(PySparkException, match="recording 2 was not scored"):
+        _complete(oof, 5).collect()
+
+
 def test_training_subsets(spark, toy):
     folds = X.assign_folds(toy, ["C_subject_key"], 4, 1)
     own = {r["subject_id"]: r["fold"] for r in folds.select("subject_id", "fold").distinct().collect()}
