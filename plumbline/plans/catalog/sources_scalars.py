@@ -107,19 +107,8 @@ def names2(spark, sf):
 # -- sources and sinks -----------------------------------------------------------
 
 
-@query("s01_file_listing")
-def s01(spark, sf):
-    listing = files.list_files(spark, sf, glob="*.[pP][aA][rR][qQ][uU][eE][tT]")
-    return listing.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
-
-
-@query("s02_header_profile", """
-SELECT vec_id::VARCHAR AS path, CASE WHEN vec_id % 3 = 0 THEN 44100 ELSE 16000 END AS samplerate,
-  1 AS channels, 'PCM_16' AS subtype, len(embedding)::BIGINT AS frames,
-  round(len(embedding) / (CASE WHEN vec_id % 3 = 0 THEN 44100.0::DOUBLE ELSE 16000.0::DOUBLE END), 9) AS duration
-FROM embeddings""")
-def s02(spark, sf):
-    """Each embedding becomes a 16-bit WAV file in a binary column."""
+def wav_files(spark, sf):
+    """Each embedding as a 16-bit WAV file below a folder per group, every thirteenth broken; the root."""
 
     def little_endian(value, width):
         digits = F.lpad(F.hex(value), width * 2, "0")
@@ -138,9 +127,40 @@ def s02(spark, sf):
         two(1), two(1), little_endian(rate, 4), little_endian(rate * 2, 4), two(2), two(16),
         text("data"), little_endian(n_bytes, 4), data,
     )
-    content = table(spark, sf, "embeddings").select(F.col("vec_id").cast("string").alias("path"), F.unhex(wav).alias("content"))
-    return files.header_profile(content).where("error IS NULL").select(
-        "path", "samplerate", "channels", "subtype", "frames", F.round("duration", 9).alias("duration")
+    wav = F.when(F.col("vec_id") % 13 == 0, text("nonsense")).otherwise(wav)
+    path = F.concat(F.when(F.col("label") < 5, "case").otherwise("control"), F.lit("/"), F.col("vec_id").cast("string"), F.when(F.col("vec_id") % 2 == 0, ".wav").otherwise(".WAV"))
+    root = tables.scratch_folder(spark, "audio")
+    files.write_contents(table(spark, sf, "embeddings").select(path.alias("path"), F.unhex(wav).alias("content")), root)
+    return root
+
+
+LEAF = "(CASE WHEN label < 5 THEN 'case/' ELSE 'control/' END) || vec_id || (CASE WHEN vec_id % 2 = 0 THEN '.wav' ELSE '.WAV' END)"
+
+
+def _below_root(path):
+    return F.array_join(F.slice(F.split(path, "/"), -2, 2), "/")
+
+
+@query("s01_file_listing", f"SELECT {LEAF} AS path, CASE WHEN vec_id % 13 = 0 THEN 8 ELSE 44 + 2 * len(embedding) END::BIGINT AS length FROM embeddings")
+def s01(spark, sf):
+    """The files written from a table, found again below the folders of both groups."""
+    listing = files.list_files(spark, wav_files(spark, sf), ["case", "control"])
+    return listing.select(_below_root("path").alias("path"), "length")
+
+
+@query("s02_header_profile", f"""
+SELECT vec_id, {LEAF} AS path, label, CASE WHEN vec_id % 13 = 0 THEN NULL WHEN vec_id % 3 = 0 THEN 44100 ELSE 16000 END::INTEGER AS samplerate,
+  CASE WHEN vec_id % 13 <> 0 THEN 1 END::INTEGER AS channels, CASE WHEN vec_id % 13 <> 0 THEN 'PCM_16' END AS subtype, CASE WHEN vec_id % 13 <> 0 THEN len(embedding) END::BIGINT AS frames,
+  CASE WHEN vec_id % 13 <> 0 THEN round(len(embedding) / (CASE WHEN vec_id % 3 = 0 THEN 44100.0::DOUBLE ELSE 16000.0::DOUBLE END), 9) END AS duration,
+  CASE WHEN vec_id % 13 = 0 THEN 'not a RIFF/WAVE file' END AS error FROM embeddings""")
+def s02(spark, sf):
+    """Headers of the written files, joined back to the rows they were written from."""
+    profile = files.header_profile(files.list_files(spark, wav_files(spark, sf)))
+    rows = profile.withColumn("path", _below_root("path")).withColumn("duration", F.round("duration", 9))
+    vec_id = F.regexp_extract("path", r"/(\d+)\.", 1).cast("bigint")
+    source = table(spark, sf, "embeddings").select("vec_id", "label")
+    return source.join(rows.withColumn("vec_id", vec_id), "vec_id").select(
+        "vec_id", "path", "label", "samplerate", "channels", "subtype", "frames", "duration", "error"
     )
 
 

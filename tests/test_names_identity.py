@@ -9,17 +9,17 @@ from plumbline.operators import identity as I
 from plumbline.sources import files
 
 IRREGULAR = [
-    ("B1APGANRET55F170320171104.wav", "B", 1, "APGANRET", 55, "F", "170320171104"),
-    ("VU2APGANRET55F170320171112.wav", "VU", 2, "APGANRET", 55, "F", "170320171112"),
-    ("FB1ubguot_t40M1606161807.wav", "FB", 1, "ubguot_t", 40, "M", "1606161807"),
-    ("B1VLIAT OP47M100220171314.wav", "B", 1, "VLIAT OP", 47, "M", "100220171314"),
-    ("PR1LBULCAAS94M100120171015..wav", "PR", 1, "LBULCAAS", 94, "M", "100120171015"),
-    ("PR11LBULCAAS94M100120171057.wav", "PR", 11, "LBULCAAS", 94, "M", "100120171057"),
+    ("B1MOLINKER55F140820171104.wav", "B", 1, "MOLINKER", 55, "F", "140820171104"),
+    ("VU2MOLINKER55F140820171112.wav", "VU", 2, "MOLINKER", 55, "F", "140820171112"),
+    ("FB1sabdel_o40M0909161807.wav", "FB", 1, "sabdel_o", 40, "M", "0909161807"),
+    ("B1DRENT UV47M020820171314.wav", "B", 1, "DRENT UV", 47, "M", "020820171314"),
+    ("PR1KORPIXAN94M030920171015..wav", "PR", 1, "KORPIXAN", 94, "M", "030920171015"),
+    ("PR11KORPIXAN94M030920171057.wav", "PR", 11, "KORPIXAN", 94, "M", "030920171057"),
 ]
 GROUPS = {
-    "28 People with Parkinson's disease": "PD",
-    "22 Elderly Healthy Control": "eHC",
-    "15 Young Healthy Control": "yHC",
+    "17 Patients' first visits": "PD",
+    "12 Older Comparison": "eHC",
+    "9 Younger Comparison": "yHC",
 }
 
 
@@ -39,13 +39,13 @@ def test_irregular_names(spark):
 
 def test_signature_and_session(spark):
     rows, _ = decoded(spark, [
-        "B1rriovbie49M2605161841.wav", "B1RROIBVEI49M240120171859.wav", "B1VSIPTIOZ46M240120171920.wav",
-        "B1VSIOTLOP47M100220171328.wav", "B1vsiptioz46M1606161659.wav", "B2vsiptioz46M1606161701.wav",
+        "B1tannoker49M2104161841.wav", "B1KTORANEN49M110920171859.wav", "B1DEMIKROL46M110920171920.wav",
+        "B1DEMIKRUL47M020820171328.wav", "B1demikrol46M0909161659.wav", "B2demikrol46M0909161701.wav",
     ])
     r = list(rows.values())
     assert r[0]["code_signature"] == r[1]["code_signature"]
     assert r[2]["code_signature"] != r[3]["code_signature"]
-    assert r[4]["session_date"] == r[5]["session_date"] == "160616"
+    assert r[4]["session_date"] == r[5]["session_date"] == "090916"
     assert r[4]["recording_year"] == 2016 and r[2]["recording_year"] == 2017
 
 
@@ -71,16 +71,16 @@ def test_chronological_session_index(spark):
 @pytest.fixture
 def corpus(tmp_path):
     layout = {
-        "28 People with Parkinson's disease/1-5/Antonia G": [f"{t}AGNUTGOL52F100220171041.wav" for t in ("B1", "B2", "D1", "VA1")] + ["VI2AGNUTGOL63F100220171052.WAV"],
-        "22 Elderly Healthy Control/VITO A": [f"{t}VAILTFOO49M230320171029.wav" for t in ("B1", "B2")],
-        "22 Elderly Healthy Control/VITO L": [f"{t}VLIATFOO55M300320171237.wav" for t in ("B1", "B2")],
-        "15 Young Healthy Control/Someone A": ["B1AAAAAAAA94M100120171015.wav"],
+        "17 Patients' first visits/1-5/Berta H": [f"{t}HUNDERAK52F020820171041.wav" for t in ("B1", "B2", "D1", "VA1")] + ["VI2HUNDERAK63F020820171052.WAV"],
+        "12 Older Comparison/NILO C": [f"{t}SIMARTEN49M150620171029.wav" for t in ("B1", "B2")],
+        "12 Older Comparison/NILO D": [f"{t}SIMATREN55M220620171237.wav" for t in ("B1", "B2")],
+        "9 Younger Comparison/Nobody B": ["B1AAAAAAAA94M030920171015.wav"],
     }
     for folder, names in layout.items():
         (tmp_path / folder).mkdir(parents=True)
         for n in names:
             (tmp_path / folder / n).write_bytes(b"x")
-    (tmp_path / "22 Elderly Healthy Control" / "notes.txt").write_text("x")
+    (tmp_path / "12 Older Comparison" / "notes.txt").write_text("x")
     return tmp_path
 
 
@@ -103,16 +103,16 @@ def test_privacy(spark, corpus):
     meta = built(spark, corpus)
     safe, plain = I.anonymise(meta).toPandas(), meta.toPandas()
     text = " ".join(safe.folder_path) + " ".join(safe.folder_name)
-    for name in ("Antonia G", "VITO A", "VITO L", "Someone A"):
+    for name in ("Berta H", "NILO C", "NILO D", "Nobody B"):
         assert name not in text
     assert safe.folder_path.nunique() == plain.folder_path.nunique()
-    assert safe.folder_path.str.startswith("28 People").any()
+    assert safe.folder_path.str.startswith("17 Patients").any()
     public = I.redact(meta).columns
     assert not set(public) & set(N.IDENTIFYING) and {"subject_id", "age"} <= set(public)
 
 
 def test_unparsable_name_stops_the_build(spark, corpus):
-    (corpus / "15 Young Healthy Control" / "bad.wav").write_bytes(b"x")
+    (corpus / "9 Younger Comparison" / "bad.wav").write_bytes(b"x")
     with pytest.raises(ValueError, match="do not match"):
         built(spark, corpus)
 
@@ -124,19 +124,36 @@ def test_missing_folder_and_empty_result(spark, tmp_path):
         files.list_files(spark, str(tmp_path))
 
 
-def test_header_profile(spark, tmp_path):
-    def wav(rate, channels, bits, frames, extra=b""):
-        align = channels * bits // 8
-        data = b"\0" * (frames * align)
-        fmt = struct.pack("<HHIIHH", 1, channels, rate, rate * align, align, bits)
-        body = b"WAVE" + extra + b"fmt " + struct.pack("<I", 16) + fmt + b"data" + struct.pack("<I", len(data)) + data
-        return b"RIFF" + struct.pack("<I", len(body)) + body
+def wav(rate, channels, bits, frames, extra=b""):
+    align = channels * bits // 8
+    data = b"\0" * (frames * align)
+    fmt = struct.pack("<HHIIHH", 1, channels, rate, rate * align, align, bits)
+    body = b"WAVE" + extra + b"fmt " + struct.pack("<I", 16) + fmt + b"data" + struct.pack("<I", len(data)) + data
+    return b"RIFF" + struct.pack("<I", len(body)) + body
+
 
+def test_header_profile(spark, tmp_path):
     (tmp_path / "a b's.wav").write_bytes(wav(16000, 1, 16, 8000))
     (tmp_path / "c.WAV").write_bytes(wav(44100, 2, 24, 441, b"LIST" + struct.pack("<I", 3) + b"abc\0"))
+    (tmp_path / "far.wav").write_bytes(wav(8000, 1, 8, 80, b"LIST" + struct.pack("<I", 50001) + bytes(50002)))
     (tmp_path / "d.wav").write_bytes(b"nonsense")
-    rows = {os.path.basename(r["path"]): r for r in files.header_profile(files.read_content(spark, str(tmp_path))).collect()}
-    a, c, d = rows["a b's.wav"], rows["c.WAV"], rows["d.wav"]
+    (tmp_path / "short.wav").write_bytes(wav(16000, 1, 16, 0)[:30])
+    listing = files.list_files(spark, str(tmp_path))
+    rows = {os.path.basename(r["path"]).replace("%20", " "): r for r in files.header_profile(listing, files_per_task=2).collect()}
+    a, c, far, d = rows["a b's.wav"], rows["c.WAV"], rows["far.wav"], rows["d.wav"]
     assert (a["samplerate"], a["channels"], a["subtype"], a["duration"]) == (16000, 1, "PCM_16", 0.5)
     assert (c["samplerate"], c["channels"], c["subtype"], c["frames"]) == (44100, 2, "PCM_24", 441)
+    assert (far["samplerate"], far["subtype"], far["frames"], far["error"]) == (8000, "PCM_U8", 80, None)
     assert d["samplerate"] is None and "RIFF" in d["error"]
+    assert rows["short.wav"]["frames"] is None and rows["short.wav"]["error"]
+
+
+def test_only_the_beginning_of_a_file_is_read():
+    content, asked = wav(16000, 1, 16, 500_000), []
+
+    def read(at, n):
+        asked.append((at, n))
+        return content[at:at + n]
+
+    assert files.wav_header(read)[3] == 500_000
+    assert sum(n for _, n in asked) <= files.HEAD_BYTES
