@@ -221,7 +221,7 @@ def _open_groups(meets: DataFrame, groups: DataFrame, docs: DataFrame, k: int, p
     link are the members met, one per row.
     """
     wanted = meets.select("rid").unionByName(groups.select("rid")).distinct()
-    sets = stored(_sets(docs, wanted, k), "jaccard-sets")
+    sets = _sets(docs, wanted, k)
     unions = stored(_unions(groups, sets), "jaccard-unions")
     bounded = meets.join(sets.withColumnRenamed("tokens", "own"), "rid").join(unions, "gid")
     passing = stored(_meeting(bounded, "gid", lambda n, _, c: 100 * c >= percent * n), "jaccard-passing")
@@ -255,7 +255,7 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
     )
     # A star's group is its leader alone, whose set is the union.
     ends = stars.select("rid").unionByName(stars.select(F.col("gid").alias("rid"))).distinct()
-    links = _links(stars.withColumnRenamed("gid", "other"), stored(_sets(docs, ends, k), "jaccard-sets"), percent)
+    links = _links(stars.withColumnRenamed("gid", "other"), _sets(docs, ends, k), percent)
 
     part = components(links)
     known = stored(
