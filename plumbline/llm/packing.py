@@ -138,8 +138,12 @@ def _first_id(level: int) -> int:
     return ((level << 26) + TaskContext.get().partitionId()) << 31
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, places: int = OPEN) -> DataFrame:
-    """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``."""
+def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, places: int = OPEN, remember: bool = True) -> DataFrame:
+    """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``.
+
+    Workers remember pieces of words from task to task; without ``remember`` a task gives
+    that memory back, for jobs in which other stages need it.
+    """
     kind = dict(docs.dtypes)["doc_id"]
 
     def online(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,6 +156,8 @@ def pack(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, p
             yield from _batches(packer.leave(), arrow)
         if arrow is not None:
             yield from _batches(packer.still_open(), arrow)
+        if not remember:
+            tokens.forget()
 
     written = stored(docs.select("doc_id", "text").mapInArrow(online, _schema(kind)), "packing")
     parts = written.where("ids is null")

@@ -19,7 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 
-MEMORY = 48 << 20
+MEMORY = 160 << 20
 #: Bytes of a remembered piece besides its characters and ids.
 PIECE_BYTES = 220
 GROUP_CHARS = 1 << 20
@@ -137,6 +137,11 @@ class Encoder:
         self.older, self.known = self.known, self.heads if shared else {}
         self.bytes = 0
 
+    def forget(self) -> None:
+        """Drop both generations."""
+        self._age()
+        self.older_heads, self.older = {}, {}
+
     def encode(self, text: str | None) -> bytes:
         """:meth:`encode_all` of one text."""
         return next(self.encode_all([text]))
