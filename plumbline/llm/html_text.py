@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,13 +38,14 @@ from .common import stored
 
 DEPTH = 8
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|noscript|template|svg|textarea|select|iframe|object|canvas|math)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[!?][^>]*>",
-    re.S | re.I,
-)
+#: Elements whose content is no markup, up to their own end tag or the end of the page.
+RAW = re.compile(r"(script|style|noscript|template|svg|textarea|select|iframe|object|canvas|math)\b", re.I)
+RAW_END = {
+    name: re.compile(rf"</{name}\s*>", re.I)
+    for name in "script style noscript template svg textarea select iframe object canvas math".split()
+}
+TAG_NAME = re.compile(r"(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
+SPECIAL = re.compile(r"[>\"']")
 ATTRIBUTE = re.compile(r"""\b(class|id|role|itemprop|style|hidden|aria-hidden)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?""", re.I)
 NAME = re.compile(r"[a-z]+")
 
@@ -105,10 +107,120 @@ def _kind(tag: str, attributes: str, inside: bool) -> int:
     return 2 if tag != "body" and names & ARTICLE_NAMES else 0
 
 
+class TagEnds:
+    """Where tags end: at the first ``>`` outside quotes.
+
+    What was found from one place is remembered for all places that lead there, so a page
+    is scanned once however many of its tags are never closed.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.seen = (0, -1)  # no special character between the two places but at the second
+        self.known: dict[int, int] = {}
+
+    def _special(self, at: int) -> int:
+        """Place of the next quote or ``>``; the length of the page if there is none."""
+        start, found = self.seen
+        if not start <= at <= found:
+            m = SPECIAL.search(self.page, at)
+            found = m.start() if m else len(self.page)
+            self.seen = (at, found)
+        return found
+
+    def after(self, at: int) -> int:
+        """Place of the ``>`` that ends a tag whose attributes begin at ``at``; -1 without."""
+        first = at = self._special(at)
+        passed = []
+        while at not in self.known:
+            if at >= len(self.page):
+                self.known[at] = -1
+            elif self.page[at] == ">":
+                self.known[at] = at
+            else:
+                passed.append(at)
+                close = self.page.find(self.page[at], at + 1)
+                if close < 0:
+                    self.known[at] = -1
+                else:
+                    at = self._special(close + 1)
+        for place in passed:
+            self.known[place] = self.known[at]
+        return self.known[first]
+
+
+def tokens(page: str) -> Iterator[tuple[int, int, str, str | None, str]]:
+    """Start, end, slash, name and attributes of every tag; no name for comments and raw elements."""
+    ends, last, at = TagEnds(page), page.rfind(">"), 0
+    while True:
+        at = page.find("<", at)
+        if at < 0:
+            return
+        if page.startswith("<!--", at):
+            stop = page.find("-->", at + 4)
+            end = len(page) if stop < 0 else stop + 3
+            yield at, end, "", None, ""
+            at = end
+            continue
+        if at > last:
+            # No tag can end any more, but a comment may still begin.
+            at = page.find("<!--", at)
+            if at < 0:
+                return
+            continue
+        if page[at + 1:at + 2] in ("!", "?"):
+            end = page.find(">", at) + 1
+            yield at, end, "", None, ""
+            at = end
+            continue
+        name = TAG_NAME.match(page, at + 1)
+        stop = ends.after(name.end()) if name else -1
+        if stop < 0:
+            at += 1
+            continue
+        raw = RAW.match(page, at + 1)
+        if raw:
+            close = RAW_END[raw[1].lower()].search(page, stop + 1)
+            end = close.end() if close else len(page)
+            yield at, end, "", None, ""
+            at = end
+            continue
+        yield at, stop + 1, name[1], name[2], page[name.end():stop]
+        at = stop + 1
+
+
+class Open:
+    """Open elements with their kinds; looks at no element twice to find none."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, int]] = [("", 0)]
+        self.count: Counter[str] = Counter()
+
+    @property
+    def kind(self) -> int:
+        return self.stack[-1][1]
+
+    @property
+    def tag(self) -> str:
+        return self.stack[-1][0]
+
+    def push(self, tag: str, kind: int) -> None:
+        self.stack.append((tag, kind))
+        self.count[tag] += 1
+
+    def pop(self, tag: str) -> None:
+        """Close the innermost element of this tag, and all inside it."""
+        while self.count[tag]:
+            gone, _ = self.stack.pop()
+            self.count[gone] -= 1
+            if gone == tag:
+                return
+
+
 def parse(page: str) -> tuple[list[str], list[str], list[str]]:
     """Blocks inside the article, of no certain kind, and of no use, in page order."""
     found: dict[int, list[str]] = {1: [], 2: [], 0: [], -1: []}
-    stack: list[tuple[str, int]] = [("", 0)]
+    opened = Open()
     parts: list[str] = []
     at = 0
 
@@ -117,37 +229,37 @@ def parse(page: str) -> tuple[list[str], list[str], list[str]]:
             words = " ".join(html.unescape("".join(parts)).split())
             parts.clear()
             if words:
-                found[stack[-1][1]].append(words)
+                found[opened.kind].append(words)
 
-    for m in TOKEN.finditer(page):
-        if m.start() > at:
-            parts.append(page[at : m.start()])
-        at = m.end()
-        if m[3] is None:
+    for start, end, slash, name, attributes in tokens(page):
+        if start > at:
+            parts.append(page[at:start])
+        at = end
+        if name is None:
             continue
-        tag = m[3].lower()
+        tag = name.lower()
         if tag in INLINE:
-            if m[2]:
-                if any(t == tag for t, _ in stack):
+            if slash:
+                if opened.count[tag]:
                     flush()
-                    _pop(stack, tag)
-            elif m[4] and _kind(tag, m[4], stack[-1][1] > 0) < 0 and not m[4].endswith("/"):
+                    opened.pop(tag)
+            elif attributes and _kind(tag, attributes, opened.kind > 0) < 0 and not attributes.endswith("/"):
                 flush()
-                stack.append((tag, -1))
+                opened.push(tag, -1)
             continue
         flush()
-        if m[2]:
-            _pop(stack, tag)
+        if slash:
+            opened.pop(tag)
             continue
         if tag == "body":
-            _pop(stack, "head")
-        if stack[-1][0] == "p":
-            stack.pop()
-        above = stack[-1][1]
-        kind = _kind(tag, m[4], above > 0)
+            opened.pop("head")
+        if opened.tag == "p":
+            opened.pop("p")
+        above = opened.kind
+        kind = _kind(tag, attributes, above > 0)
         if tag in CONTAINERS or kind:
             new = -1 if above < 0 or kind < 0 else (1 if above == 1 or kind == 1 else (2 if above == 2 or kind == 2 else 0))
-            stack.append((tag, new))
+            opened.push(tag, new)
     parts.append(page[at:])
     flush()
     if found[1]:
@@ -155,13 +267,6 @@ def parse(page: str) -> tuple[list[str], list[str], list[str]]:
     return found[2], found[0], found[-1]
 
 
-def _pop(stack: list[tuple[str, int]], tag: str) -> None:
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i][0] == tag:
-            del stack[i:]
-            return
-
-
 def blocks(pages: DataFrame) -> DataFrame:
     """``page_id, url, host, article, open, rest``: the blocks of every page by kind."""
     kind = dict(pages.dtypes)["page_id"]
