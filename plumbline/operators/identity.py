@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..schema import require_empty
+from ..session import materialise
 from .ordering import dense_position, dense_rank
 
 
@@ -91,7 +92,8 @@ def build_metadata(files: DataFrame, root_depth: int, groups: dict[str, str], po
     ).where(F.col("group").isNotNull())
     parsed, rejected = parse_names(located)
     require_empty(rejected.select("path"), "names that do not match the schema")
-    meta = resolve_birth_year(parsed).withColumn("label", (F.col("group") == positive).cast("int"))
+    # The keys are voted on, then numbered, then joined back: parsed and voted once.
+    meta = materialise(resolve_birth_year(parsed).withColumn("label", (F.col("group") == positive).cast("int")))
     meta = meta.join(pseudonyms(meta, "group", "subject_key"), ["group", "subject_key"])
     return session_index(meta, "subject_id", "session_date")
 

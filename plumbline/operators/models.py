@@ -1,29 +1,17 @@
-"""MLlib estimators inside folds, nested search, persistence and batch scoring.
-
-MLlib fits one model at a time, so loops here run over folds, corpora or trees,
-never over rows; the number of fits is fixed by the design of the experiment.
-"""
+"""The final model as an MLlib pipeline: fitted once on everything, saved, loaded, applied."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.evaluation import MulticlassClassificationEvaluator
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import draws as D
-from ..session import materialise
 from .calibrate import prior_correction
-from .splits import assign_folds
-
-SEED = 42
 
 
 def with_vector(df: DataFrame, source: str | Sequence[str], out: str = "raw") -> DataFrame:
@@ -43,10 +31,6 @@ def regularisation(c: float, n: int) -> float:
     return 1.0 / (c * n)
 
 
-def random_forest(n: int, trees: int = 100, depth: int = 10, min_leaf: int = 1, seed: int = SEED) -> Pipeline:
-    return _scaled(RandomForestClassifier(numTrees=trees, maxDepth=depth, minInstancesPerNode=min_leaf, seed=seed))
-
-
 def logistic(n: int, c: float = 1.0, l1_ratio: float = 0.0, max_iter: int = 200) -> Pipeline:
     """L2 logistic regression; ``l1_ratio`` above 0 makes it an elastic net."""
     return _scaled(LogisticRegression(
@@ -54,115 +38,11 @@ def logistic(n: int, c: float = 1.0, l1_ratio: float = 0.0, max_iter: int = 200)
     ))
 
 
-def boosted_trees(n: int, depth: int = 2, rounds: int = 50, rate: float = 0.1, seed: int = SEED) -> Pipeline:
-    return _scaled(GBTClassifier(maxDepth=depth, maxIter=rounds, stepSize=rate, seed=seed))
-
-
-def demographic(n: int, c: float = 1.0) -> Pipeline:
-    """Scaled age and one-hot sex into a logistic regression."""
-    return Pipeline(stages=[
-        VectorAssembler(inputCols=["age"], outputCol="_age"),
-        StandardScaler(inputCol="_age", outputCol="_age_scaled", withMean=True, withStd=True),
-        StringIndexer(inputCol="sex", outputCol="_sex", stringOrderType="alphabetAsc", handleInvalid="keep"),
-        OneHotEncoder(inputCols=["_sex"], outputCols=["_sex_hot"], dropLast=True),
-        VectorAssembler(inputCols=["_age_scaled", "_sex_hot"], outputCol="features"),
-        LogisticRegression(regParam=regularisation(c, n), standardization=False, maxIter=200),
-    ])
-
-
-#: Tuning grids of the nested search, as keyword sets of the estimators above.
-GRIDS: dict[str, tuple[Callable[..., Pipeline], dict[str, list]]] = {
-    "Logistic_L2": (logistic, {"c": [0.01, 0.1, 1.0, 10.0]}),
-    "Logistic_ElasticNet": (logistic, {"c": [0.05, 0.2, 1.0], "l1_ratio": [0.3, 0.7]}),
-    "GradientBoosting": (boosted_trees, {"depth": [2, 3], "rounds": [50, 100], "rate": [0.05, 0.1]}),
-    "RandomForest": (random_forest, {"depth": [3, 5], "min_leaf": [2, 4]}),
-}
-_PARAM = {
-    "c": ("regParam", None), "l1_ratio": ("elasticNetParam", float), "depth": ("maxDepth", int),
-    "rounds": ("maxIter", int), "rate": ("stepSize", float), "min_leaf": ("minInstancesPerNode", int),
-}
-
-
 def probability(scored: DataFrame, out: str = "score") -> DataFrame:
     junk = {"features", "rawPrediction", "probability", "prediction"} | {c for c in scored.columns if c.startswith("_")}
     return scored.withColumn(out, vector_to_array("probability")[1]).drop(*junk)
 
 
-def cross_validate(df: DataFrame, factory: Callable[[int], Pipeline], k: int) -> DataFrame:
-    """Out-of-fold probabilities; the scaler is fitted inside the fold."""
-    df = materialise(df)
-    parts = []
-    for fold in range(k):
-        train = df.where(F.col("fold") != fold)
-        model = factory(train.count()).fit(train)
-        parts.append(probability(model.transform(df.where(F.col("fold") == fold))))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def search(train: DataFrame, name: str, inner_folds: int = 3, seed: int = SEED, parallelism: int = 4) -> PipelineModel:
-    """Grid search on log-loss with participant-grouped inner folds."""
-    factory, grid = GRIDS[name]
-    folded = assign_folds(train, ["C_subject_key"], inner_folds, 1, seed)
-    folded = materialise(folded.withColumn("fold", F.col("fold").cast("int")))
-    n = folded.count()
-    pipeline = factory(n)
-    classifier = pipeline.getStages()[-1]
-    builder = ParamGridBuilder()
-    for key, values in grid.items():
-        param, cast = _PARAM[key]
-        builder = builder.addGrid(
-            classifier.getParam(param), [regularisation(v, n) if cast is None else cast(v) for v in values]
-        )
-    validator = CrossValidator(
-        estimator=pipeline, estimatorParamMaps=builder.build(), foldCol="fold", numFolds=inner_folds,
-        evaluator=MulticlassClassificationEvaluator(metricName="logLoss"), parallelism=parallelism, seed=seed,
-    )
-    return validator.fit(folded).bestModel
-
-
-def nested_leave_one_corpus_out(df: DataFrame, names: Sequence[str], corpora: Sequence) -> DataFrame:
-    """Outer loop over held-out corpora, inner search inside the training corpora."""
-    df = materialise(df)
-    parts = []
-    for name in names:
-        for held_out in corpora:
-            model = search(df.where(F.col("corpus") != F.lit(held_out)), name)
-            scored = probability(model.transform(df.where(F.col("corpus") == F.lit(held_out))))
-            parts.append(scored.withColumn("model", F.lit(name)))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def train_and_score(df: DataFrame, factory: Callable[[int], Pipeline], train_corpus) -> DataFrame:
-    """Fit on one corpus, score the rest."""
-    train = df.where(F.col("corpus") == F.lit(train_corpus))
-    model = factory(train.count()).fit(train)
-    return probability(model.transform(df.where(F.col("corpus") != F.lit(train_corpus))))
-
-
-def out_of_bag_error(df: DataFrame, sizes: Sequence[int], depth: int = 5, seed: int = SEED, unit: str = "recording_id") -> DataFrame:
-    """``n_trees, oob_error, n_scored``: error of the growing forest on rows a tree did not see.
-
-    Bootstrap weights are hash draws, so which rows are out of a tree's bag is known
-    without asking the forest. Votes add up per row over at most ``max(sizes)`` trees.
-    """
-    df = materialise(df)
-    votes = []
-    for tree in range(max(sizes)):
-        weighted = df.withColumn("_w", D.poisson(seed, F.lit(tree), F.col(unit)).cast("double"))
-        grow = RandomForestClassifier(
-            numTrees=1, bootstrap=False, featureSubsetStrategy="sqrt", maxDepth=depth, weightCol="_w",
-            featuresCol="raw", seed=seed + tree,
-        )
-        model = grow.fit(weighted.where("_w > 0"))
-        out = model.transform(weighted.where("_w = 0"))
-        votes.append(out.select(unit, "label", F.lit(tree).alias("tree"), vector_to_array("probability")[1].alias("p")))
-    cast = reduce(DataFrame.unionByName, votes)
-    per_size = cast.withColumn("n_trees", F.explode(F.array(*[F.lit(int(s)) for s in sizes]))).where("tree < n_trees")
-    mean = per_size.groupBy("n_trees", unit).agg(F.max("label").alias("label"), F.avg("p").alias("p"))
-    wrong = ((F.col("p") > 0.5).cast("int") != F.col("label")).cast("double")
-    return mean.groupBy("n_trees").agg(F.avg(wrong).alias("oob_error"), F.count(F.lit(1)).alias("n_scored"))
-
-
 def persist_if_passed(df: DataFrame, gates: DataFrame, factory: Callable[[int], Pipeline], features: Sequence[str], estimator: str, path: str, required: Sequence[str] = ("A", "B")) -> bool:
     """Fit on everything and save model and metadata when the required gates pass."""
     passed = {r["gate"]: r["passed"] for r in gates.select("gate", "passed").collect()}

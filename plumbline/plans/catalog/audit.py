@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ...functions.draws import draw, draw_sql
+from ...functions.draws import draw_sql
 from ...operators import cohort as C
 from ...operators import identity as I
-from ...operators import ordering as O
 from ...operators import leaks
+from ...operators import ordering as O
 from ...operators import quality as Q
 from ...operators import resample, signal, stats
+from ...session import materialise
 from ..registry import query
 from ..views import FEATURES, FRAMES, FT, MATCHED_BATCH, REC, feature_table, frames, line_features, micros, r6, recordings, s6, table
 from .sources_scalars import NAMES, NAMES2, PARSED, names2, parsed
@@ -292,7 +292,7 @@ n AS (SELECT "group", subject_key, row_number() OVER (PARTITION BY "group" ORDER
 SELECT recording_id, meta."group" || (CASE WHEN i < 10 THEN '0' || i::VARCHAR ELSE i::VARCHAR END) AS subject_id
 FROM meta JOIN n ON meta."group" = n."group" AND meta.subject_key = n.subject_key""")
 def w02(spark, sf):
-    m = meta(spark, sf).drop("subject_id")
+    m = materialise(meta(spark, sf).select("recording_id", "group", "subject_key"))
     return m.join(I.pseudonyms(m, "group", "subject_key"), ["group", "subject_key"]).select("recording_id", "subject_id")
 
 

@@ -13,11 +13,12 @@ from ...operators import regression as RG
 from ...operators import resample as R
 from ...operators import splits as X
 from ...operators import stats as H
+from ...session import materialise
 from .. import experiment as E
 from .. import oracle as SQL
 from ..registry import query
 from ..views import FEATURES, FT, MATCHED_BATCH, REC, feature_cohort, feature_table, r6, recordings, s6, table
-from .audit import FULL, PERM_LABELS, TASKS
+from .audit import FULL, TASKS
 
 N_BOOT = 2000
 ABC = ["A_recording", "B_folder_path", "C_subject_key"]
@@ -343,17 +344,18 @@ woof AS (SELECT corpus, recording_id, subject_id, label, avg(score) AS score FRO
 wpeople AS (SELECT corpus, subject_id, max(label) AS label, round(avg(score), 9) AS score FROM woof GROUP BY ALL), {SQL.auroc_sql('wpeople', ['corpus'], 'within_a')}"""
 
 
-def cross_corpus(spark, sf):
-    scored = E.train_elsewhere(feature_cohort(spark, sf), LINES)
-    return M.to_participants(scored, ["corpus"])
+def slim_features(spark, sf):
+    """Made once for the queries that read it several times."""
+    return materialise(feature_cohort(spark, sf).select(*E.KEYS, *LINES))
 
 
 @query("m13_generalisation_gap", f"""WITH {FT}, {D_ONE}, {W_ONE}
 SELECT corpus, {s6('w.auroc')} AS within_corpus_auroc, {s6('c.auroc')} AS cross_corpus_auroc, {s6('w.auroc - c.auroc')} AS generalization_gap FROM within_a w JOIN cross_a c USING (corpus)""")
 def m13(spark, sf):
-    fc = feature_cohort(spark, sf)
+    fc = slim_features(spark, sf)
     within = M.auroc(E.participant_scores(fc, ["C_subject_key"], LINES, cell=["corpus"], n_cells=E.MAX_CORPORA), ["corpus"])
-    gap = E.generalisation_gap(within, M.auroc(cross_corpus(spark, sf), ["corpus"]), ["corpus"])
+    cross = M.to_participants(E.train_elsewhere(fc, LINES), ["corpus"])
+    gap = E.generalisation_gap(within, M.auroc(cross, ["corpus"]), ["corpus"])
     return rounded(gap, "within_corpus_auroc", "cross_corpus_auroc", "generalization_gap")
 
 

@@ -8,11 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ...functions.draws import normal_sql, uniform_sql
-from ...operators import ordering as O
 from ...operators import quality as Q
 from ...operators import signal as S
 from ..registry import query
-from ..views import FRAMES, SIG, frames, micros, r6, s6, signals, table
+from ..views import FRAMES, SIG, frames, r6, s6, signals, table
 
 FRAME = 8
 RATE = 100.0

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.functions import draws as D
+from plumbline.operators import boosting as BO
 from plumbline.operators import forest as FO
 from plumbline.operators import permute as P
 from plumbline.operators import regression as RG
@@ -206,3 +207,38 @@ def test_out_of_bag_error_counts_only_rows_out_of_the_bag(table):
     out = np.stack([D.poisson_np(42, t, pdf.recording_id.to_numpy()) == 0 for t in range(30)])
     assert [(r["n_scored"], r["n_votes"]) for r in got] == [(int(out[:s].any(axis=0).sum()), int(out[:s].sum())) for s in (1, 5, 30)]
     assert got[-1]["oob_error"] < 0.45
+
+
+# -- boosting -------------------------------------------------------------------------------
+
+
+def test_boosting_in_one_task_and_by_passes_makes_the_same_trees(table):
+    df, pdf = table
+    data, _ = FO.prepared(RG.with_fold_roles(df, k=3, n_repeats=1), 5)
+    fits = [BO.Boost(0, 0, 2, 0.1, 0.1, 4), BO.Boost(0, None, 3, 1.0, 0.3, 3)]
+    one, two = BO.fit_all(data, 5, fits), BO.fit_all(data, 5, fits, 0)
+    for a, b in zip(one, two):
+        assert (a.feature == b.feature).all() and (a.bin == b.bin).all() and np.allclose(a.value, b.value)
+        assert (a.feature[:, 1] >= 0).all()
+
+
+def test_each_round_lowers_the_loss_and_a_stump_is_the_best_one(table):
+    df, pdf = table
+    data, cuts = FO.prepared(df.withColumn("roles", F.array(F.lit(0))), 5)
+    model = BO.fit_all(data, 5, [BO.Boost(0, None, 1, 0.0, 0.5, 20)])[0]
+    x, y = np.stack(pdf.x), pdf.label.to_numpy()
+    bins = np.stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(cuts)], axis=1)
+    loss = [np.logaddexp(0, -(2 * y - 1) * model.margin(bins, r)).mean() for r in range(21)]
+    assert all(b < a for a, b in zip(loss, loss[1:]))
+    g = 0.5 - y
+    best = -1.0
+    for f in range(5):
+        for b in range(31):
+            left = bins[:, f] <= b
+            if 0 < left.sum() < len(y):
+                gain = sum(g[s].sum() ** 2 / (0.25 * s.sum() + BO.RIDGE) for s in (left, ~left)) - g.sum() ** 2 / (0.25 * len(y) + BO.RIDGE)
+                best = max(best, gain)
+    left = bins[:, model.feature[0, 1]] <= model.bin[0, 1]
+    found = sum(g[s].sum() ** 2 / (0.25 * s.sum() + BO.RIDGE) for s in (left, ~left)) - g.sum() ** 2 / (0.25 * len(y) + BO.RIDGE)
+    assert found == pytest.approx(best)
+    assert model.value[0, 2] == pytest.approx(-0.5 * g[left].sum() / (0.25 * left.sum() + BO.RIDGE))
