@@ -8,7 +8,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_every_operator_has_one_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_stages_keep_columns_and_take_effect(spark, tmp_path):
