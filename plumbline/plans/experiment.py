@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +13,7 @@ from ..functions import draws as D
 from ..operators import permute as P
 from ..operators import resample as R
 from ..operators import scorer as S
+from ..operators import selections as L
 from ..operators.blocks import matrix, summed
 from ..operators.metrics import PLACES, auroc, to_participants
 from ..operators.splits import Subsets, assign_folds, leakage_report, pack_folds, unpack_folds
@@ -206,8 +207,8 @@ def learning_curve(
 ) -> DataFrame:
     """``repeat, fold, fraction, n_train_participants, auroc_train, auroc_test``.
 
-    Two passes: participants' moments give the class totals of every subset, recordings
-    are scored by all models at once and counted per level of score, as in ``permute``.
+    Participants' moments give the class totals of every subset; recordings are scored by
+    all models at once, exactly, and never multiplied by them.
     """
     dealt = pack_folds(df.select(*dict.fromkeys([*KEYS, *features])), ["C_subject_key"], k, n_repeats, seed)
     own = F.transform(F.array_sort(F.transform("_folds", lambda x: F.struct(x["repeat"], x["fold"]))), lambda x: x["fold"].cast("int"))
@@ -228,26 +229,24 @@ def learning_curve(
     packed = people.select(
         "unit", "own", "label", "n", F.array(*[f"m_{f}" for f in features]), F.array(*[f"q_{f}" for f in features])
     )
-    weights = P.odds_weights(*summed(packed, totals, 2 * n_sets * width).reshape(2, n_sets, width))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, P.MATRIX_CELLS // (4 * n_sets)):
-                b = batch.slice(lo, P.MATRIX_CELLS // (4 * n_sets))
-                unit, own_np, x = b.column(0).to_numpy(), matrix(b.column(1), np.int64), matrix(b.column(3)) - centre
-                odds = weights @ np.concatenate([np.ones((len(x), 1)), x, x * x], axis=1).T
-                test = np.stack([own_np[:, r] == f for r, f, *_ in subsets.keys])
-                sides = np.concatenate([np.where(subsets.member(unit, own_np), odds, np.nan), np.where(test, odds, np.nan)])
-                y = np.broadcast_to(b.column(2).to_numpy() == 1, sides.shape)
-                yield P.level_counts(0, sides, y)
+    train1, train0 = summed(packed, totals, 2 * n_sets * width).reshape(2, n_sets, width)
+    models = L.Models.of_moments(train1, train0)
+
+    def scored(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        own_np = matrix(b.column(1), np.int64)
+        odds = models.log_odds(matrix(b.column(3)) - centre)
+        test = np.stack([own_np[:, r] == f for r, f, *_ in subsets.keys])
+        member = subsets.member(b.column(0).to_numpy(), own_np)
+        sides = np.concatenate([np.where(member, odds, np.nan), np.where(test, odds, np.nan)])
+        return sides, b.column(2).to_numpy(zero_copy_only=False)
 
     rows = df.select("unit", "own", "label", F.array(*[F.col(f).cast("double") for f in features]))
-    found = P.auroc_of_levels(rows.mapInArrow(score, P.LEVEL_SCHEMA), ["curve"]).select("perm", "auroc")
+    found = L.auroc_of_selections(rows, 2 * n_sets, scored)
     told = [(i + s * n_sets, *key, name) for s, name in enumerate(("train", "test")) for i, key in enumerate(subsets.keys)]
     names = df.sparkSession.createDataFrame(
-        told, "perm int, repeat int, fold bigint, fraction double, n_train_participants bigint, side string"
+        told, "sel int, repeat int, fold bigint, fraction double, n_train_participants bigint, side string"
     )
-    both = found.join(F.broadcast(names), "perm").where("auroc IS NOT NULL")
+    both = found.join(F.broadcast(names), "sel").where("auroc IS NOT NULL")
     side = lambda s: F.max(F.when(F.col("side") == s, F.col("auroc"))).alias(f"auroc_{s}")
     return both.groupBy("repeat", "fold", "fraction", "n_train_participants").agg(side("train"), side("test"))
 
