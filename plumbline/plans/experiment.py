@@ -134,17 +134,26 @@ def pivot_arms(grid: DataFrame, arms: Sequence[str], value: str = "auroc_partici
 
 def optimism(df: DataFrame, arms: Sequence[str], features: Sequence[str], k: int = 5, n_repeats: int = 5, seed: int = 42) -> DataFrame:
     """``arm, repeat, fold, side, auroc``: training against held-out AUROC per fold."""
-    packed = pack_folds(df.select(*dict.fromkeys([*KEYS, *features])), arms, k, n_repeats, seed)
-    folds = unpack_folds(materialise(packed), "label", *features)
+    packed = materialise(pack_folds(df.select(*dict.fromkeys([*KEYS, *features])), arms, k, n_repeats, seed))
+    folds = unpack_folds(packed, "label", *features)
     keys = ["arm", "repeat"]
-    models = S.held_out_models(S.class_moments(folds, [*keys, "fold"], features), keys, features)
-    models = models.withColumnRenamed("fold", "model_fold")
-    rows = S.attach(folds, models, keys, _n_models(1, arms, k, n_repeats), len(features))
-    scored = rows.select(
-        *keys, F.col("model_fold").alias("fold"), "label", S.log_odds(features).alias("score"),
-        F.when(F.col("fold") == F.col("model_fold"), "test").otherwise("train").alias("side"),
-    )
-    a = auroc(scored, [*keys, "fold", "side"], fanout=len(arms) * n_repeats * k)
+    found = S.held_out_models(S.class_moments(folds, [*keys, "fold"], features), keys, features)
+    told = sorted(found.collect(), key=lambda m: (m["arm"], m["repeat"], m["fold"]))  # arms times repeats times folds
+    models = L.Models.of_rows(told, features)
+    # A recording's folds, put in the order of arms and repeats.
+    own = F.transform(F.array_sort("_folds"), lambda x: x["fold"].cast("int"))
+    place = {pair: i for i, pair in enumerate((arm, r) for arm in sorted(arms) for r in range(n_repeats))}
+    at = [place[m["arm"], m["repeat"]] for m in told]
+
+    def scored(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        odds = models.log_odds(matrix(b.column(1)))
+        test = matrix(b.column(0), np.int64)[:, at].T == np.array([m["fold"] for m in told])[:, None]
+        return np.concatenate([np.where(test, np.nan, odds), np.where(test, odds, np.nan)]), b.column(2).to_numpy(zero_copy_only=False)
+
+    rows = packed.select(own.alias("own"), F.array(*[F.col(f).cast("double") for f in features]).alias("x"), "label")
+    sides = [(i + s * len(told), m["arm"], m["repeat"], m["fold"], side) for s, side in enumerate(("train", "test")) for i, m in enumerate(told)]
+    names = df.sparkSession.createDataFrame(sides, "sel int, arm string, repeat int, fold bigint, side string")
+    a = L.auroc_of_selections(rows, len(sides), scored).join(F.broadcast(names), "sel")
     return a.select(*keys, "fold", "side", "auroc")
 
 
