@@ -15,7 +15,7 @@ A finished forest has at most ``2 ** (max_depth + 1)`` nodes a tree, whatever th
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -123,6 +123,8 @@ class Grower:
     """What all nodes of a set of forests share."""
 
     def __init__(self, seed: int, n_features: int, forests: Sequence[Forest]):
+        if max((f.max_depth for f in forests), default=0) > 30:
+            raise ValueError("trees deeper than 30 levels have no node numbers")
         self.seed, self.n_features, self.forests = seed, n_features, list(forests)
         self.n_candidates = max(1, int(n_features**0.5))
         self.first = np.r_[0, np.cumsum([f.trees for f in forests])]
@@ -160,6 +162,10 @@ class Grower:
 # -- finished trees ---------------------------------------------------------------------
 
 
+#: A node as it travels and stays: its place, split (feature -1 for leaves) and share of class 1.
+NODES = np.dtype([("tree", "<i4"), ("node", "<i4"), ("feature", "<i2"), ("bin", "<i2"), ("share", "<f8")])
+
+
 @dataclass
 class Trees:
     """Nodes of all trees, sorted by tree and node number (the children of i are 2i and 2i + 1)."""
@@ -167,27 +173,29 @@ class Trees:
     grower: Grower
     cuts: np.ndarray
     seed: int
-    tree: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    node: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    feature: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int16))
-    bin: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int16))
-    share: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    first: np.ndarray
+    node: np.ndarray
+    feature: np.ndarray
+    bin: np.ndarray
+    share: np.ndarray
 
     @staticmethod
-    def of(grower: Grower, cuts: np.ndarray, seed: int, rows: list[tuple]) -> Trees:
-        t = Trees(grower, cuts, seed)
-        if rows:
-            rows = sorted(rows, key=lambda r: r[:2])
-            columns = list(zip(*rows))
-            kinds = (np.int64, np.int64, np.int16, np.int16, np.float64)
-            t.tree, t.node, t.feature, t.bin, t.share = (np.array(c, dtype=k) for c, k in zip(columns, kinds))
-        t.first = np.searchsorted(t.tree, np.arange(int(grower.first[-1]) + 1))
-        return t
+    def of(grower: Grower, cuts: np.ndarray, seed: int, parts: list[np.ndarray]) -> Trees:
+        """``parts`` hold :data:`NODES`; they are given up on the way."""
+        nodes = np.concatenate(parts) if parts else np.zeros(0, NODES)
+        parts.clear()
+        nodes = nodes[np.lexsort((nodes["node"], nodes["tree"]))]
+        first = np.searchsorted(nodes["tree"], np.arange(int(grower.first[-1]) + 1))
+        return Trees(grower, cuts, seed, first, *[nodes[c].copy() for c in ("node", "feature", "bin", "share")])
+
+    @property
+    def tree(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
     def slots(self, tree: int, bins: np.ndarray) -> np.ndarray:
         """Index of the node of the tree at which each row ends."""
         lo, hi = self.first[tree], self.first[tree + 1]
-        nodes, feature, cut = self.node[lo:hi], self.feature[lo:hi], self.bin[lo:hi]
+        nodes, feature, cut = self.node[lo:hi].astype(np.int64), self.feature[lo:hi], self.bin[lo:hi]
         at, moving = np.zeros(len(bins), np.int64), np.arange(len(bins))
         while len(moving):
             here = at[moving]
@@ -233,6 +241,8 @@ def _batch_rows(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 class Counting:
     """A large node: its candidates' histograms are added, its split is chosen."""
 
+    SCHEMA = "tree int, node bigint, feature int, bin int, share double, left double, right double, left_share double, right_share double"
+    KINDS = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), *[pa.float64()] * 5)
     #: Marks rows sent instead of a histogram, where that is shorter.
     ROWS, COUNTS = b"r", b"c"
 
@@ -268,7 +278,13 @@ class Counting:
 
 
 class Local:
-    """A small node: its rows come together and the rest of the branch is grown at once."""
+    """A small node: its rows come together and the rest of the branch is grown at once.
+
+    The branch leaves as one array, so that the driver holds no object per node.
+    """
+
+    SCHEMA = "tree int, node bigint, nodes binary"
+    KINDS = (pa.int32(), pa.int64(), pa.binary())
 
     def __init__(self, grower: Grower):
         self.grower = grower
@@ -285,7 +301,8 @@ class Local:
 
     def finish(self, tree: int, node: int, held: list[bytes]) -> list[tuple]:
         bins, y, w = _rows_of(b"".join(held), self.grower.n_features)
-        return [(tree, n, f, c, s, 0.0, 0.0, 0.0, 0.0) for n, f, c, s in self.grower.branch(tree, node, bins, y, w)]
+        grown = [(tree, *r) for r in self.grower.branch(tree, node, bins, y, w)]
+        return [(tree, node, np.array(grown, NODES).tobytes())]
 
 
 def _row_bytes(bins: np.ndarray, y: np.ndarray, w: np.ndarray) -> bytes:
@@ -357,13 +374,9 @@ def _pieces(rows: DataFrame, grower: Grower, splits: dict, wanted: dict[int, set
     return rows.select("unit", "label", "roles", "bins").mapInArrow(emit, "tree int, node bigint, data binary")
 
 
-NODE_SCHEMA = "tree int, node bigint, feature int, bin int, share double, left double, right double, left_share double, right_share double"
-
-
 def _per_node(pieces: DataFrame, way: Counting | Local) -> list:
     """What follows from all pieces of each node, which come to one task one after the other."""
-    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), *[pa.float64()] * 5]
-    names = [c.split(" ")[0] for c in NODE_SCHEMA.split(", ")]
+    names = [c.split(" ")[0] for c in way.SCHEMA.split(", ")]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, out = None, None, []
@@ -381,9 +394,9 @@ def _per_node(pieces: DataFrame, way: Counting | Local) -> list:
             yield told(way.finish(*now, held))
 
     def told(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), way.KINDS)], names=names)
 
-    return pieces.repartition("tree", "node").sortWithinPartitions("tree", "node").mapInArrow(gather, NODE_SCHEMA).collect()
+    return pieces.repartition("tree", "node").sortWithinPartitions("tree", "node").mapInArrow(gather, way.SCHEMA).collect()
 
 
 def grow(rows: DataFrame, cuts: np.ndarray, forests: Sequence[Forest], seed: int, local_rows: int = LOCAL_ROWS) -> Trees:
@@ -413,10 +426,11 @@ def grow(rows: DataFrame, cuts: np.ndarray, forests: Sequence[Forest], seed: int
                     done.append((tree, child, -1, 0, child_share))
                 else:
                     (small if n <= local_rows else large).setdefault(tree, set()).add(child)
+    branches = [np.array(done, NODES)] if done else []
     if small:
         local = Local(grower)
-        done += [tuple(r)[:5] for r in _per_node(_pieces(rows, grower, splits, small, local), local)]
-    return Trees.of(grower, cuts, seed, done)
+        branches += [np.frombuffer(r["nodes"], NODES) for r in _per_node(_pieces(rows, grower, splits, small, local), local)]
+    return Trees.of(grower, cuts, seed, branches)
 
 
 # -- use --------------------------------------------------------------------------------

@@ -180,6 +180,16 @@ def test_level_passes_and_local_growth_make_the_same_trees(table):
     assert set(one.tree) == set(range(7)) and one.node.max() < 1 << 7
 
 
+def test_branches_come_back_packed_and_not_node_by_node(table, monkeypatch):
+    df, _ = table
+    data, cuts = FO.prepared(RG.with_fold_roles(df, k=3, n_repeats=1), 5)
+    collected, per_node = [], FO._per_node
+    monkeypatch.setattr(FO, "_per_node", lambda pieces, way: collected.append(per_node(pieces, way)) or collected[-1])
+    trees = FO.grow(data, cuts, [FO.Forest(0, 0, 4, 6, 1)], 42)
+    assert len(collected) == 1 and len(collected[0]) == 4
+    assert sum(len(r["nodes"]) for r in collected[0]) == FO.NODES.itemsize * len(trees.node) > 4 * FO.NODES.itemsize
+
+
 def test_root_split_is_the_best_of_its_candidates(table):
     df, pdf = table
     data, cuts = FO.prepared(df.withColumn("roles", F.array(F.lit(0))), 5)
