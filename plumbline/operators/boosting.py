@@ -6,9 +6,9 @@ values. Settings that differ in the number of rounds alone are one fit, read at
 rounds.
 
 Fits of few rows are each boosted by one task that is sent the rows. Fits of many rows are
-boosted together, one pass over the table per round and level: a pass adds the histograms
-of every fit's open nodes, at most ``2 ** depth`` of them, so what it returns has the size
-of the design. Both ways take the same splits, up to the order of summation.
+boosted together, one pass over the table per round and level: reducers add the histograms
+of a fit's open nodes, at most ``2 ** depth`` of them, and choose the splits, so what comes
+back is one tree per fit. Both ways take the same splits, up to the order of summation.
 """
 
 from __future__ import annotations
@@ -19,7 +19,9 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from ..session import materialise
 from .blocks import matrix, summed
 from .forest import BINS, KEEP, LOCAL_ROWS, _batch_rows, prepared
 from .regression import EPS, HELD_OUT, trained_on
@@ -27,6 +29,8 @@ from .regression import EPS, HELD_OUT, trained_on
 RIDGE = 1.0
 #: Smallest sum of curvatures of a child.
 MIN_CURVATURE = 1.0
+#: Rounds after which the margins of all rows are kept.
+KEPT_ROUNDS = 10
 
 
 @dataclass(frozen=True)
@@ -158,33 +162,89 @@ def _local(rows: DataFrame, fits: list[tuple[int, Boost]], n_features: int) -> d
     return out
 
 
+def _split_fits(data: DataFrame, models: dict[int, Model], open_fits: list[int], r: int, level: int, first: int) -> None:
+    """Split the nodes of a level of each open fit: reducers add its histograms and choose."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            _, y, roles, bins = _batch_rows(b)
+            margins = _margins(b, len(models))
+            for column, (number, m) in enumerate(models.items()):
+                if number not in open_set:
+                    continue
+                at = np.flatnonzero(trained_on(roles, m.fit.outer, m.fit.fold))
+                x = bins[at]
+                g, h = _slopes(m.margin(x, r, margins[at, column], first), y[at])
+                node = m.step(r, x, level)
+                here = node >= 1 << level
+                part = sums(x[here], node[here], 1 << level, 1 << level, g[here], h[here])
+                total[number] = total[number] + part if number in total else part
+        for number, hist in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), pa.array([hist.tobytes()], pa.binary())], names=["fit", "data"])
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for number, data in zip(b.column(0).to_pylist(), b.column(1)):
+                part = np.frombuffer(data.as_py())
+                total[number] = total[number] + part if number in total else part
+        for number, hist in total.items():
+            m = models[number]
+            grow_level(m, r, level, hist.reshape(1 << level, -1, BINS, 2))
+            arrays = [pa.array([a[r].tobytes()], pa.binary()) for a in (m.feature, m.bin, m.value)]
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int32()), *arrays], names=["fit", "feature", "bin", "value"])
+
+    open_set = set(open_fits)
+    pieces = data.mapInArrow(emit, "fit int, data binary").repartition("fit")
+    for row in pieces.mapInArrow(choose, "fit int, feature binary, bin binary, value binary").collect():  # one tree a fit
+        for name in ("feature", "bin", "value"):
+            now = getattr(models[row["fit"]], name)
+            now[r] = np.frombuffer(row[name], now.dtype)
+
+
+def _margins(b: pa.RecordBatch, n_fits: int) -> np.ndarray:
+    """``(row, fit)`` as of the last round that was kept."""
+    return np.frombuffer(b"".join(b.column(4).to_pylist())).reshape(b.num_rows, n_fits)
+
+
+def _kept(data: DataFrame, models: dict[int, Model], r: int, first: int) -> DataFrame:
+    """``data`` with its margins taken on from round ``first`` to round ``r``."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            _, _, roles, bins = _batch_rows(b)
+            margins = _margins(b, len(models)).copy()
+            for column, m in enumerate(models.values()):
+                at = np.flatnonzero(trained_on(roles, m.fit.outer, m.fit.fold))
+                margins[at, column] = m.margin(bins[at], min(r, m.fit.rounds), margins[at, column], first)
+            packed = pa.array([row.tobytes() for row in margins], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], packed], names=[*b.schema.names[:4], "margins"])
+
+    schema = ", ".join(f"{c} {kind}" for c, kind in data.dtypes)
+    return materialise(data.mapInArrow(add, schema))
+
+
 def _distributed(rows: DataFrame, fits: list[tuple[int, Boost]], n_features: int) -> dict[int, Model]:
-    """Fits of many rows: one pass per round and level for all of them."""
+    """Fits of many rows: one pass per round and level for all of them.
+
+    What comes back is a tree's split per fit. Margins are kept with the rows every
+    ``KEPT_ROUNDS`` rounds, so a pass follows a few trees however many there are.
+    """
     models = {number: Model(f) for number, f in fits}
-    data = rows.select("unit", "label", "roles", "bins")
+    zeros = F.lit(bytearray(8 * len(models)))
+    data, first = rows.select("unit", "label", "roles", "bins", zeros.alias("margins")), 0
     for r in range(max(f.rounds for _, f in fits)):
+        if r - first == KEPT_ROUNDS:
+            data, first = _kept(data, models, r, first), r
         for level in range(max(f.depth for _, f in fits)):
             open_fits = [n for n, f in fits if r < f.rounds and level < f.depth]
-            if not open_fits:
-                continue
-            size = (1 << level) * n_features * BINS * 2
-
-            def kernel(b: pa.RecordBatch) -> np.ndarray:
-                _, y, roles, bins = _batch_rows(b)
-                out = []
-                for number in open_fits:
-                    m = models[number]
-                    at = trained_on(roles, m.fit.outer, m.fit.fold)
-                    x = bins[at]
-                    g, h = _slopes(m.margin(x, r), y[at])
-                    node = m.step(r, x, level)
-                    here = node >= 1 << level
-                    out.append(sums(x[here], node[here], 1 << level, 1 << level, g[here], h[here]).reshape(-1))
-                return np.concatenate(out)
-
-            total = summed(data, kernel, size * len(open_fits)).reshape(len(open_fits), 1 << level, n_features, BINS, 2)
-            for number, hist in zip(open_fits, total):
-                grow_level(models[number], r, level, hist)
+            if open_fits:
+                _split_fits(data, models, open_fits, r, level, first)
     return models
 
 

@@ -232,6 +232,20 @@ def test_boosting_in_one_task_and_by_passes_makes_the_same_trees(table):
         assert (a.feature[:, 1] >= 0).all()
 
 
+def test_kept_margins_change_no_tree_and_histograms_stay_with_the_reducers(table, monkeypatch):
+    df, _ = table
+    data, _ = FO.prepared(RG.with_fold_roles(df, k=3, n_repeats=1), 5)
+    fits, sizes, summed = [BO.Boost(0, 0, 2, 0.1, 0.1, 5), BO.Boost(0, None, 1, 1.0, 0.3, 2)], [], BO.summed
+    monkeypatch.setattr(BO, "summed", lambda df, kernel, size: sizes.append(size) or summed(df, kernel, size))
+    one = BO.fit_all(data, 5, fits, 0)
+    monkeypatch.setattr(BO, "KEPT_ROUNDS", 2)
+    two = BO.fit_all(data, 5, fits, 0)
+    for a, b in zip(one, two):
+        assert (a.feature == b.feature).all() and (a.bin == b.bin).all() and np.allclose(a.value, b.value)
+    # Rows per training set are all that the driver adds up.
+    assert sizes == [2, 2]
+
+
 def test_each_round_lowers_the_loss_and_a_stump_is_the_best_one(table):
     df, pdf = table
     data, cuts = FO.prepared(df.withColumn("roles", F.array(F.lit(0))), 5)
