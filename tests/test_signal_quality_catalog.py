@@ -135,6 +135,19 @@ def test_leak_scan_of_few_and_many_names(spark):
         assert len(got) == len(want) and set(got) == want
 
 
+def test_equal_names_are_looked_up_once(spark):
+    """130 ids bear one name: one row with three blocks of bits, and every id is found."""
+    ids = spark.createDataFrame([(i, "the") for i in range(130)] + [(7, "a longer name"), (7, "the"), (None, "the")], "item int, name string")
+    numbers, held = leaks.borne(ids, "item", "name")
+    rows = {r["name"]: r["held"] for r in held.collect()}
+    bits = lambda name: sum(bin(h["bits"] % (1 << 64)).count("1") for h in rows[name])
+    assert numbers.count() == 131 and len(rows) == 2 and len(rows["the"]) == 3
+    assert bits("the") == 131 and bits("a longer name") == 1
+    docs = spark.createDataFrame([(1, "on the way"), (1, "the"), (2, "with a longer name"), (3, "than")], "doc int, text string")
+    got = [tuple(r) for r in leaks.leaked_names(docs, ids, "doc", "text", "item", "name").collect()]
+    assert len(got) == 132 and set(got) == {(1, i) for i in [*range(130), None]} | {(2, 7)}
+
+
 def test_chunks_of_a_long_recording_give_the_frames_of_the_whole(spark):
     rng = np.random.default_rng(2)
     signals = {1: rng.normal(0, 0.1, 30000), 2: rng.normal(0, 0.01, 700), 3: np.r_[np.zeros(5000), rng.normal(0, 1, 1024)], 4: np.ones(1)}
