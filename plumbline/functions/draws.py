@@ -79,19 +79,41 @@ def poisson(seed: int, *keys: Column | int) -> Column:
 
 # -- numpy ---------------------------------------------------------------------
 
+def _step_np(state, key: np.ndarray, mult: int, add: int) -> np.ndarray:
+    """One round without sign and in place: division by a constant is fast only so."""
+    out = np.asarray(state ^ key)
+    out *= np.uint64(mult)
+    out += np.uint64(add)
+    whole = np.asarray(out // np.uint64(PRIME))
+    whole *= np.uint64(PRIME)
+    out -= whole
+    return out
+
+
 def draw_np(seed: int, *keys) -> np.ndarray:
-    state = np.int64(_start(seed))
+    state = np.uint64(_start(seed))
     for key in keys:
-        key = np.asarray(key, dtype=np.int64)
-        for half in (key & LOW32, (key >> 32) & LOW32):
-            state = _step(state, half, *FOLD, np.bitwise_xor)
+        key = np.asarray(key, dtype=np.int64).astype(np.uint64)
+        for half in (key & np.uint64(LOW32), key >> np.uint64(32)):
+            state = _step_np(state, half, *FOLD)
     for salt, mult, add in FINISH:
-        state = _step(state, np.int64(salt), mult, add, np.bitwise_xor)
-    return state
+        state = _step_np(state, np.uint64(salt), mult, add)
+    return np.asarray(state).astype(np.int64)[()]
+
+
+def poisson_bytes(seed: int, *keys) -> np.ndarray:
+    """Poisson(1) counts as bytes; none is larger than the number of cut points."""
+    u = np.asarray(draw_np(seed, *keys)).astype(np.uint32)
+    out = np.zeros(u.shape, dtype=np.uint8)
+    for cut in POISSON_CUTS[:3]:
+        out += u >= np.uint32(cut)
+    rare = np.flatnonzero(u >= np.uint32(POISSON_CUTS[3]))
+    out.flat[rare] = np.searchsorted(POISSON_CUTS, u.flat[rare], side="right")
+    return out
 
 
 def poisson_np(seed: int, *keys) -> np.ndarray:
-    return np.searchsorted(np.asarray(POISSON_CUTS), draw_np(seed, *keys), side="right")
+    return poisson_bytes(seed, *keys).astype(np.int64)[()]
 
 
 def _poisson_cuts() -> list[int]:

@@ -30,12 +30,59 @@ from .ordering import ROWS_PER_RANGE, dense_position, with_ranges
 #: A small input is copied once per this many draws to spread the draws over tasks.
 DRAWS_PER_BLOCK = 64
 MATRIX_CELLS = 2_000_000
+#: Rows, and weights of them, that the Poisson kernel holds at a time.
+RUN_ROWS = 256
+RUN_CELLS = 1 << 14
+
+
+def _runs(starts: np.ndarray, n: int) -> list[tuple[int, int]]:
+    """Runs of whole groups of equal scores, of about ``RUN_ROWS`` rows."""
+    out, lo, ends = [], 0, np.r_[starts[1:], n]
+    while lo < n:
+        hi = int(ends[min(np.searchsorted(ends, lo + RUN_ROWS), len(ends) - 1)])
+        out.append((lo, hi))
+        lo = hi
+    return out
+
+
+def _poisson_kernel(keys: list[str], n_boot: int, n_blocks: int, seed: int):
+    """Weighted pair counts of one score range for every draw of one block.
 
+    Rows are taken a run at a time, so that weights and totals stay in a core's cache.
+    """
 
-def _poisson_weights(pdf: pd.DataFrame, seed: int):
-    """Function of draw numbers to the weights of the rows, one line per draw."""
-    unit = pdf["unit"].to_numpy()
-    return lambda numbers: D.poisson_np(seed, numbers[:, None], unit[None, :])
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = {k: pdf[k].iat[0] for k in [*keys, "_range"]}
+        block = int(pdf["_block"].iat[0])
+        order = np.argsort(pdf["score"].to_numpy(), kind="stable")
+        score, unit = pdf["score"].to_numpy()[order], pdf["unit"].to_numpy()[order]
+        label = pdf["label"].to_numpy()[order]
+        starts = np.flatnonzero(np.r_[True, score[1:] != score[:-1]])
+        numbers = np.arange(block, n_boot, n_blocks)
+        # Positives, negatives and twice the pairs; a pair of equal scores counts half.
+        p, n, twice = np.zeros((3, len(numbers)), dtype=np.int64)
+        for lo, hi in _runs(starts, len(score)):
+            y = label[lo:hi] == 1
+            pos, neg = score[lo:hi][y], score[lo:hi][~y]
+            below, upto = np.searchsorted(neg, pos), np.searchsorted(neg, pos, side="right")
+            ordered = np.r_[unit[lo:hi][~y], unit[lo:hi][y]]
+            step = max(1, RUN_CELLS // (hi - lo))
+            for at in range(0, len(numbers), step):
+                d = slice(at, at + step)
+                w = D.poisson_bytes(seed, numbers[None, d], ordered[:, None])
+                held = np.zeros((len(neg) + 1, w.shape[1]), dtype=np.int64)
+                np.cumsum(w[:len(neg)], axis=0, out=held[1:])
+                mine = w[len(neg):].astype(np.int64)
+                here = mine.sum(axis=0)
+                twice[d] += 2 * n[d] * here + np.einsum("id,id->d", mine, held[below] + held[upto])
+                p[d] += here
+                n[d] += held[-1]
+        out = pd.DataFrame({"draw": numbers, "_p": p, "_n": n, "_u": twice / 2.0})
+        for k, v in first.items():
+            out[k] = v
+        return out[[*keys, "_range", "draw", "_p", "_n", "_u"]]
+
+    return kernel
 
 
 def _range_kernel(keys: list[str], n_boot: int, n_blocks: int, seed: int, weights_of):
@@ -68,7 +115,7 @@ def _range_kernel(keys: list[str], n_boot: int, n_blocks: int, seed: int, weight
     return kernel
 
 
-def _pair_counts(rows: DataFrame, keys: list[str], n_boot: int, seed: int, small: bool, blocks: int, weights_of) -> DataFrame:
+def _pair_counts(rows: DataFrame, keys: list[str], small: bool, kernel) -> DataFrame:
     """``keys, draw, auroc`` of rows that carry ``_range`` and ``_block``."""
     types = {f.name: f.dataType for f in rows.schema.fields}
     schema = T.StructType(
@@ -78,7 +125,7 @@ def _pair_counts(rows: DataFrame, keys: list[str], n_boot: int, seed: int, small
     # a fixed number of tasks: the groups are small in bytes but not in work
     group = [*keys, "_range", "_block"]
     rows = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *group)
-    ranges = rows.groupBy(*group).applyInPandas(_range_kernel(keys, n_boot, blocks, seed, weights_of), schema)
+    ranges = rows.groupBy(*group).applyInPandas(kernel, schema)
     if not small:
         ranges = add_lower_ranges(ranges, [*keys, "draw"])
         ranges = ranges.groupBy(*keys, "draw").agg(*[F.sum(c).alias(c) for c in ("_p", "_n", "_u")])
@@ -97,7 +144,7 @@ def poisson_draws(part: DataFrame, keys: Sequence[str], unit: str, n_boot: int,
     # A small input is one range per key; the draws are spread instead.
     rows = rows.withColumn("_range", F.lit(0)) if small else with_ranges(rows, ["score"])
     blocks = -(-n_boot // DRAWS_PER_BLOCK) if small else 1
-    return _pair_counts(_in_blocks(rows, blocks), keys, n_boot, seed, small, blocks, _poisson_weights)
+    return _pair_counts(_in_blocks(rows, blocks), keys, small, _poisson_kernel(keys, n_boot, blocks, seed))
 
 
 # -- n draws among n participants ----------------------------------------------------
@@ -234,7 +281,7 @@ def multinomial_draws(part: DataFrame, keys: Sequence[str], unit: str, n_boot: i
     sized = _with_size(placed, sizes, keys)
     blocks = -(-n_boot // DRAWS_PER_BLOCK) if small else 1
     both = _in_blocks(sized.unionByName(brought, allowMissingColumns=True), blocks)
-    return _pair_counts(both, keys, n_boot, seed, small, blocks, _tree_weights)
+    return _pair_counts(both, keys, small, _range_kernel(keys, n_boot, blocks, seed, _tree_weights))
 
 
 def _same(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> list:

@@ -266,3 +266,25 @@ def test_each_round_lowers_the_loss_and_a_stump_is_the_best_one(table):
     found = sum(g[s].sum() ** 2 / (0.25 * s.sum() + BO.RIDGE) for s in (left, ~left)) - g.sum() ** 2 / (0.25 * len(y) + BO.RIDGE)
     assert found == pytest.approx(best)
     assert model.value[0, 2] == pytest.approx(-0.5 * g[left].sum() / (0.25 * left.sum() + BO.RIDGE))
+
+
+def test_poisson_kernel_equals_pair_counts_by_hand():
+    """Ties longer than a run, single classes and every draw; few bytes held whatever the range's length."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    for places, n in ((0, 3000), (1, 700), (6, 700)):
+        pdf = pd.DataFrame({"unit": rng.integers(0, 10**12, n), "label": rng.integers(0, 2, n), "score": rng.normal(size=n).round(places)})
+        got = R._poisson_kernel([], 40, 5, 42)(pdf.assign(_range=3, _block=2))
+        assert got.draw.tolist() == list(range(2, 40, 5)) and (got._range == 3).all()
+        s, y = pdf.score.to_numpy(), pdf.label.to_numpy() == 1
+        wins = (s[y][:, None] > s[~y]) + (s[y][:, None] == s[~y]) / 2
+        for r in got.itertuples(index=False):
+            w = D.poisson_np(42, r[1], pdf.unit.to_numpy())
+            assert (r[2], r[3], r[4]) == (w[y].sum(), w[~y].sum(), w[y] @ wins @ w[~y])
+    n = 200_000
+    pdf = pd.DataFrame({"unit": np.arange(n), "label": np.arange(n) % 2, "score": rng.normal(size=n), "_range": 0, "_block": 0})
+    tracemalloc.start()
+    R._poisson_kernel([], 20, 1, 42)(pdf)
+    assert tracemalloc.get_traced_memory()[1] < 24_000_000
+    tracemalloc.stop()
