@@ -413,6 +413,27 @@ def test_small_windows_force_cuts_and_rounds(docs):
 # -- 7: lines -----------------------------------------------------------------------
 
 
+def test_every_two_lines_of_a_window_meet(spark, monkeypatch):
+    """Pairs of 60 lines of one band against brute force, in one block and in many; parts are left out."""
+    rng = np.random.default_rng(8)
+    halves = rng.integers(1, 256, (60, 16))
+    for i in range(0, 60, 3):
+        for j in (i + 1, i + 2):
+            same = rng.permutation(16)[:6]
+            halves[j, same] = halves[i, same]
+    packed = [[int(np.frombuffer(bytes(h[k:k + 8].tolist()), "<i8")[0]) for k in (0, 8)] for h in halves]
+    rows = spark.createDataFrame([(7, i, *p, 60) for i, p in enumerate(packed)], "base bigint, id bigint, s0 bigint, s1 bigint, n bigint")
+    want = {(j, i) for i in range(60) for j in range(i + 1, 60) if 100 * (halves[i] == halves[j]).sum() >= line_dedup.AGREEMENT * 16}
+    none = spark.createDataFrame([], "id bigint, part bigint")
+    one = spark.createDataFrame([(0, 5), (1, 5), (2, 6)], "id bigint, part bigint")
+    assert len(want) >= 40
+    for lines in (1000, 7):
+        monkeypatch.setattr(line_dedup, "BLOCK_LINES", lines)
+        got = [tuple(r) for r in line_dedup._inner_pairs(rows, none).collect()]
+        assert len(got) == len(want) and set(got) == want
+        assert {tuple(r) for r in line_dedup._inner_pairs(rows, one).collect()} == want - {(1, 0)}
+
+
 def test_line_dedup(spark):
     rng = random.Random(4)
     long = [words(rng, 25) for _ in range(30)]
