@@ -7,18 +7,19 @@ order within ``(cell, repeat, label)`` and dealt out round-robin.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ..functions import draws as D
-from ..session import materialise
+from ..session import is_small, materialise
 from .blocks import matrix, summed
-from .ordering import dense_position, dense_rank
+from .ordering import dense_rank, window
 from .permute import NO_DRAW, chosen, cut_draws
 
 # Arm names and the column each one groups by.
@@ -39,6 +40,8 @@ def grouping_column(df: DataFrame, arm: str) -> str | None:
     return column
 
 
+#: Counts per fold.
+LEAKS = ["n_test_recordings", "n_leaked_participants", "n_leaked_recordings"]
 #: Corpora that can be left out one by one; each is a fold with a model of its own.
 MOST_CORPORA = 10_000
 
@@ -56,30 +59,45 @@ def _unit(column: str, arm: str):
     return F.coalesce(F.col(column).cast("string"), refuse)
 
 
-def _deal(units: DataFrame, cell: Sequence[str], k: int, n_repeats: int, seed: int) -> DataFrame:
-    """Units ``cell, arm, _unit, label`` to ``cell, arm, _unit, _f<repeat>``."""
+def _deal(units: DataFrame, cell: Sequence[str], k: int, n_repeats: int, seed: int, column: str, kind: str) -> DataFrame:
+    """Units ``cell, _unit, label`` to ``cell, column, _own``: the fold of every repeat.
+
+    On large inputs a unit meets only the units of its range of draws. The units of lower
+    ranges are counted without moving any: cells times labels times repeats times ranges
+    numbers, sent to every task.
+    """
+    groups = [*cell, "repeat", "label"]
     rows = units.withColumn("_h", D.text_key(F.col("_unit"))).withColumn(
         "repeat", F.explode(F.sequence(F.lit(0), F.lit(n_repeats - 1)))
     )
-    rows = rows.withColumn("_u", D.draw(seed, F.col("repeat"), F.col("_h")))
-    placed = dense_position(
-        rows, [*cell, "arm", "repeat", "label"], ["_u", "_unit"], "_i", hashed=True, fanout=n_repeats
-    )
-    fold = F.pmod(F.col("_i") - 1, F.lit(k)).cast("bigint")
-    return placed.groupBy(*cell, "arm", "_unit").agg(
-        *[F.max(F.when(F.col("repeat") == r, fold)).alias(f"_f{r}") for r in range(n_repeats)]
-    )
+    rows = rows.withColumn("_u", D.draw(seed, F.col("repeat"), F.col("_h"))).drop("_h")
+    if is_small(units, n_repeats):
+        placed = rows.withColumn("_i", F.row_number().over(window(groups).orderBy("_u", "_unit")).cast("bigint"))
+    else:
+        n = int(units.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = rows.withColumn("_range", F.floor(F.col("_u") * F.lit(n) / F.lit(D.PRIME)).cast("int"))
+        lower = window(groups).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+        totals = rows.groupBy(*groups, "_range").agg(F.count(F.lit(1)).alias("_n"))
+        before = totals.select(*groups, "_range", F.coalesce(F.sum("_n").over(lower), F.lit(0)).alias("_before")).alias("b")
+        here = rows.withColumn("_i", F.row_number().over(window([*groups, "_range"]).orderBy("_u", "_unit"))).alias("a")
+        same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*groups, "_range"]]
+        placed = here.join(F.broadcast(before), same).select(
+            *[F.col(f"a.{c}").alias(c) for c in [*cell, "repeat", "_unit"]], (F.col("a._i") + F.col("b._before")).alias("_i")
+        )
+    fold = F.pmod(F.col("_i") - 1, F.lit(k)).cast("int")
+    own = F.array(*[F.max(F.when(F.col("repeat") == r, fold)) for r in range(n_repeats)])
+    return placed.groupBy(*cell, F.col("_unit").cast(kind).alias(column)).agg(own.alias("_own"))
 
 
-def pack_folds(
+def deal_folds(
     df: DataFrame, arms: Sequence[str], k: int = 5, n_repeats: int = 5, seed: int = 42, cell: Sequence[str] = (),
     ready: bool = False,
 ) -> DataFrame:
-    """``df`` plus ``_folds``: an array of ``(arm, repeat, fold)``, one row per recording.
+    """``df`` plus, for every arm, an array ``_own_<arm>`` with the fold of each repeat.
 
-    Folds are dealt on slim rows (keys and label); features travel once, in the last
-    join. ``recording_id`` must be unique within a cell. The input is read for every
-    kind of unit and again for that join, so it is computed once and kept unless
+    Folds are dealt on units with nothing but their keys and label; a recording then meets
+    the folds of its units. ``recording_id`` must be unique within a cell. The input is read
+    for every kind of unit and again for the joins, so it is computed once and kept unless
     ``ready`` (already materialised). A recording without the unit of an arm stops the
     query; :func:`without_unit` tells which.
     """
@@ -87,45 +105,54 @@ def pack_folds(
     if not ready:
         df = materialise(df)
     columns = {arm: grouping_column(df, arm) for arm in arms}
-    slim = df.select(*dict.fromkeys([*cell, "recording_id", "label", *[c for c in columns.values() if c]]))
-    per_arm, at = [], [f"_f{r}" for r in range(n_repeats)]
-    for arm in [a for a, c in columns.items() if c is None]:
-        units = slim.select(*cell, "label", F.lit(arm).alias("arm"), _unit("recording_id", arm).alias("_unit"))
-        dealt = _deal(units, cell, k, n_repeats, seed)
-        kind = dict(df.dtypes)["recording_id"]
-        per_arm.append(dealt.select(*cell, F.col("_unit").cast(kind).alias("recording_id"), "arm", *at))
-    grouped = [(a, c) for a, c in columns.items() if c not in (None, "corpus")]
-    if grouped:
-        pairs = F.array(*[F.struct(F.lit(a).alias("arm"), _unit(c, a).alias("_unit")) for a, c in grouped])
-        rows = slim.select(*cell, "recording_id", "label", F.inline(pairs))
-        units = rows.groupBy(*cell, "arm", "_unit").agg(F.max("label").alias("label"))
-        dealt = _deal(units, cell, k, n_repeats, seed)
-        per_arm.append(rows.join(dealt, [*cell, "arm", "_unit"]).select(*cell, "recording_id", "arm", *at))
-    out, listed = df, []
-    if per_arm:
-        dealt_arms = [a for a, c in columns.items() if c != "corpus"]
-        wide = reduce(DataFrame.unionByName, per_arm).groupBy(*cell, "recording_id").agg(
-            *[F.max(F.when(F.col("arm") == a, F.col(f))).alias(f"{f}_{a}") for a in dealt_arms for f in at]
-        )
-        out = out.join(wide, [*cell, "recording_id"])
-        listed += [(a, F.array(*[f"{f}_{a}" for f in at])) for a in dealt_arms]
+    kinds, out, own = dict(df.dtypes), df, {}
+    # Recordings last: what follows finds the rows dealt by their key.
+    for arm, c in sorted(((a, c) for a, c in columns.items() if c != "corpus"), key=lambda x: x[1] is None):
+        column = c or "recording_id"
+        units = df.select(*cell, "label", _unit(column, arm).alias("_unit"))
+        if c is not None:
+            units = units.groupBy(*cell, "_unit").agg(F.max("label").alias("label"))
+        dealt = _deal(units, cell, k, n_repeats, seed, column, kinds[column])
+        out = out.join(dealt.withColumnRenamed("_own", f"_own_{arm}"), [*cell, column])
+        own[arm] = F.col(f"_own_{arm}")
     for arm in [a for a, c in columns.items() if c == "corpus"]:
-        corpora = materialise(dense_rank(slim, cell, "corpus", "_f_corpus", bounded=True))
+        corpora = materialise(dense_rank(df.select(*cell, "corpus"), cell, "corpus", "_f_corpus", bounded=True))
         n = corpora.count()
         if n > MOST_CORPORA:
             raise ValueError(f"{n} corpora of all cells are too many to leave out one by one")
-        kind = dict(out.dtypes)["corpus"]
-        out = out.withColumn("corpus", F.coalesce("corpus", _unit("corpus", arm).cast(kind)))
+        out = out.withColumn("corpus", F.coalesce("corpus", _unit("corpus", arm).cast(kinds["corpus"])))
         # Counted, so every task gets them and no recording is shuffled by its corpus.
         out = out.join(F.broadcast(corpora), [*cell, "corpus"])
-        listed.append((arm, F.array_repeat(F.col("_f_corpus") - 1, n_repeats)))
-    entries = [_entries(arm, folds) for arm, folds in listed]
-    return out.select(*df.columns, F.concat(*entries).alias("_folds"))
+        own[arm] = F.array_repeat((F.col("_f_corpus") - 1).cast("int"), n_repeats)
+    return out.select(*df.columns, *[own[arm].alias(f"_own_{arm}") for arm in arms])
+
+
+def with_entries(dealt: DataFrame, arms: Sequence[str]) -> DataFrame:
+    """Rows of :func:`deal_folds` with ``_folds``, an array of ``(arm, repeat, fold)``, in their place."""
+    # Arms of corpora come last, as their folds are found last.
+    order = sorted(arms, key=lambda a: ARMS[a] == "corpus")
+    keep = [c for c in dealt.columns if c not in {f"_own_{a}" for a in arms}]
+    return dealt.select(*keep, F.concat(*[_entries(a, F.col(f"_own_{a}")) for a in order]).alias("_folds"))
+
+
+def pack_folds(
+    df: DataFrame, arms: Sequence[str], k: int = 5, n_repeats: int = 5, seed: int = 42, cell: Sequence[str] = (),
+    ready: bool = False,
+) -> DataFrame:
+    """``df`` plus ``_folds``: an array of ``(arm, repeat, fold)``, one row per recording."""
+    return with_entries(deal_folds(df, arms, k, n_repeats, seed, cell, ready), arms)
+
+
+def kept_folds(
+    df: DataFrame, arms: Sequence[str], k: int = 5, n_repeats: int = 5, seed: int = 42, cell: Sequence[str] = ()
+) -> DataFrame:
+    """:func:`pack_folds`, computed once and kept with a number per fold."""
+    return with_entries(materialise(deal_folds(df, arms, k, n_repeats, seed, cell)), arms)
 
 
 def _entries(arm: str, folds):
     return F.transform(
-        folds, lambda f, r: F.struct(F.lit(arm).alias("arm"), r.cast("int").alias("repeat"), f.alias("fold"))
+        folds, lambda f, r: F.struct(F.lit(arm).alias("arm"), r.cast("int").alias("repeat"), f.cast("bigint").alias("fold"))
     )
 
 
@@ -164,6 +191,104 @@ def leakage_report(folds: DataFrame, cell: Sequence[str] = (), subject: str = "s
     )
 
 
+class _Leaks:
+    """Counts of :func:`leakage_of_dealt` in one task: rows come group by group."""
+
+    def __init__(self, n_cols: int):
+        self.n_cols = n_cols
+        #: Per cell: test rows, leaked participants, leaked rows of ``(column, fold)``.
+        self.totals: dict[tuple, np.ndarray] = {}
+        #: The group that may go on in the next batch: its key and ``column, fold, n``.
+        self.open: tuple | None = None
+
+    def add(self, keys: list[pa.Array], own: np.ndarray) -> None:
+        """``keys`` are the columns of cell and participant; equal ones follow one another."""
+        rows = len(own)
+        codes = [k.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False) for k in keys]
+        first = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in codes], axis=0)])
+        group = np.repeat(np.arange(len(first)), np.diff(np.r_[first, rows]))
+        width = int(own.max()) + 1
+        found, n = np.unique((group[:, None] * self.n_cols + np.arange(self.n_cols)) * width + own, return_counts=True)
+        pair, fold = np.divmod(found, width)
+        group, col = np.divmod(pair, self.n_cols)
+        key = lambda i: tuple(k[int(first[i])].as_py() for k in keys)
+        if self.open is not None and self.open[0] == key(0):
+            _, c, f, m = self.open
+            group, col, fold, n = np.r_[np.zeros(len(c), int), group], np.r_[c, col], np.r_[f, fold], np.r_[m, n]
+        else:
+            self.close()
+        last = group == len(first) - 1
+        at = np.unique(col[last] * (fold[last].max() + 1) + fold[last], return_inverse=True)
+        c, f = np.divmod(at[0], fold[last].max() + 1)
+        self.open = (key(len(first) - 1), c, f, np.bincount(at[1], n[last]).astype(np.int64))
+        done = ~last
+        if done.any():
+            cell = np.r_[True, np.any([c[first[1:]] != c[first[:-1]] for c in codes[:-1]], axis=0)] if len(codes) > 1 else np.arange(len(first)) == 0
+            run = np.cumsum(cell) - 1
+            for i, start in enumerate(np.flatnonzero(cell)):
+                here = done & (run[group] == i)
+                if here.any():
+                    self._count(key(start)[:-1], group[here], col[here], fold[here], n[here])
+
+    def close(self) -> None:
+        if self.open is not None:
+            key, c, f, n = self.open
+            self._count(key[:-1], np.zeros(len(c), int), c, f, n)
+            self.open = None
+
+    def _count(self, cell: tuple, group: np.ndarray, col: np.ndarray, fold: np.ndarray, n: np.ndarray) -> None:
+        """Whole groups; a fold of a group may come in two parts."""
+        width = int(fold.max()) + 1
+        at, back = np.unique((group * self.n_cols + col) * width + fold, return_inverse=True)
+        n = np.bincount(back, n).astype(np.int64)
+        pair, fold = np.divmod(at, width)
+        _, back, folds = np.unique(pair, return_inverse=True, return_counts=True)
+        leaks, col = folds[back] > 1, pair % self.n_cols
+        total = self.totals.get(cell)
+        if total is None or total.shape[2] < width:
+            grown = np.zeros((3, self.n_cols, width), np.int64)
+            if total is not None:
+                grown[:, :, : total.shape[2]] = total
+            total = self.totals[cell] = grown
+        for counted, v in zip(total, (n, leaks, n * leaks)):
+            np.add.at(counted, (col, fold), v)
+
+
+def leakage_of_dealt(
+    dealt: DataFrame, arms: Sequence[str], n_repeats: int, cell: Sequence[str] = (), subject: str = "subject_id"
+) -> DataFrame:
+    """:func:`leakage_report` from rows of :func:`deal_folds`, one row per recording.
+
+    Rows are put in order by participant once for all arms and repeats, and counted as a
+    stream: a task holds one participant's counts, never its rows.
+    """
+    cell = list(cell)
+    own = F.concat(*[F.col(f"_own_{a}") for a in arms])
+    rows = dealt.select(*cell, subject, own.alias("_own"))
+    rows = rows.repartition(*cell, subject).sortWithinPartitions(*cell, subject)
+    fields = [rows.schema[c] for c in cell]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, kinds = _Leaks(len(arms) * n_repeats), None
+        for b in batches:
+            if b.num_rows:
+                kinds = b.schema.types[:-2]
+                held.add(b.columns[:-1], matrix(b.column(b.num_columns - 1), np.int64))
+        held.close()
+        for at, total in held.totals.items():
+            col, fold = np.nonzero(total[0])
+            counts = [pa.array(t[col, fold], pa.int64()) for t in total]
+            keys = [pa.array([v] * len(col), t) for v, t in zip(at, kinds)]
+            yield pa.RecordBatch.from_arrays(
+                [*keys, pa.array(col, pa.int32()), pa.array(fold, pa.int64()), *counts], names=[*cell, "_col", "fold", *LEAKS]
+            )
+
+    schema = StructType([*fields, *[StructField(c, t) for c, t in zip(["_col", "fold", *LEAKS], [IntegerType()] + [LongType()] * 4)]])
+    counted = rows.mapInArrow(count, schema).groupBy(*cell, "_col", "fold").agg(*[F.sum(c).alias(c) for c in LEAKS])
+    arm = F.element_at(F.array(*[F.lit(a) for a in arms]), F.floor(F.col("_col") / n_repeats).cast("int") + 1)
+    return counted.select(*cell, arm.alias("arm"), (F.col("_col") % n_repeats).cast("int").alias("repeat"), "fold", *LEAKS)
+
+
 def leakage_rates(report: DataFrame, cell: Sequence[str] = ()) -> DataFrame:
     return report.groupBy(*cell, "arm").agg(
         F.count(F.lit(1)).alias("folds"),

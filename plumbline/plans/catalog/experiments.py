@@ -93,14 +93,14 @@ def x05(spark, sf):
 
 @query("x06_leakage_report", f"WITH {RC}, {SQL.folds_sql(ABCD, 5, 5, SEED, 'rc')}, {LEAK} SELECT arm, repeat::INTEGER AS repeat, fold, n_test_recordings, n_leaked_participants, n_leaked_recordings FROM leak")
 def x06(spark, sf):
-    return X.leakage_report(X.assign_folds(slim(spark, sf), ABCD))
+    return X.leakage_of_dealt(X.deal_folds(slim(spark, sf), ABCD), ABCD, 5)
 
 
 @query("x07_leakage_rates", f"""WITH {RC}, {SQL.folds_sql(ABC, 5, 5, SEED, 'rc')}, {LEAK}
 SELECT arm, count(*) AS folds, count(*) FILTER (n_leaked_participants > 0) AS folds_with_leakage, {s6('avg(n_leaked_participants)')} AS mean_leaked_participants,
  {s6('avg(n_leaked_recordings)')} AS mean_leaked_test_recordings, {s6('100.0 * sum(n_leaked_recordings) / sum(n_test_recordings)')} AS pct_test_recordings_leaked FROM leak GROUP BY arm""")
 def x07(spark, sf):
-    rates = X.check_contrast(X.leakage_rates(X.leakage_report(X.assign_folds(slim(spark, sf), ABC))))
+    rates = X.check_contrast(X.leakage_rates(X.leakage_of_dealt(X.deal_folds(slim(spark, sf), ABC), ABC, 5)))
     return rounded(rates, "mean_leaked_participants", "mean_leaked_test_recordings", "pct_test_recordings_leaked")
 
 
