@@ -111,7 +111,7 @@ def _unpack(data: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def auroc_of_selections(rows: DataFrame, n_sel: int, scored: Scored) -> DataFrame:
-    """``sel, auroc``; ties count half, NULL for a single class.
+    """``sel, n_pos, n_neg, auroc``; ties count half, NULL for a single class.
 
     ``rows`` is read three times. ``scored`` makes ``(selection, row)`` scores of a batch,
     NaN where a row is not in a selection, and the labels of its rows.
@@ -159,4 +159,5 @@ def auroc_of_selections(rows: DataFrame, n_sel: int, scored: Scored) -> DataFram
     packed = rows.mapInArrow(score, "sel int, _range int, data binary")
     counted = packed.groupBy("sel", "_range").applyInArrow(pairs, "sel int, _range int, _p bigint, _n bigint, _u double")
     whole = add_lower_ranges(counted, ["sel"]).groupBy("sel").agg(*[F.sum(c).alias(c) for c in ("_p", "_n", "_u")])
-    return whole.select("sel", F.try_divide(F.col("_u"), (F.col("_p") * F.col("_n")).cast("double")).alias("auroc"))
+    counts = [F.col("_p").cast("bigint").alias("n_pos"), F.col("_n").cast("bigint").alias("n_neg")]
+    return whole.select("sel", *counts, F.try_divide(F.col("_u"), (F.col("_p") * F.col("_n")).cast("double")).alias("auroc"))
