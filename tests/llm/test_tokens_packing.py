@@ -41,6 +41,21 @@ def test_ids_do_not_depend_on_what_is_remembered(name, spaces, monkeypatch):
     assert [np.frombuffer(w, "<u4").tolist() for w in whole] == [library_ids(encoder, t) for t in texts]
 
 
+@pytest.mark.parametrize("name, spaces", VOCABULARIES)
+def test_words_go_through_the_merges_together(name, spaces, monkeypatch):
+    rng = random.Random(4)
+    odd = [None, "", "\n", " ", "\na", "a\n", "a \nb", "a\nb c\n\nd\n e", "x\n Äb\nÖd, d\n(a) b\n\u00a0c", "Don't.\nIt's", "a\r\nb", "a\n1\n東\nq"]
+    odd += ["a\n<|endoftext|>\nb <|endoftext|>", "l\x1f\nm a\x85\nb", "Thre*** at,&&& a_b_ c' d'' e.....!", "of%%%\nand,*** ...\n'", "İstanbul ǅ µ ª\nñ́ é"]
+    texts = odd + [" ".join("".join(rng.choice("aeßéTNrst") for _ in range(rng.randrange(1, 12))) + rng.choice(["", "\n" + "b", ".", "?!"]) for _ in range(90)) for _ in range(20)]
+    encoder = tokens.Encoder(tokens.vocabulary_path(name), 1, spaces)
+    monkeypatch.setattr(encoder, "_word", None)  # words are not asked for one by one
+    heads = [f"x {t}" if t else t for t in texts[len(odd) :]]
+    monkeypatch.setitem(encoder.heads, "x", np.array(library_ids(encoder, "x")[:-1], "<u4").tobytes())
+    assert [np.frombuffer(w, "<u4").tolist() for w in encoder.encode_all(heads)] == [library_ids(encoder, t) for t in heads]
+    encoder = tokens.Encoder(tokens.vocabulary_path(name), 1, spaces)
+    assert [np.frombuffer(w, "<u4").tolist() for w in encoder.encode_all(texts)] == [library_ids(encoder, t or "") for t in texts]
+
+
 @pytest.mark.parametrize("partitions", [2, 90])
 def test_open_windows_become_few_in_any_number_of_partitions(spark, partitions):
     rng = random.Random(partitions)
