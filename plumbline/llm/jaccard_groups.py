@@ -37,10 +37,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import vectors as V
-from .common import bit_map, components, marked, stored
+from .common import bit_map, components, in_map, placed, stored
 
 WORDS = 4
 PERCENT = 85
@@ -120,21 +121,23 @@ def _levels(profiles: DataFrame) -> np.ndarray:
     return np.log2(total + 1).astype(np.uint8)
 
 
-def _first_tokens(docs: DataFrame, k: int, percent: int, levels: np.ndarray) -> DataFrame:
-    """``rid, n, token, reach`` for the first tokens of each document, rare ones first.
+def _first_tokens(docs: DataFrame, ids: DataFrame, k: int, percent: int, levels: np.ndarray) -> DataFrame:
+    """``rid, n, token, reach`` for the first tokens of each document in ``ids``, rare ones first.
 
     Sets of ``n`` and ``m`` tokens need ``percent * (n + m) / (100 + percent)`` in common,
     so a token at place ``i`` is the first shared one of a link only if ``reach``, which is
     ``100 * n - (100 + percent) * i``, is ``percent * m`` or more.
     """
     kind = dict(docs.dtypes)["doc_id"]
-    shared = docs.sparkSession.sparkContext.broadcast(levels)
+    shared = docs.sparkSession.sparkContext.broadcast((bit_map(ids), levels))
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits, levels = shared.value
         for batch in batches:
+            batch = in_map(batch, bits)
             for block in V.blocks(batch.column(1)):
                 token, owner = shingle_sets(block, k)
-                level = shared.value[(token >> U64(64 - SKETCH_BITS)).astype(np.int64)]
+                level = levels[(token >> U64(64 - SKETCH_BITS)).astype(np.int64)]
                 order = np.lexsort((token, level, owner))
                 n = np.bincount(owner, minlength=block.n)
                 take = n - -(-percent * n // 100) + 1
@@ -147,15 +150,17 @@ def _first_tokens(docs: DataFrame, k: int, percent: int, levels: np.ndarray) ->
                     "reach": (100 * n[at] - (100 + percent) * rank[chosen], pa.int64()),
                 })
 
-    return docs.mapInArrow(first, f"rid {kind}, n int, token bigint, reach bigint")
+    return placed(docs).mapInArrow(first, f"rid {kind}, n int, token bigint, reach bigint")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """``rid, tokens`` (sorted hashes as bytes) of the documents in ``ids``."""
     kind = dict(docs.dtypes)["doc_id"]
+    shared = docs.sparkSession.sparkContext.broadcast(bit_map(ids))
 
     def derive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            batch = in_map(batch, shared.value)
             for block in V.blocks(batch.column(1)):
                 token, owner = shingle_sets(block, k)
                 edge = np.searchsorted(owner, np.arange(block.n + 1))
@@ -164,7 +169,7 @@ def _sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
                     "tokens": ([token[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:])], pa.binary()),
                 })
 
-    return marked(docs, bit_map(ids)).mapInArrow(derive, f"rid {kind}, tokens binary")
+    return placed(docs).mapInArrow(derive, f"rid {kind}, tokens binary")
 
 
 def _overlap(a: np.ndarray, b: np.ndarray) -> int:
@@ -236,10 +241,10 @@ def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) ->
     slim = profiles.where("sketch is null").select("doc_id", "n", "s1", "s2")
     classes = stored(slim.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rid")), "jaccard-classes")
 
-    first = _first_tokens(marked(docs, bit_map(classes.select("rid"))), k, percent, levels)
-    first = first.repartition("token")
-    several = first.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = stored(first.join(several, "token"), "jaccard-shared")
+    # Tokens are made and shuffled once: the count stands beside them in the same partition.
+    first = _first_tokens(docs, classes.select("rid"), k, percent, levels)
+    df = F.count(F.lit(1)).over(W.partitionBy("token"))
+    shared = stored(first.withColumn("df", df).where("df > 1"), "jaccard-shared")
 
     score = shared.groupBy("rid").agg(F.sum("df").alias("score"))
     leader = (

@@ -95,6 +95,15 @@ def test_a_shared_passage_goes_from_all_but_its_first_document(spark):
     assert sum(r[2] > 300 for r in whole) == 8
 
 
+def test_first_tokens_and_sets_take_one_python_step(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"w{j % (i + 3)}" for j in range(40))) for i in range(9)], "doc_id bigint, text string")
+    ids = docs.where("doc_id < 3").select(docs.doc_id.alias("rid"))
+    levels = np.zeros(1 << jaccard_groups.SKETCH_BITS, dtype=np.uint8)
+    for frame in (jaccard_groups._first_tokens(docs, ids, 4, 85, levels), jaccard_groups._sets(docs, ids, 4)):
+        assert frame._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+        assert {0, 1, 2} <= {r["rid"] for r in frame.collect()} < set(range(9))
+
+
 def test_unions_rule_out_groups_and_members_make_the_links(spark):
     rng = random.Random(6)
     base = [" ".join(f"w{rng.randrange(5000)}" for _ in range(60)) for _ in range(30)]
