@@ -14,12 +14,14 @@ the size of the largest set that it could still link with.
 2. Groups: the components so far are cut into groups of about ``GROUP`` similar
    documents. The token-group matrix holds the tokens of each group; a document meets
    the groups of other components with which it shares a first token, the larger
-   component being opened. Each group's token union is stored and bounds the overlap
-   with any member; a document meets the members, one per row, only of groups whose
-   union leaves room for a link.
+   component being opened. A bit map of the tokens of each document, four bits or more
+   a token, and their union for each group bound the overlap; a document meets the
+   members, one per row, only of groups whose union leaves room for a link, and token
+   sets are moved only of pairs whose own maps leave room for one.
 
 Each pair of documents that could link is in one component after step 1 or met in
-step 2, so no link between components is lost. Tokens of candidates are derived from
+step 2, and no map says that a common token is absent, so no link between components
+is lost. Tokens of candidates are derived from
 their texts again instead of being stored for all documents; a bit map of fixed size
 says which rows may be candidates.
 
@@ -46,6 +48,8 @@ from .common import bit_map, components, in_map, placed, stored
 WORDS = 4
 PERCENT = 85
 GROUP = 64
+#: Bits of a map for each token.
+MAP_ROOM = 4
 SKETCH_BITS = 18
 U64 = np.uint64
 
@@ -182,32 +186,82 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int(np.count_nonzero(large[at] == small))
 
 
-def _unions(groups: DataFrame, sets: DataFrame) -> DataFrame:
-    """``gid, tokens``: the union of all tokens of each group, at most ``GROUP`` sets."""
+def _maps(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """``rid, n, bits`` of the documents in ``ids``: a bit map of the tokens, of ``MAP_ROOM`` bits or more for each.
+
+    Its length is a power of two and a token's place are its low bits, so a longer map
+    is folded to a shorter one by putting its stretches together.
+    """
+    kind = dict(docs.dtypes)["doc_id"]
+    shared = docs.sparkSession.sparkContext.broadcast(bit_map(ids))
+
+    def derive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = in_map(batch, shared.value)
+            for block in V.blocks(batch.column(1)):
+                token, owner = shingle_sets(block, k)
+                edge = np.searchsorted(owner, np.arange(block.n + 1))
+                yield V.output({
+                    "rid": (batch.column(0).slice(block.lo, block.n), None), "n": (np.diff(edge), pa.int32()),
+                    "bits": ([_map(token[a:b]) for a, b in zip(edge[:-1], edge[1:])], pa.binary()),
+                })
+
+    return placed(docs).mapInArrow(derive, f"rid {kind}, n int, bits binary")
+
+
+def _map(token: np.ndarray) -> bytes:
+    flags = np.zeros(max(64, 1 << (MAP_ROOM * len(token) - 1).bit_length()) if len(token) else 64, dtype=bool)
+    flags[(token & U64(len(flags) - 1)).astype(np.int64)] = True
+    return np.packbits(flags).tobytes()
+
+
+def _folded(bits: bytes, size: int) -> np.ndarray:
+    return np.bitwise_or.reduce(np.frombuffer(bits, np.uint8).reshape(-1, size), axis=0)
+
+
+def _absent(a: bytes, b: bytes) -> tuple[int, int]:
+    """How many tokens of each of two maps the other surely lacks, or more."""
+    size = min(len(a), len(b))
+    a, b = _folded(a, size), _folded(b, size)
+    return int(np.bitwise_count(a & ~b).sum()), int(np.bitwise_count(b & ~a).sum())
+
+
+def _unions(groups: DataFrame, maps: DataFrame) -> DataFrame:
+    """``gid, n, bits``: the map of all tokens of each group, at most ``GROUP`` sets, as long as its shortest."""
 
     def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(np.frombuffer(b"".join(members.as_py()), U64)).tobytes() for members in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], names=["gid", "tokens"])
+            found = []
+            for members in batch.column(2):
+                members = members.as_py()
+                size = min(map(len, members))
+                found.append(np.bitwise_or.reduce([_folded(m, size) for m in members], axis=0).tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.binary())], names=["gid", "n", "bits"])
 
     kind = dict(groups.dtypes)["gid"]
-    members = groups.join(sets, "rid").groupBy("gid").agg(F.collect_list("tokens").alias("tokens"))
-    return members.mapInArrow(unite, f"gid {kind}, tokens binary")
+    members = groups.join(maps, "rid").groupBy("gid").agg(F.max("n").alias("n"), F.collect_list("bits").alias("bits"))
+    return members.mapInArrow(unite, f"gid {kind}, n int, bits binary")
+
 
+def _possible(rows: DataFrame, keep: str, enough) -> DataFrame:
+    """``rid`` and ``keep`` of the rows ``rid, keep, own_n, own, n, bits`` whose maps leave room for ``enough``.
 
-def _meeting(rows: DataFrame, keep: str, enough) -> DataFrame:
-    """``rid`` and ``keep`` of the rows ``rid, keep, own, tokens`` that hold enough in common."""
+    No map counts a token as absent that is there, so nothing is lost; what passes by
+    chance is left to the exact comparison.
+    """
     kinds = dict(rows.dtypes)
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            flags = []
-            for own, other in zip(batch.column(2), batch.column(3)):
-                own, other = np.frombuffer(own.as_py(), U64), np.frombuffer(other.as_py(), U64)
-                flags.append(enough(len(own), len(other), _overlap(own, other)))
+            own_n, n = batch.column(2).to_pylist(), batch.column(4).to_pylist()
+            flags = [
+                enough(x, y, *_absent(own.as_py(), other.as_py()))
+                for x, own, y, other in zip(own_n, batch.column(3), n, batch.column(5))
+            ]
             yield batch.select(["rid", keep]).filter(pa.array(flags, pa.bool_()))
 
-    return rows.select("rid", keep, "own", "tokens").mapInArrow(test, f"rid {kinds['rid']}, {keep} {kinds[keep]}")
+    rows = rows.select("rid", keep, "own_n", "own", "n", "bits")
+    return rows.mapInArrow(test, f"rid {kinds['rid']}, {keep} {kinds[keep]}")
 
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -215,22 +269,50 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     own = sets.withColumnRenamed("tokens", "own")
     member = sets.withColumnRenamed("rid", "other")
     rows = pairs.join(own, "rid").join(member, "other")
-    linked = _meeting(rows, "other", lambda n, m, c: 100 * c >= percent * (n + m - c))
+    kinds = dict(rows.dtypes)
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flags = []
+            for own, other in zip(batch.column(2), batch.column(3)):
+                own, other = np.frombuffer(own.as_py(), U64), np.frombuffer(other.as_py(), U64)
+                common = _overlap(own, other)
+                flags.append(100 * common >= percent * (len(own) + len(other) - common))
+            yield batch.select(["rid", "other"]).filter(pa.array(flags, pa.bool_()))
+
+    linked = rows.select("rid", "other", "own", "tokens").mapInArrow(test, f"rid {kinds['rid']}, other {kinds['other']}")
     return stored(linked.toDF("a", "b"), "jaccard-links")
 
 
+def _pairs(meets: DataFrame, groups: DataFrame, maps: DataFrame, percent: int) -> DataFrame:
+    """``rid, other``: the documents ``meets(rid, gid)`` with members of the groups ``(gid, rid)`` they may link with.
+
+    A document is held against the map of a group first, then against those of members.
+    """
+    own = maps.select("rid", F.col("n").alias("own_n"), F.col("bits").alias("own"))
+    bounded = meets.join(own, "rid").join(_unions(groups, maps), "gid")
+    passing = stored(_possible(bounded, "gid", lambda n, _, gone, __: 100 * (n - gone) >= percent * n), "jaccard-passing")
+
+    def near(n: int, m: int, gone: int, back: int) -> bool:
+        common = min(n - gone, m - back)
+        return 100 * common >= percent * (n + m - common)
+
+    met = passing.join(groups.withColumnRenamed("rid", "other"), "gid").select("rid", "other")
+    rows = met.join(own, "rid").join(maps.withColumnRenamed("rid", "other"), "other")
+    return _possible(rows, "other", near).distinct()
+
+
 def _open_groups(meets: DataFrame, groups: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Links ``a, b`` of the documents ``meets(rid, gid)`` with members of the groups ``(gid, rid)``.
 
-    A document is held against a group's union first. Only where that leaves room for a
-    link are the members met, one per row.
+    Bit maps of tokens, an eighth of their size at most, say which two may link; only the
+    sets of these are made and moved.
     """
     wanted = meets.select("rid").unionByName(groups.select("rid")).distinct()
-    sets = _sets(docs, wanted, k)
-    unions = stored(_unions(groups, sets), "jaccard-unions")
-    bounded = meets.join(sets.withColumnRenamed("tokens", "own"), "rid").join(unions, "gid")
-    passing = stored(_meeting(bounded, "gid", lambda n, _, c: 100 * c >= percent * n), "jaccard-passing")
-    return _links(passing.join(groups.withColumnRenamed("rid", "other"), "gid").select("rid", "other"), sets, percent)
+    maps = stored(_maps(docs, wanted, k), "jaccard-maps")
+    pairs = stored(_pairs(meets, groups, maps, percent), "jaccard-pairs")
+    ends = pairs.select("rid").unionByName(pairs.select(F.col("other").alias("rid"))).distinct()
+    return _links(pairs, _sets(docs, ends, k), percent)
 
 
 def near_duplicates(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
